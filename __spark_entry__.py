@@ -321,8 +321,13 @@ def q_backtest_trades(spark, sf):
     return rounded(_trades(spark, sf), 6, "predicted_price", "predicted_change")
 
 
+def _log_value(curve):
+    """The made-up prices compound to huge values, so the registry shows their logarithm."""
+    return curve.withColumn("portfolio_log10", F.round(F.log10("portfolio_value"), 6)).drop("portfolio_value")
+
+
 def q_backtest_curve(spark, sf):
-    return rounded(_curve(spark, sf), 6, "weekly_return", "portfolio_value")
+    return rounded(_log_value(_curve(spark, sf)), 6, "weekly_return")
 
 
 def q_backtest_predictions(spark, sf):
@@ -343,7 +348,7 @@ def q_returns_vs_index(spark, sf):
 
 def q_curve_with_index(spark, sf):
     df = backtest.curve_with_index(_curve(spark, sf), D.index_prices(spark, sf))
-    return rounded(df, 4, "weekly_return", "portfolio_value", "index_price")
+    return rounded(_log_value(df), 4, "weekly_return")
 
 
 def q_index_returns(spark, sf):

@@ -173,7 +173,7 @@ BLOCKS["fixed_pairs"] = "SELECT printf('S%06d', s_suppkey) AS stock_symbol, keyw
 
 BLOCKS["shifted_pairs"] = """
 SELECT DISTINCT stock_symbol, keyword, filing_type, time_delay,
-       CAST(start_date + (8 - isodow(start_date)) % 7 AS DATE) AS start_date, end_date FROM dated_pairs"""
+       CAST(start_date + CAST((8 - isodow(start_date)) % 7 AS INTEGER) AS DATE) AS start_date, end_date FROM dated_pairs"""
 
 
 def _pair_weeks(pairs, begin):
@@ -422,7 +422,7 @@ def _slice(a, b):
 
 # The entities the HTML reader decodes.
 _ENTITIES = [
-    ("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'),
+    ("&nbsp;", "\u00a0"), ("&#160;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'),
     ("&apos;", "''"), ("&#39;", "''"), ("&#8211;", "–"), ("&#8212;", "—"), ("&#8216;", "‘"), ("&#8217;", "’"),
     ("&#8220;", "“"), ("&#8221;", "”"), ("&#8226;", "•"), ("&#8230;", "…"), ("&ndash;", "–"), ("&mdash;", "—"),
     ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&amp;", "&"),
@@ -670,12 +670,12 @@ SELECT * REPLACE ({day('week_to_buy')} AS week_to_buy, CAST(time_delay AS BIGINT
        round(predicted_price, 6) AS predicted_price, round(predicted_change, 6) AS predicted_change) FROM trades""")
 O["backtest_curve"] = twin(["curve"], f"""
 SELECT model_type, {_dates('week_of_purchases')}, round(weekly_return, 6) AS weekly_return,
-       round(portfolio_value, 6) AS portfolio_value FROM curve""")
+       round(log10(portfolio_value), 6) AS portfolio_log10 FROM curve""")
 O["backtest_predictions"] = twin(["shifted_pairs_models", "shifted_pairs_score"], f"""
 SELECT 'linear' AS model_type, CAST(current_week AS BIGINT) AS current_week, {_dates('prediction_date', 'week_opening_date')},
        current_close_price, target_close_price AS next_week_close_price, round({_PRED}, 2) AS predicted_price,
        stock_symbol, keyword, {_dates('start_date')},
-       {day("CAST(end_date + 5 - isodow(end_date) - CASE WHEN isodow(end_date) = 5 THEN 0 ELSE 7 END AS DATE)")} AS friday_end_date,
+       {day("CAST(end_date + CAST(5 - isodow(end_date) - CASE WHEN isodow(end_date) = 5 THEN 0 ELSE 7 END AS INTEGER) AS DATE)")} AS friday_end_date,
        {day('end_date')} AS monday_end_date, CAST(time_delay AS BIGINT) AS time_delay, filing_type
 FROM shifted_pairs_score JOIN shifted_pairs_models USING ({_PAIR})""")
 O["returns_vs_index"] = twin(["curve", "index_prices"], f"""
@@ -688,8 +688,8 @@ FROM (SELECT model_type, min(week_of_purchases) AS f, max(week_of_purchases) AS
 CROSS JOIN (SELECT arg_min(close_price, created_at) AS ix, arg_max(close_price, created_at) AS il FROM index_prices
             WHERE created_at BETWEEN (SELECT min(week_of_purchases) FROM curve) AND (SELECT max(week_of_purchases) FROM curve))""")
 O["curve_with_index"] = twin(["curve", "index_prices"], f"""
-SELECT {_dates('week_of_purchases')}, model_type, round(weekly_return, 4) AS weekly_return, round(portfolio_value, 4) AS portfolio_value,
-       round(close_price, 4) AS index_price FROM curve JOIN index_prices ON created_at = week_of_purchases""")
+SELECT {_dates('week_of_purchases')}, model_type, round(weekly_return, 4) AS weekly_return,
+       round(log10(portfolio_value), 6) AS portfolio_log10, close_price AS index_price FROM curve JOIN index_prices ON created_at = week_of_purchases""")
 O["index_returns"] = twin(["index_prices"], """
 SELECT round(a, 4) AS first_close, round(b, 4) AS last_close, round(b / a - 1, 4) AS index_return FROM (
   SELECT arg_min(close_price, created_at) AS a, arg_max(close_price, created_at) AS b FROM index_prices
@@ -786,8 +786,8 @@ SELECT o_orderkey, '$' || format('{:,.2f}', o_totalprice) AS dollars, '$' || for
        printf('$%.2f', round_even(o_totalprice, 2)) AS plain, printf('%.1f%%', round_even(o_totalprice / 500000 * 100, 1)) AS share FROM orders"""
 O["date_alignment"] = f"""
 SELECT o_orderkey, {day("CAST(date_trunc('week', d) AS DATE)")} AS week, {day("CAST(date_trunc('month', d) AS DATE)")} AS month,
-       {day('CAST(d + (8 - isodow(d)) % 7 AS DATE)')} AS next_monday,
-       {day('CAST(d + 5 - isodow(d) - CASE WHEN isodow(d) = 5 THEN 0 ELSE 7 END AS DATE)')} AS previous_friday,
+       {day('CAST(d + CAST((8 - isodow(d)) % 7 AS INTEGER) AS DATE)')} AS next_monday,
+       {day('CAST(d + CAST(5 - isodow(d) - CASE WHEN isodow(d) = 5 THEN 0 ELSE 7 END AS INTEGER) AS DATE)')} AS previous_friday,
        CAST(year(d) * 10000 + month(d) * 100 + day(d) AS BIGINT) AS packed, strftime(d, '%Y-%m-%d') AS iso
 FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)"""
 O["html_to_text"] = f"SELECT page_id, {html_text('html')} AS text FROM pages"

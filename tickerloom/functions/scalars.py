@@ -77,7 +77,9 @@ def number_none_as_zero(c) -> Column:
 
 
 def half_even(c, digits) -> Column:
-    return F.bround(col(c), digits)
+    """Round half to even on the scaled double, as numerical array libraries do."""
+    scale = float(10 ** digits)
+    return F.rint(col(c).cast("double") * scale) / scale
 
 
 # ---- statistics -----------------------------------------------------------
@@ -119,7 +121,7 @@ def match_rate(a, b) -> Column:
 # ---- display --------------------------------------------------------------
 
 def percent_text(c, digits=0) -> Column:
-    return F.format_string(f"%.{digits}f%%", F.bround(col(c) * 100, digits))
+    return F.format_string(f"%.{digits}f%%", half_even(col(c) * 100, digits))
 
 
 def dollar_text(c, digits=2) -> Column:
@@ -129,7 +131,7 @@ def dollar_text(c, digits=2) -> Column:
 
 def plain_dollar_text(c) -> Column:
     """$1234.50, no thousands separator."""
-    return F.format_string("$%.2f", F.bround(col(c), 2))
+    return F.format_string("$%.2f", half_even(c, 2))
 
 
 def movement(new, old, up="moved_up", down="moved_down", same="no_move") -> Column:

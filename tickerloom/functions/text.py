@@ -8,7 +8,7 @@ from .scalars import col
 
 # Entities decoded when HTML becomes text; '&amp;' must come last.
 ENTITIES = (
-    ("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"),
+    ("&nbsp;", "\u00a0"), ("&#160;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"),
     ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"),
     ("&#8211;", "–"), ("&#8212;", "—"), ("&#8216;", "‘"), ("&#8217;", "’"),
     ("&#8220;", "“"), ("&#8221;", "”"), ("&#8226;", "•"), ("&#8230;", "…"),

@@ -43,38 +43,40 @@ def with_coefficients(df, features, target):
         value = F.try_divide(F.col(f"c_{a}__{b}"), F.col(f"s_{a}") * F.col(f"s_{b}"))
         return F.when(varies(a) & varies(b), value).otherwise(F.lit(0.0))
 
-    df = df.withColumns({
-        "r12": r(f1, f2), "r13": r(f1, f3), "r23": r(f2, f3),
-        "y1": r(f1, target), "y2": r(f2, target), "y3": r(f3, target),
-    })
-    a, b, c = F.col("r12"), F.col("r13"), F.col("r23")
-    y1, y2, y3 = F.col("y1"), F.col("y2"), F.col("y3")
-    df = df.withColumn("det", 1 + 2 * a * b * c - a * a - b * b - c * c)
-    det = F.when(F.col("det") > SINGULAR, F.col("det"))
-    beta = {
-        f1: y1 * (1 - c * c) + y2 * (b * c - a) + y3 * (a * c - b),
-        f2: y1 * (b * c - a) + y2 * (1 - b * b) + y3 * (a * b - c),
-        f3: y1 * (a * c - b) + y2 * (a * b - c) + y3 * (1 - a * a),
-    }
-    for f, numerator in beta.items():
-        scaled = F.try_divide(numerator, det) * F.col(f"s_{target}")
-        df = df.withColumn(
-            f"b_{f}",
-            F.when(det.isNull(), F.lit(None).cast("double"))
-            .when(varies(f), F.try_divide(scaled, F.col(f"s_{f}")))
-            .otherwise(F.lit(0.0)),
+    # each step is bound to a lambda variable, so no later step repeats its expressions
+    standard = F.array(F.struct(
+        r(f1, f2).alias("a"), r(f1, f3).alias("b"), r(f2, f3).alias("c"),
+        r(f1, target).alias("y1"), r(f2, target).alias("y2"), r(f3, target).alias("y3"),
+    ))
+
+    def solve(s):
+        a, b, c, y1, y2, y3 = (s[k] for k in ("a", "b", "c", "y1", "y2", "y3"))
+        det = 1 + 2 * a * b * c - a * a - b * b - c * c
+        return F.struct(
+            F.when(det > SINGULAR, det).alias("det"),
+            (y1 * (1 - c * c) + y2 * (b * c - a) + y3 * (a * c - b)).alias("z1"),
+            (y1 * (b * c - a) + y2 * (1 - b * b) + y3 * (a * b - c)).alias("z2"),
+            (y1 * (a * c - b) + y2 * (a * b - c) + y3 * (1 - a * a)).alias("z3"),
         )
-    intercept = F.col(f"m_{target}")
-    for f in features:
-        intercept = intercept - F.col(f"b_{f}") * F.col(f"m_{f}")
+
+    def unscale(s):
+        def beta(name, z):
+            slope = F.try_divide(s[z], s["det"]) * F.col(f"s_{target}")
+            return F.when(s["det"].isNotNull(), F.when(varies(name), F.try_divide(slope, F.col(f"s_{name}"))).otherwise(0.0))
+        return F.struct(beta(f1, "z1").alias("b1"), beta(f2, "z2").alias("b2"), beta(f3, "z3").alias("b3"))
+
+    df = df.withColumn("_b", F.get(F.transform(F.transform(standard, solve), unscale), F.lit(0)))
     status = (
         F.when(F.col("n_train") < len(features) + 1, "too_few_rows")
-        .when(det.isNull(), "collinear").otherwise("ok")
+        .when(F.col("_b.b1").isNull(), "collinear").otherwise("ok")
     )
-    df = df.withColumn("intercept", intercept).withColumn("status", status)
-    for name in [*[f"b_{f}" for f in features], "intercept"]:
-        df = df.withColumn(name, F.when(F.col("status") == "ok", F.col(name)))
-    return df.drop("r12", "r13", "r23", "y1", "y2", "y3", "det")
+    df = df.withColumn("status", status)
+    usable = F.col("status") == "ok"
+    intercept = F.col(f"m_{target}")
+    for f, b in zip(features, ("b1", "b2", "b3")):
+        df = df.withColumn(f"b_{f}", F.when(usable, F.col("_b").getField(b)))
+        intercept = intercept - F.col("_b").getField(b) * F.col(f"m_{f}")
+    return df.withColumn("intercept", F.when(usable, intercept)).drop("_b")
 
 
 def predicted(features, prefix=""):

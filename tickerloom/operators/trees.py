@@ -53,9 +53,9 @@ def predict_with_trees(rows, groups, features, target, model_type, keep, seed=12
     ``decision_tree`` grows one unbounded tree; ``random_forest`` averages bootstrap
     trees. Returns the non-training rows' ``keep`` columns with ``predicted_price``.
     """
-    source = rows.select(*groups, "part", *features, target, *keep)
+    source = rows.select(*dict.fromkeys([*groups, "part", *features, target, *keep]))
     kinds = {f.name: f.dataType for f in source.schema.fields}
-    columns = [*groups, "part", *[k for k in keep if k not in groups]]
+    columns = list(dict.fromkeys([*groups, "part", *keep]))
     schema = ", ".join(f"`{c}` {kinds[c].simpleString()}" for c in columns) + ", predicted_price double"
 
     def score(pdf):

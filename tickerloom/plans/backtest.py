@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..constants import BACKTEST_TOP, RISK_FREE_RATE, SLIPPAGE, START_CASH, WEEKS_PER_YEAR
 from ..functions.scalars import (
-    change, percent_text, plain_dollar_text, same_or_next_monday, same_or_previous_friday,
+    change, half_even, percent_text, plain_dollar_text, same_or_next_monday, same_or_previous_friday,
 )
 from ..operators.ranking import top_k_per_group
 from ..operators.windows import calendar_next
@@ -127,5 +127,5 @@ def returns_vs_index(curve, index, risk_free=RISK_FREE_RATE):
         "model_type", "first_week", "last_week",
         change("_index_last", "_index_first").alias("index_return"),
         change("_last", "_first").alias("backtest_return"),
-        F.bround(sharpe, 3).alias("sharpe_ratio"),
+        half_even(sharpe, 3).alias("sharpe_ratio"),
     )

@@ -155,13 +155,13 @@ def fit_predict(train, ask, keys, model_type="linear", keep=()):
         scored = ask.join(models, keys, "left").withColumn("predicted_price", predicted(FEATURES))
         return scored.withColumn("status", F.coalesce("status", F.lit("no_rows"))).select(
             *keys, *keep, *FEATURES, "predicted_price", "status")
-    columns = [*keys, *FEATURES, TARGET, *keep]
-    asked = ask.withColumn(TARGET, F.col(TARGET) if TARGET in ask.columns else F.lit(None).cast("double"))
-    rows = train.filter(F.col("part") == "train").select(*keys, *FEATURES, TARGET, "part").unionByName(
-        asked.select(*columns).withColumn("part", F.lit("ask")), allowMissingColumns=True)
-    kept = [*FEATURES, *([TARGET] if TARGET in keep else []), *[c for c in keep if c != TARGET]]
-    scored = predict_with_trees(rows.select(*dict.fromkeys([*keys, "part", *FEATURES, TARGET, *keep])),
-                                keys, FEATURES, TARGET, model_type, kept)
+    columns = list(dict.fromkeys([*keys, *FEATURES, TARGET, *keep]))
+    asked = ask if TARGET in ask.columns else ask.withColumn(TARGET, F.lit(None).cast("double"))
+    rows = (
+        train.filter(F.col("part") == "train").select(*keys, *FEATURES, TARGET, "part")
+        .unionByName(asked.select(*columns).withColumn("part", F.lit("ask")), allowMissingColumns=True)
+    )
+    scored = predict_with_trees(rows, keys, FEATURES, TARGET, model_type, [*FEATURES, *keep])
     return scored.withColumn(
         "status", F.when(F.col("predicted_price").isNull(), "no_rows").otherwise("ok")
     ).select(*keys, *keep, *FEATURES, "predicted_price", "status")
