@@ -86,16 +86,8 @@ def _pairs(spark, sf):
     return D.symbol_names(spark, sf).select("stock_symbol", F.inline(sets))
 
 
-def _dated_pairs(spark, sf):
-    return training.with_cutoff(_weekly(spark, sf), _counts(spark, sf), _pairs(spark, sf))
-
-
-def _training(spark, sf):
-    return training.training_set(_weekly(spark, sf), _counts(spark, sf), _dated_pairs(spark, sf))
-
-
-def _scoring(spark, sf):
-    return training.scoring_set(_weekly(spark, sf), _counts(spark, sf), _dated_pairs(spark, sf))
+def _model_rows(spark, sf):
+    return training.model_rows(_weekly(spark, sf), _counts(spark, sf), _pairs(spark, sf))
 
 
 def _keys():
@@ -245,11 +237,11 @@ def q_filing_weeks(spark, sf):
 
 
 def q_training_set(spark, sf):
-    return rounded(_training(spark, sf), 6, "mention_rolling_avg")
+    return rounded(training.training_set(_weekly(spark, sf), _counts(spark, sf), _pairs(spark, sf)), 6, "mention_rolling_avg")
 
 
 def q_scoring_set(spark, sf):
-    return rounded(_scoring(spark, sf), 6, "mention_rolling_avg")
+    return rounded(training.scoring_set(_weekly(spark, sf), _counts(spark, sf), _pairs(spark, sf)), 6, "mention_rolling_avg")
 
 
 def q_latest_features(spark, sf):
@@ -258,8 +250,7 @@ def q_latest_features(spark, sf):
 
 
 def _fit(spark, sf, model):
-    df = training.fit_predict(_training(spark, sf), _scoring(spark, sf), _keys(), model,
-                              keep=["week_opening_date", "prediction_date", training.TARGET])
+    df = training.fit_predict(_model_rows(spark, sf), _keys(), model)
     return rounded(df, 2, "predicted_price").drop("mention_rolling_avg")
 
 
@@ -276,7 +267,7 @@ def q_fit_predict_random_forest(spark, sf):
 
 
 def q_holdout_error(spark, sf):
-    return rounded(training.holdout_error(_training(spark, sf), _keys()), 2, "mae")
+    return rounded(training.holdout_error(_model_rows(spark, sf), _keys()), 2, "mae")
 
 
 def q_buy_recommendations(spark, sf):

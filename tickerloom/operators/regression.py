@@ -4,6 +4,7 @@ The normal equations are solved in column expressions, so any number of models
 is one aggregation (or one growing window) and no Python runs.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import FLAT
@@ -67,7 +68,7 @@ def with_coefficients(df, features, target):
 
     df = df.withColumn("_b", F.get(F.transform(F.transform(standard, solve), unscale), F.lit(0)))
     status = (
-        F.when(F.col("n_train") < len(features) + 1, "too_few_rows")
+        F.when(F.coalesce("n_train", F.lit(0)) < len(features) + 1, "too_few_rows")
         .when(F.col("_b.b1").isNull(), "collinear").otherwise("ok")
     )
     df = df.withColumn("status", status)
@@ -79,15 +80,35 @@ def with_coefficients(df, features, target):
     return df.withColumn("intercept", F.when(usable, intercept)).drop("_b")
 
 
-def predicted(features, prefix=""):
-    """Prediction column for a row holding the features (under ``prefix``) and coefficients."""
+def predicted(features):
+    """Prediction column for a row holding the features and the coefficients."""
     out = F.col("intercept")
     for f in features:
-        out = out + F.col(f"b_{f}") * F.col(f"{prefix}{f}")
+        out = out + F.col(f"b_{f}") * F.col(f)
     return out
 
 
-def fit(train, groups, features, target):
-    """One coefficient row per group."""
-    solved = with_coefficients(train.groupBy(*groups).agg(*moments(features, target)), features, target)
-    return solved.select(*groups, "n_train", "status", "intercept", *[f"b_{f}" for f in features])
+def fitted(rows, groups, features, target, use):
+    """Every row with its group's coefficients, trained on the rows where ``use`` holds.
+
+    The moments are window values, so fitting adds no shuffle beyond bringing a group together.
+    """
+    whole = Window.partitionBy(*groups)
+    marked = rows.withColumns({f"t_{c}": F.when(use, F.col(c).cast("double")) for c in [*features, target]})
+    names, goal = [f"t_{c}" for c in features], f"t_{target}"
+    return _renamed(with_coefficients(marked.select("*", *moments(names, goal, whole)), names, goal), rows, features)
+
+
+def fitted_so_far(rows, groups, order, features, target, use):
+    """As :func:`fitted`, but each row's model is trained on the earlier rows only."""
+    before = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    marked = rows.withColumns({f"t_{c}": F.when(use, F.col(c).cast("double")) for c in [*features, target]})
+    names, goal = [f"t_{c}" for c in features], f"t_{target}"
+    return _renamed(with_coefficients(marked.select("*", *moments(names, goal, before)), names, goal), rows, features)
+
+
+def _renamed(solved, rows, features):
+    return solved.select(
+        *rows.columns, F.coalesce("n_train", F.lit(0)).alias("n_train"), "status", "intercept",
+        *[F.col(f"b_t_{f}").alias(f"b_{f}") for f in features],
+    )

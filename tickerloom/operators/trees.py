@@ -23,7 +23,9 @@ def _best_split(x, y):
         k = int(np.argmax(gain))
         if best is None or gain[k] > best[0]:
             at = cuts[k]
-            best = (gain[k], j, (values[at] + values[at + 1]) / 2.0)
+            middle = (values[at] + values[at + 1]) / 2.0
+            # neighbouring doubles have no middle; the lower value still separates them
+            best = (gain[k], j, middle if middle < values[at + 1] else values[at])
     return best
 
 

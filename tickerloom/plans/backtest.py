@@ -10,7 +10,7 @@ from ..functions.scalars import (
 from ..operators.ranking import top_k_per_group
 from ..operators.windows import calendar_next
 from ..session import cut_lineage
-from .training import PAIR, TARGET, fit_predict, scoring_set, training_set
+from .training import PAIR, TARGET, fit_predict, model_rows
 from .weekly import week_calendar
 
 
@@ -23,9 +23,7 @@ def backtest_predictions(weekly, counts, pairs, model_type="linear"):
     aligned = cut_lineage(
         pairs.select(*keys).withColumn("start_date", same_or_next_monday("start_date")).dropDuplicates(keys)
     )
-    train = training_set(weekly, counts, aligned, cutoff="end_date")
-    score = scoring_set(weekly, counts, aligned, cutoff="end_date")
-    scored = fit_predict(train, score, keys, model_type, keep=["week_opening_date", "prediction_date", TARGET])
+    scored = fit_predict(model_rows(weekly, counts, aligned, cutoff="end_date"), keys, model_type)
     return scored.filter(F.col("predicted_price").isNotNull()).select(
         F.lit(model_type).alias("model_type"), "current_week", "prediction_date", "week_opening_date",
         "mention_rolling_avg", "current_close_price", F.col(TARGET).alias("next_week_close_price"),

@@ -6,24 +6,24 @@ from ..constants import BUY_BLACKLIST, BUY_EXCLUDED_KEYWORD, MIN_GROWTH, RECENT_
 from ..functions.scalars import change, dollar_text, half_even, percent_text, ratio, weeks_after
 from ..operators.filters import all_of, none_of, within_last_days
 from ..session import cut_lineage
-from .training import PAIR, TARGET, fit_predict, latest_features, scoring_set, training_set, with_cutoff
+from .training import PAIR, TARGET, fit_predict, latest_features, model_rows
 
 
-def buy_recommendations(weekly, counts, prices, pairs, model_type="linear", opposite_type=False,
-                        history_start="1990-01-01"):
+def buy_recommendations(weekly, counts, prices, pairs, model_type="linear", opposite_type=False):
     """For each pair: train up to its last usable filing week, predict from the latest features.
 
     ``pairs`` is small and read several times, so its lineage is cut first.
     """
-    pairs = cut_lineage(pairs.select(*PAIR, "end_date"))
-    dated = with_cutoff(weekly, counts, pairs, history_start)
     keys = [*PAIR, "end_date"]
-    train = training_set(weekly, counts, dated)
-    last = scoring_set(weekly, counts, dated).select(
-        *keys, F.col("prediction_date").alias("previous_weekly_open_date"),
-        F.col(TARGET).alias("previous_weekly_close_price"))
+    pairs = cut_lineage(pairs.select(*keys))
+    rows = model_rows(weekly, counts, pairs)
     latest = latest_features(weekly, counts, prices, pairs, opposite_type)
-    scored = fit_predict(train, latest, keys, model_type)
+    asked = latest.withColumn(TARGET, F.lit(None).cast("double")).withColumn("part", F.lit("latest"))
+    both = rows.unionByName(asked)
+    scored = fit_predict(both, keys, model_type, ask="latest")
+    last = rows.filter(F.col("part") == "score").select(
+        *keys, weeks_after("week_opening_date", "time_delay").alias("previous_weekly_open_date"),
+        F.col(TARGET).alias("previous_weekly_close_price"))
     return scored.filter(F.col("predicted_price").isNotNull()).join(last, keys).select(
         "previous_weekly_open_date", "previous_weekly_close_price",
         F.col("predicted_price").alias("predicted_weekly_close_price"),

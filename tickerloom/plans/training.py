@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import SPLIT_SEED, TRAINING_WARMUP
 from ..functions.scalars import mean_absolute_error, packed_date, weeks_after
-from ..operators.regression import fit, moments, predicted, with_coefficients
+from ..operators.regression import fitted, fitted_so_far, predicted
 from ..operators.trees import predict_with_trees
 from ..operators.windows import interpolate_linear, trailing_mean, value_weeks_ahead
 from .keywords import mention_rates
@@ -56,60 +56,45 @@ def filing_weeks(weekly, counts, pairs, history_start="1990-01-01"):
     )
 
 
-def with_cutoff(weekly, counts, pairs, history_start="1990-01-01"):
-    """Pairs with their last usable filing week as ``cutoff``; pairs without one drop out."""
-    last = filing_weeks(weekly, counts, pairs, history_start).groupBy(*_pair_keys(pairs)).agg(
-        F.max("filing_week").alias("cutoff"))
-    return pairs.join(last, _pair_keys(pairs))
-
-
 def split_hash(keys, week="week_opening_date", seed=SPLIT_SEED):
     """Order of rows for the hold-out split: stable, the same on any partitioning."""
     return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col(week).cast("string"), F.lit(str(seed))))
 
 
-def _usable(weeks, keys, cutoff):
-    """Rows before the cutoff with a later close, without each pair's first three."""
-    rows = weeks.filter(F.col(TARGET).isNotNull() & (F.col("week_opening_date") < cutoff))
-    order = Window.partitionBy(*keys).orderBy("week_opening_date")
-    return (
-        rows.withColumn("_pos", F.row_number().over(order))
-        .filter(F.col("_pos") > TRAINING_WARMUP).drop("_pos")
-    )
-
+def model_rows(weekly, counts, pairs, cutoff=None):
+    """All rows a pair's model needs, with ``part`` = train, test (10 %, rounded up) or score.
 
-def training_set(weekly, counts, pairs, cutoff="cutoff"):
-    """Training rows per pair, gaps filled, with ``part`` = train or test (10 %, rounded up)."""
+    Training rows lie before the cutoff, without the pair's first three; the score row is
+    the cutoff week itself. The cutoff is a date column of ``pairs``, or by default the
+    pair's last week that has a close n weeks later. Everything after the joins runs on
+    one partitioning by pair.
+    """
     keys = _pair_keys(pairs)
-    weeks = _carry(pair_weeks(weekly, counts, pairs), pairs, keys, cutoff)
-    rows = _usable(weeks, keys, _cutoff(pairs, cutoff))
-    filled = interpolate_linear(rows, keys, ["week_opening_date"], [*FEATURES[1:], TARGET])
-    ranked = Window.partitionBy(*keys).orderBy(split_hash(PAIR))
-    size = F.ceil(F.count(F.lit(1)).over(Window.partitionBy(*keys)) * 0.1)
-    return (
-        filled.withColumn("part", F.when(F.row_number().over(ranked) <= size, "test").otherwise("train"))
-        .select(*keys, "week_opening_date", *FEATURES, TARGET, "part")
-    )
+    rows = pair_weeks(weekly, counts, pairs).filter(F.col(TARGET).isNotNull())
+    whole = Window.partitionBy(*keys)
+    last = F.col(cutoff) if cutoff else F.max("week_opening_date").over(whole)
+    rows = rows.withColumns({
+        "cutoff": last, "_pos": F.row_number().over(whole.orderBy("week_opening_date")),
+    })
+    before = F.col("week_opening_date") < F.col("cutoff")
+    rows = rows.withColumn("_fit", before & (F.col("_pos") > TRAINING_WARMUP)).filter(
+        F.col("_fit") | (F.col("week_opening_date") == F.col("cutoff")))
+    filled = interpolate_linear(rows, [*keys, "_fit"], ["week_opening_date"], [*FEATURES[1:], TARGET])
+    group = Window.partitionBy(*keys, "_fit")
+    place = F.row_number().over(group.orderBy(split_hash(PAIR)))
+    held = place <= F.ceil(F.count(F.lit(1)).over(group) * 0.1)
+    part = F.when(~F.col("_fit"), "score").when(held, "test").otherwise("train")
+    return filled.select(*keys, "week_opening_date", *FEATURES, TARGET, part.alias("part"))
 
 
-def _cutoff(pairs, cutoff):
-    return F.col(cutoff) if cutoff in pairs.columns else F.to_date(F.lit(str(cutoff)))
+def training_set(weekly, counts, pairs, cutoff=None):
+    return model_rows(weekly, counts, pairs, cutoff).filter(F.col("part") != "score")
 
 
-def _carry(weeks, pairs, keys, cutoff):
-    if cutoff in pairs.columns and cutoff not in keys:
-        return weeks.join(pairs.select(*keys, cutoff), keys)
-    return weeks
-
-
-def scoring_set(weekly, counts, pairs, cutoff="cutoff"):
-    """The row at the cutoff itself, with the later week and close it can be checked against."""
-    keys = _pair_keys(pairs)
-    weeks = _carry(pair_weeks(weekly, counts, pairs), pairs, keys, cutoff)
-    return weeks.filter(F.col(TARGET).isNotNull() & (F.col("week_opening_date") == _cutoff(pairs, cutoff))).select(
-        *keys, "week_opening_date", weeks_after("week_opening_date", "time_delay").alias("prediction_date"),
-        *FEATURES, TARGET,
-    )
+def scoring_set(weekly, counts, pairs, cutoff=None):
+    """The row at the cutoff, with the later week and close it can be checked against."""
+    rows = model_rows(weekly, counts, pairs, cutoff).filter(F.col("part") == "score")
+    return rows.withColumn("prediction_date", weeks_after("week_opening_date", "time_delay")).drop("part")
 
 
 def latest_features(weekly, counts, prices, pairs, opposite_type=False):
@@ -142,35 +127,33 @@ def latest_features(weekly, counts, prices, pairs, opposite_type=False):
 
 # ---- models ------------------------------------------------------------------
 
-def fit_predict(train, ask, keys, model_type="linear", keep=()):
-    """Fit every pair on its training rows and predict the rows of ``ask``.
+def fit_predict(rows, keys, model_type="linear", ask="score"):
+    """Fit every pair on its training rows and predict its rows in part ``ask``.
 
-    Pairs that cannot be fitted keep their row with a NULL prediction and a ``status``.
+    ``rows`` come from :func:`model_rows`. Pairs that cannot be fitted keep their row
+    with a NULL prediction and a ``status``.
     """
     if model_type not in MODELS:
         raise ValueError(f"model_type must be one of {MODELS}")
-    keep = [c for c in keep if c not in keys]
+    kept = ["week_opening_date", *FEATURES, TARGET]
     if model_type == "linear":
-        models = fit(train.filter(F.col("part") == "train"), keys, FEATURES, TARGET)
-        scored = ask.join(models, keys, "left").withColumn("predicted_price", predicted(FEATURES))
-        return scored.withColumn("status", F.coalesce("status", F.lit("no_rows"))).select(
-            *keys, *keep, *FEATURES, "predicted_price", "status")
-    columns = list(dict.fromkeys([*keys, *FEATURES, TARGET, *keep]))
-    asked = ask if TARGET in ask.columns else ask.withColumn(TARGET, F.lit(None).cast("double"))
-    rows = (
-        train.filter(F.col("part") == "train").select(*keys, *FEATURES, TARGET, "part")
-        .unionByName(asked.select(*columns).withColumn("part", F.lit("ask")), allowMissingColumns=True)
+        scored = (
+            fitted(rows, keys, FEATURES, TARGET, F.col("part") == "train")
+            .filter(F.col("part") == ask).withColumn("predicted_price", predicted(FEATURES))
+        )
+    else:
+        scored = predict_with_trees(
+            rows.filter(F.col("part").isin("train", ask)), keys, FEATURES, TARGET, model_type, kept
+        ).withColumn("status", F.when(F.col("predicted_price").isNull(), "too_few_rows").otherwise("ok"))
+    return scored.select(
+        *keys, *kept, weeks_after("week_opening_date", "time_delay").alias("prediction_date"),
+        "predicted_price", "status",
     )
-    scored = predict_with_trees(rows, keys, FEATURES, TARGET, model_type, [*FEATURES, *keep])
-    return scored.withColumn(
-        "status", F.when(F.col("predicted_price").isNull(), "no_rows").otherwise("ok")
-    ).select(*keys, *keep, *FEATURES, "predicted_price", "status")
 
 
-def holdout_error(train, keys, model_type="linear"):
+def holdout_error(rows, keys, model_type="linear"):
     """Mean absolute error on the held-out rows, per pair."""
-    ask = train.filter(F.col("part") == "test").drop("part")
-    scored = fit_predict(train, ask, keys, model_type, keep=["week_opening_date", TARGET])
+    scored = fit_predict(rows, keys, model_type, ask="test")
     return scored.filter(F.col("predicted_price").isNotNull()).groupBy(*keys).agg(
         mean_absolute_error(TARGET, "predicted_price").alias("mae"), F.count(F.lit(1)).alias("n_test"))
 
@@ -190,20 +173,10 @@ def walk_forward(weekly, counts, pairs, validate_from, model_type="linear"):
     order = Window.partitionBy(*keys).orderBy("week_opening_date")
     held = F.conv(F.substring(split_hash(PAIR), 1, 4), 16, 10).cast("int") % 10 == 0
     rows = weeks.withColumn("_use", (F.row_number().over(order) > TRAINING_WARMUP) & ~held)
-    train = [*FEATURES, TARGET]
-    rows = rows.withColumns({f"t_{c}": F.when(F.col("_use"), F.col(c).cast("double")) for c in train})
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    names = [f"t_{c}" for c in FEATURES]
-    running = rows.select("*", *moments(names, f"t_{TARGET}", before))
-    # moments pair up rows: a row out of use is NULL in every training column
-    solved = with_coefficients(
-        running.withColumn("n_train", F.coalesce("n_train", F.lit(0))), names, f"t_{TARGET}")
-    price = F.col("intercept")
-    for c in FEATURES:
-        price = price + F.col(f"b_t_{c}") * F.col(c)
+    solved = fitted_so_far(rows, keys, "week_opening_date", FEATURES, TARGET, F.col("_use"))
     return solved.filter(F.col("week_opening_date") >= F.to_date(F.lit(str(validate_from)))).select(
         *keys, F.col("week_opening_date").alias("filing_week"),
         weeks_after("week_opening_date", "time_delay").alias("week_opening_date"),
         *FEATURES, F.col(TARGET).alias("next_week_close_price"),
-        price.alias("predicted_price"), "n_train", "status",
+        predicted(FEATURES).alias("predicted_price"), "n_train", "status",
     )
