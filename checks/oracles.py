@@ -430,10 +430,8 @@ _ENTITIES = [
 
 
 def html_text(c):
-    out = c
-    for pattern, flags in (("<!--.*?-->", "gs"), ("<script[^>]*>.*?</script\\s*>", "gsi"),
-                           ("<style[^>]*>.*?</style\\s*>", "gsi"), ("<[A-Za-z/!?][^>]*>", "g")):
-        out = f"regexp_replace({out}, '{pattern}', chr(1), '{flags}')"
+    markup = "<!--.*?-->|<script[^>]*>.*?</script\\s*>|<style[^>]*>.*?</style\\s*>|<[a-z/!?][^>]*>"
+    out = f"regexp_replace({c}, '{markup}', chr(1), 'gsi')"
     out = f"regexp_replace({out}, '<[A-Za-z/!?][^>]*$', '', 'g')"
     out = f"regexp_replace({out}, '^\\x01+|\\x01+$', '', 'g')"
     out = f"regexp_replace({out}, '\\x01+', chr(10) || chr(10), 'g')"

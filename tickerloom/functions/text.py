@@ -65,13 +65,11 @@ def info_text(html) -> Column:
 
 def html_to_text(html) -> Column:
     """Text nodes joined by blank lines; comments, scripts, styles and a cut-off last tag dropped."""
-    text = F.regexp_replace(col(html), r"(?s)<!--.*?-->", _MARK)
-    text = F.regexp_replace(text, r"(?is)<script[^>]*>.*?</script\s*>", _MARK)
-    text = F.regexp_replace(text, r"(?is)<style[^>]*>.*?</style\s*>", _MARK)
-    text = F.regexp_replace(text, r"<[A-Za-z/!?][^>]*>", _MARK)
+    # one alternation: the markup that starts first wins, with all it encloses
+    text = F.regexp_replace(
+        col(html), r"(?is)<!--.*?-->|<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>|<[a-z/!?][^>]*>", _MARK)
     text = F.regexp_replace(text, r"<[A-Za-z/!?][^>]*$", "")
-    text = F.regexp_replace(text, f"^{_MARK}+|{_MARK}+$", "")
-    text = F.regexp_replace(text, f"{_MARK}+", "\n\n")
+    text = F.regexp_replace(F.btrim(text, F.lit(_MARK)), f"{_MARK}+", "\n\n")
     for entity, plain in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(plain))
     return text
@@ -91,19 +89,26 @@ def main_document(content, filing_type) -> Column:
     return F.substring_index(chosen, "<DOCUMENT>", -1)
 
 
-def _heading(item):
-    tail = r"(?:[^A]|$)" if item == "7" else ""
-    return rf"(?s)^(.*)(?:>Item(?: |&#160;|&nbsp;){item}|ITEM {item}){tail}"
+def _headings(item):
+    return [f">Item {item}", f">Item&#160;{item}", f">Item&nbsp;{item}", f"ITEM {item}"]
+
+
+def hide_longer_heading(document, item):
+    """Document of equal length in which headings of ``item`` no longer match its prefix (7 in 7A)."""
+    document = col(document)
+    for heading in _headings(item):
+        document = F.replace(document, F.lit(heading), F.lit(_MARK * len(heading)))
+    return document
 
 
 def last_heading(document, item) -> Column:
     """Zero-based offset of the item's last heading; NULL when it has none."""
     document = col(document)
-    pattern = _heading(item)
-    return F.when(
-        F.regexp_like(document, F.lit(pattern)),
-        F.length(F.regexp_extract(document, pattern, 1)),
-    )
+    found = []
+    for heading in _headings(item):
+        after = F.length(F.substring_index(document, heading, -1))
+        found.append(F.when(after < F.length(document), F.length(document) - after - len(heading)))
+    return F.greatest(*found)
 
 
 def between_offsets(document, start, end) -> Column:

@@ -75,6 +75,11 @@ def _rolling_from(start):
     return F.try_divide(total, F.size(kept).cast("double"))
 
 
+def _month_number(c):
+    c = F.col(c) if isinstance(c, str) else c
+    return F.year(c) * 12 + F.month(c) - 1
+
+
 def _months(first, last):
     step = F.expr("interval 1 month")
     return F.when(first <= last, F.sequence(first, last, step)).otherwise(F.array().cast("array<date>"))
@@ -88,30 +93,32 @@ def correlations_by_start(series, since):
     the month its frame begins in; sums over later months then complete each start. Rows
     grow with weeks, not with weeks x start months.
     """
-    since = F.trunc(F.to_date(F.lit(str(since))), "month")
+    opening = _month_number(F.to_date(F.lit(str(since))))
     everything = Window.partitionBy(*SERIES)
-    rows = _framed(series).withColumns({
+    ordered = everything.orderBy("week_opening_date")
+    first_week = F.min("week_opening_date").over(everything)
+    rows = series.withColumns({
+        "rolling": F.avg("mention_rate").over(ordered.rowsBetween(-12, 0)),
+        "frame_month": _month_number(F.coalesce(F.lag("week_opening_date", 12).over(ordered), first_week)),
+        "week_month": _month_number("week_opening_date"),
         "x": F.col("week_close_price") - F.avg("week_close_price").over(everything),
         "centre": F.avg("mention_rate").over(everything),
-        "first": F.col("week_opening_date") == F.min("week_opening_date").over(everything),
+        "first": F.col("week_opening_date") == first_week,
     })
-    frame_month = F.trunc("frame_start", "month")
-    week_month = F.trunc("week_opening_date", "month")
-    partial = F.transform(
-        _months(F.add_months(frame_month, 1), week_month),
-        lambda m: F.struct(m.alias("start"), _rolling_from(m).alias("y"), F.lit(1).alias("kind")),
-    )
-    whole = F.array(F.struct(frame_month.alias("start"), F.col("rolling").alias("y"), F.lit(2).alias("kind")))
-    # starts before the series begins have no row of their own; an empty entry stands in
-    leading = F.when(
-        F.col("first"),
-        F.transform(_months(since, week_month), lambda m: F.struct(
-            m.alias("start"), F.lit(None).cast("double").alias("y"), F.lit(0).alias("kind"))),
-    ).otherwise(F.array().cast("array<struct<start:date,y:double,kind:int>>"))
+    # months up to the row's own: the one its frame begins in stands for all earlier starts (kind
+    # 2), later ones restate the rolling rate (1); starts before the series have no row of
+    # their own, so its first row leaves an empty entry for each (0)
+    months = F.sequence(F.when(F.col("first"), opening).otherwise(F.col("frame_month")), F.col("week_month"))
     entries = rows.select(
-        *SERIES, "x", "centre", F.col("week_close_price").alias("p"),
-        F.inline(F.concat(partial, whole, leading)),
-    ).withColumn("dy", F.col("y") - F.col("centre"))
+        *SERIES, "week_opening_date", "x", "centre", "rolling", "mention_rate", "frame_month",
+        F.col("week_close_price").alias("p"), F.explode(months).alias("month"),
+    ).withColumn("kind", F.when(F.col("month") == F.col("frame_month"), 2)
+                 .when(F.col("month") > F.col("frame_month"), 1).otherwise(0))
+    since_start = Window.partitionBy(*SERIES, "month").orderBy("week_opening_date").rowsBetween(
+        Window.unboundedPreceding, 0)
+    restated = F.avg(F.when(F.col("kind") == 1, F.col("mention_rate"))).over(since_start)
+    entries = entries.withColumn("y", F.when(F.col("kind") == 2, F.col("rolling")).otherwise(restated))
+    entries = entries.withColumn("dy", F.col("y") - F.col("centre"))
 
     def sums(kind, tag):
         use = F.col("kind") == kind
@@ -124,13 +131,13 @@ def correlations_by_start(series, since):
             out += [F.min(F.when(use, F.col(t))).alias(f"{tag}_lo{n}"), F.max(F.when(use, F.col(t))).alias(f"{tag}_hi{n}")]
         return out
 
-    monthly = entries.groupBy(*SERIES, F.col("start").alias("start_date")).agg(*sums(1, "own"), *sums(2, "all"))
-    later = Window.partitionBy(*SERIES).orderBy(F.col("start_date").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    monthly = entries.groupBy(*SERIES, "month").agg(*sums(1, "own"), *sums(2, "all"))
+    later = Window.partitionBy(*SERIES).orderBy(F.col("month").desc()).rowsBetween(Window.unboundedPreceding, 0)
     totals = {n: F.col(f"own_{n}") + F.sum(f"all_{n}").over(later) for n in ("n", "x", "y", "xx", "yy", "xy")}
     for n in ("p", "q"):
         totals[f"lo{n}"] = F.least(F.col(f"own_lo{n}"), F.min(f"all_lo{n}").over(later))
         totals[f"hi{n}"] = F.greatest(F.col(f"own_hi{n}"), F.max(f"all_hi{n}").over(later))
-    t = monthly.select(*SERIES, "start_date", *[e.alias(n) for n, e in totals.items()])
+    t = monthly.select(*SERIES, "month", *[e.alias(n) for n, e in totals.items()])
 
     def moves(n):
         return F.col(f"hi{n}") - F.col(f"lo{n}") > FLAT * F.greatest(F.abs(f"hi{n}"), F.abs(f"lo{n}"))
@@ -140,7 +147,8 @@ def correlations_by_start(series, since):
     var_x = F.col("xx") - F.try_divide(F.col("x") * F.col("x"), n)
     var_y = F.col("yy") - F.try_divide(F.col("y") * F.col("y"), n)
     corr = F.when(moves("p") & moves("q") & (var_x > 0) & (var_y > 0), F.try_divide(cov, F.sqrt(var_x) * F.sqrt(var_y)))
-    return t.select(*SERIES, "start_date", corr.alias("correlation"))
+    start = F.make_date(F.floor(F.col("month") / 12).cast("int"), F.col("month") % 12 + 1, F.lit(1))
+    return t.select(*SERIES, start.alias("start_date"), corr.alias("correlation"))
 
 
 def correlation_grid(weekly, counts, starts, since, as_of, lags, keywords, filing_types=FILING_TYPES,

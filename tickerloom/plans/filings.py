@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..constants import UNKNOWN_COMPANY
 from ..functions.text import (
-    accession_of, between_offsets, cik_of, filing_index_url, filing_type_of, html_to_text,
-    last_heading, main_document,
+    accession_of, between_offsets, cik_of, filing_index_url, filing_type_of, hide_longer_heading,
+    html_to_text, last_heading, main_document,
 )
 from ..operators.joins import lookup_with_default
 
@@ -23,7 +23,11 @@ def filing_sections(submissions, all_or_nothing=False):
     rows = submissions.withColumn("filing_type", filing_type_of("path")).filter(
         F.col("filing_type").isin("10-K", "10-Q"))
     rows = rows.withColumn("_doc", main_document("content", "filing_type")).drop("content")
-    rows = rows.withColumns({f"_i{i.lower()}": last_heading("_doc", i) for i in ("1A", "1B", "2", "7", "7A")})
+    rows = rows.withColumn("_doc7", hide_longer_heading("_doc", "7A"))
+    rows = rows.withColumns({
+        "_i1a": last_heading("_doc", "1A"), "_i1b": last_heading("_doc", "1B"), "_i2": last_heading("_doc", "2"),
+        "_i7": last_heading("_doc7", "7"), "_i7a": last_heading("_doc", "7A"),
+    })
     annual = F.col("filing_type") == "10-K"
     factors_end = F.when(annual, F.col("_i1b")).otherwise(F.col("_i2"))
     factors = between_offsets("_doc", F.col("_i1a"), factors_end)
