@@ -40,7 +40,8 @@ def cik_of(path) -> Column:
 
 
 def filing_type_of(path) -> Column:
-    return F.regexp_extract(col(path), r"/(\w+-\w+)/", 1)
+    """Form folder of a submission path: the one above the accession number."""
+    return F.regexp_extract(col(path), r"/(\w+-\w+)/\d+-\d+-\d+/", 1)
 
 
 def accession_of(path) -> Column:
