@@ -50,7 +50,8 @@ def rounded(df, digits, *columns):
 # ---- inputs -------------------------------------------------------------------
 
 def _weekly(spark, sf):
-    return weekly.weekly_prices(D.prices(spark, sf))
+    # the derived prices are grouped by symbol and day
+    return weekly.weekly_prices(D.prices(spark, sf), unique_times=True)
 
 
 def _counts(spark, sf):
@@ -334,7 +335,9 @@ def q_backtest_predictions_decision_tree(spark, sf):
 
 def q_returns_vs_index(spark, sf):
     df = backtest.returns_vs_index(_curve(spark, sf), D.index_prices(spark, sf))
-    return rounded(df, 6, "index_return", "backtest_return")
+    return rounded(
+        df.withColumn("backtest_log10", F.log10(F.col("backtest_return") + 1)).drop("backtest_return"),
+        6, "index_return", "backtest_log10")
 
 
 def q_curve_with_index(spark, sf):

@@ -678,7 +678,7 @@ SELECT 'linear' AS model_type, CAST(current_week AS BIGINT) AS current_week, {_d
 FROM shifted_pairs_score JOIN shifted_pairs_models USING ({_PAIR})""")
 O["returns_vs_index"] = twin(["curve", "index_prices"], f"""
 SELECT model_type, {day('f')} AS first_week, {day('l')} AS last_week, round(il / ix - 1, 6) AS index_return,
-       round(pl / pf - 1, 6) AS backtest_return, round_even((m * 52 - 0.04) / (s * sqrt(52)), 3) AS sharpe_ratio
+       round(log10(pl / pf), 6) AS backtest_log10, round_even((m * 52 - 0.04) / (s * sqrt(52)), 3) AS sharpe_ratio
 FROM (SELECT model_type, min(week_of_purchases) AS f, max(week_of_purchases) AS l, arg_min(portfolio_value, week_of_purchases) AS pf,
              arg_max(portfolio_value, week_of_purchases) AS pl, avg(lr) AS m, stddev_samp(lr) AS s
       FROM (SELECT *, ln(portfolio_value / lag(portfolio_value) OVER (PARTITION BY model_type ORDER BY week_of_purchases)) AS lr FROM curve)

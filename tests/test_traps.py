@@ -33,6 +33,8 @@ def test_weekly_open_and_close_with_equal_days(spark):
     for parts in (1, 3):
         df = weekly.weekly_prices(spark.createDataFrame(rows, schemas.PRICES).repartition(parts))
         assert values(df, "week_open_price", "week_close_price") == [(4.0, 8.0)]
+    one = spark.createDataFrame([rows[0], rows[2]], schemas.PRICES)
+    assert weekly.weekly_prices(one, unique_times=True).collect() == weekly.weekly_prices(one).collect()
 
 
 def test_keyword_flags_are_case_insensitive_substrings_and_null_safe(spark):

@@ -7,18 +7,22 @@ from ..operators.filters import all_of, dates_within, equals
 from ..operators.ranking import top_k
 
 
-def weekly_prices(prices):
+def weekly_prices(prices, unique_times=False):
     """First open and last close per symbol and Monday week; equal times are settled by price.
 
     Partial aggregation runs before the shuffle, so a symbol holding a large share of
-    the rows still arrives as one row per week and task.
+    the rows still arrives as one row per week and task. ``unique_times`` declares at
+    most one row per symbol and time, which allows hash instead of sort aggregation.
     """
-    return (
-        prices.groupBy("stock_symbol", week_of("created_at").alias("week_opening_date"))
-        .agg(
-            F.min(F.struct("created_at", "open_price")).getField("open_price").alias("week_open_price"),
-            F.max(F.struct("created_at", "close_price")).getField("close_price").alias("week_close_price"),
+    grouped = prices.groupBy("stock_symbol", week_of("created_at").alias("week_opening_date"))
+    if unique_times:
+        return grouped.agg(
+            F.min_by("open_price", "created_at").alias("week_open_price"),
+            F.max_by("close_price", "created_at").alias("week_close_price"),
         )
+    return grouped.agg(
+        F.min(F.struct("created_at", "open_price")).getField("open_price").alias("week_open_price"),
+        F.max(F.struct("created_at", "close_price")).getField("close_price").alias("week_close_price"),
     )
 
 
