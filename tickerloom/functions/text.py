@@ -105,11 +105,12 @@ def hide_longer_heading(document, item):
 def last_heading(document, item) -> Column:
     """Zero-based offset of the item's last heading; NULL when it has none."""
     document = col(document)
-    found = []
-    for heading in _headings(item):
-        after = F.length(F.substring_index(document, heading, -1))
-        found.append(F.when(after < F.length(document), F.length(document) - after - len(heading)))
-    return F.greatest(*found)
+    # without the heading, what follows "it" is the whole document and the offset is negative
+    offsets = [
+        F.length(document) - F.length(F.substring_index(document, heading, -1)) - len(heading)
+        for heading in _headings(item)
+    ]
+    return F.nullif(F.greatest(*offsets, F.lit(-1)), F.lit(-1))
 
 
 def between_offsets(document, start, end) -> Column:
