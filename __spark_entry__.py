@@ -27,6 +27,17 @@ from tickerloom.sources import derived as D
 from tickerloom.sources import tables
 from tickerloom.streaming import ingest
 
+try:  # the subpackage and its pipeline are optional; anything else that is missing is an error
+    from tickerloom.llm import registry as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("tickerloom.llm", "tickerloom.llm.registry", "corpus_pipeline"):
+        raise
+    llm = None
+except ImportError as missing:
+    if missing.name != "tickerloom.llm":
+        raise
+    llm = None
+
 
 def portable(df: DataFrame) -> DataFrame:
     """Result types both engines print alike: ISO text for dates, bigint, double."""
@@ -543,8 +554,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def wrap(fn):
         return lambda spark, sf: portable(fn(spark, sf))
 
-    return {name: wrap(fn) for name, fn in found.items()}
+    return {name: wrap(fn) for name, fn in found.items()} | (llm.queries() if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, sql in ORACLES.items() if f"q_{name}" in globals()}
+    own = {name: sql for name, sql in ORACLES.items() if f"q_{name}" in globals()}
+    return own | (llm.oracle_sql() if llm else {})
