@@ -48,5 +48,14 @@ def landed(df, name):
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a side is broadcast; beyond, Spark shuffles or decides by size itself.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_checked(df, most=BROADCAST_ROWS):
+    """Mark a landed table for broadcast after counting it; one with more rows is left to the optimizer."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -31,4 +31,113 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits
 FROM b
 """
 
-ORACLES = {"op7_rule_ledger": OP7}
+OP1 = r"""
+WITH d AS (
+  SELECT doc_id, lang, source, coalesce(lang, chr(0)) AS n1, coalesce(source, chr(0)) AS n2,
+         'd' || CASE WHEN regexp_extract(coalesce(source, ''), '[0-9]+') = '' THEN 0
+                ELSE right(regexp_extract(source, '[0-9]+'), 9)::BIGINT % 4 END AS n0,
+         len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS n_tokens
+  FROM documents),
+leaf AS (SELECT n0, n1, n2, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL),
+all_tokens AS (SELECT sum(tokens)::BIGINT AS given FROM leaf),
+c0 AS (
+  SELECT n0, 2 * sum(tokens)::BIGINT AS cap, CASE n0 WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END AS w,
+         (SELECT given FROM all_tokens) AS given
+  FROM leaf GROUP BY n0),
+p0 AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, n0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS bc,
+         (sum(w) OVER (ORDER BY cap / w, n0 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS aw FROM c0),
+l0 AS (SELECT bc, aw FROM p0 WHERE cap * aw > (given - bc) * w ORDER BY cap / w, n0 LIMIT 1),
+b0 AS (
+  SELECT p0.n0, CASE WHEN p0.cap * p0.aw > (p0.given - p0.bc) * p0.w
+                THEN least(p0.cap, (p0.given - (SELECT bc FROM l0)) * p0.w // (SELECT aw FROM l0)) ELSE p0.cap END AS given
+  FROM p0),
+c1 AS (
+  SELECT n0, n1, 2 * sum(tokens)::BIGINT AS cap, CASE n1 WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS w, given
+  FROM leaf JOIN b0 USING (n0) GROUP BY n0, n1, given),
+p1 AS (
+  SELECT *, coalesce(sum(cap) OVER (PARTITION BY n0 ORDER BY cap / w, n0, n1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS bc,
+         (sum(w) OVER (PARTITION BY n0 ORDER BY cap / w, n0, n1 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS aw FROM c1),
+l1 AS (SELECT DISTINCT ON (n0) n0, bc AS lbc, aw AS law FROM p1 WHERE cap * aw > (given - bc) * w ORDER BY n0, cap / w, n1),
+b1 AS (
+  SELECT n0, n1, CASE WHEN cap * aw > (given - bc) * w THEN least(cap, (given - lbc) * w // law) ELSE cap END AS given
+  FROM p1 LEFT JOIN l1 USING (n0)),
+c2 AS (SELECT n0, n1, n2, tokens, 2 * tokens AS cap, 1 AS w, given FROM leaf JOIN b1 USING (n0, n1)),
+p2 AS (
+  SELECT *, coalesce(sum(cap) OVER (PARTITION BY n0, n1 ORDER BY cap / w, n0, n1, n2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS bc,
+         (sum(w) OVER (PARTITION BY n0, n1 ORDER BY cap / w, n0, n1, n2 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS aw FROM c2),
+l2 AS (SELECT DISTINCT ON (n0, n1) n0, n1, bc AS lbc, aw AS law FROM p2 WHERE cap * aw > (given - bc) * w ORDER BY n0, n1, cap / w, n2),
+b2 AS (
+  SELECT n0, n1, n2, tokens, CASE WHEN cap * aw > (given - bc) * w THEN least(cap, (given - lbc) * w // law) ELSE cap END AS budget
+  FROM p2 LEFT JOIN l2 USING (n0, n1)),
+e AS (
+  SELECT b2.*, epoch, least(tokens, budget - tokens * epoch) AS rest FROM b2, (VALUES (0), (1)) v(epoch)
+  WHERE (budget > 0 OR tokens = 0) AND epoch <= CASE WHEN tokens = 0 THEN 0 ELSE (budget - 1) // tokens END),
+o AS (
+  SELECT doc_id, lang, source, n_tokens, epoch, tokens, budget, rest,
+         sum(n_tokens) OVER (PARTITION BY n0, n1, n2, epoch ORDER BY md5('1:' || epoch || ':' || coalesce(doc_id::VARCHAR, chr(0)))
+                             RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM d JOIN e USING (n0, n1, n2))
+SELECT doc_id, epoch::BIGINT AS epoch, lang, source, n_tokens, tokens AS leaf_tokens, budget::BIGINT AS leaf_budget
+FROM o WHERE upto <= rest
+"""
+
+
+def _license_sql():
+    from .licenses import BAND, COVERAGE, K, TEMPLATES
+
+    rows = [(i, p, " ".join(t.words[p:p + K]), t.label, t.base, len(t.words))
+            for i, t in enumerate(TEMPLATES) for p in range(len(t.words) - K + 1)]
+    values = ", ".join(f"({i}, {p}, '{g}', '{label}', {base}, {n})" for i, p, g, label, base, n in rows)
+    return rf"""
+WITH t(tid, tpos, gram, label, base, tw) AS (VALUES {values}),
+d AS (
+  SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+e AS (SELECT k, w, unnest(range(0, len(w) - {K} + 1)) AS pos FROM d),
+h AS (
+  SELECT k, tid, pos - tpos AS diag, tpos, pos, label, base, tw
+  FROM (SELECT k, pos, array_to_string(w[pos + 1 : pos + {K}], ' ') AS gram FROM e) JOIN t USING (gram)),
+g AS (
+  SELECT k, tid, diag, label, base, tw, list(tpos) AS places, min(pos) AS lo, max(pos) AS hi,
+         count(DISTINCT tpos) = tw - {K - 1} AS exact
+  FROM h GROUP BY k, tid, diag, label, base, tw),
+b AS (
+  SELECT k, count(*) AS n_base, min(diag) AS first_word, max(diag) AS last_word,
+         array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels
+  FROM g WHERE base AND exact GROUP BY k),
+s AS (
+  SELECT *, sum(new) OVER (PARTITION BY k, tid ORDER BY diag) AS span FROM (
+    SELECT *, CASE WHEN diag - lag(diag) OVER (PARTITION BY k, tid ORDER BY diag) <= {BAND} THEN 0 ELSE 1 END AS new FROM g)),
+m AS (
+  SELECT k, tid, span, label, tw, min(lo) AS lo, max(hi) + {K} AS hi, bool_or(exact) AS exact,
+         len(list_distinct(flatten(list_transform(flatten(list(places)), lambda p: range(p, p + {K}))))) AS covered
+  FROM s GROUP BY k, tid, span, label, tw),
+o AS (
+  SELECT k, coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (exact OR covered >= {COVERAGE} * tw))), ','), '') AS labels,
+         max(least(1.0::DOUBLE, covered::DOUBLE / greatest(tw, CASE WHEN exact THEN covered ELSE hi - lo END))) AS score
+  FROM m GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN b USING (k) LEFT JOIN o USING (k)
+"""
+
+
+OP10 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+e AS (SELECT k, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT k, array_to_string(w[p : p + 4], ' ') AS gram FROM e),
+z AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+o AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.k <> b.k GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN z x ON x.k = a JOIN z y ON y.k = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r(a, b) AS (SELECT k, k FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT x.doc_id, coalesce(any_value(z.n), 0)::BIGINT AS n_shingles, min(y.doc_id)::BIGINT AS component_id
+FROM r JOIN d x ON x.k = r.a JOIN d y ON y.k = r.b LEFT JOIN z ON z.k = r.a GROUP BY r.a, x.doc_id
+"""
+
+ORACLES = {"op10_jaccard_join": OP10, "op1_mixture": OP1, "op6_license_scan": _license_sql(), "op7_rule_ledger": OP7}

@@ -2,11 +2,35 @@
 
 from pyspark.sql import functions as F
 
-from . import rules, token_counts
+from . import jaccard_join, licenses, mixing, rules, token_counts
 from .common import table
 from .oracles import ORACLES
 
 
+#: Weights among siblings; the tree is domain (sources in four groups), language, source.
+MIX_TREE = ("domain", "lang", "source")
+MIX_WEIGHTS = {
+    ("d0",): 4, ("d1",): 3, ("d2",): 2, ("d3",): 1,
+    **{(f"d{i}", lang): w for i in range(4) for lang, w in (("en", 5), ("de", 2), ("fr", 2), ("es", 1))},
+}
+
+
+def mix_nodes():
+    number = F.regexp_extract(F.coalesce(F.col("source"), F.lit("")), "([0-9]+)", 1)
+    domain = F.concat(F.lit("d"), F.when(number == "", 0).otherwise(F.right(number, F.lit(9)).cast("bigint") % 4).cast("string"))
+    return [domain, F.col("lang"), F.col("source")]
+
+
+def op1_mixture(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("n_tokens", mixing.word_tokens())
+    out = mixing.mix(docs, MIX_WEIGHTS, tree=MIX_TREE, nodes=mix_nodes(), tokens=F.col("n_tokens"), seed=1, max_epochs=2)
+    return out.select("doc_id", "epoch", "lang", "source", "n_tokens", "leaf_tokens", "leaf_budget")
+
+
+def op6_license_scan(spark, sf_dir):
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_rule_ledger(spark, sf_dir):
     out = rules.quality_rules(table(spark, sf_dir, "documents"))
     return out.select(
@@ -18,6 +42,10 @@ def op8_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: fn for name, fn in globals().items() if name.startswith("op")}
 
