@@ -140,4 +140,31 @@ SELECT x.doc_id, coalesce(any_value(z.n), 0)::BIGINT AS n_shingles, min(y.doc_id
 FROM r JOIN d x ON x.k = r.a JOIN d y ON y.k = r.b LEFT JOIN z ON z.k = r.a GROUP BY r.a, x.doc_id
 """
 
-ORACLES = {"op10_jaccard_join": OP10, "op1_mixture": OP1, "op6_license_scan": _license_sql(), "op7_rule_ledger": OP7}
+OP5 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+i AS (
+  SELECT row_number() OVER () AS j, item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark),
+ig AS (SELECT j, p, least(len(w), 5) AS g, w[p : p + least(len(w), 5) - 1] AS gram, len(w) AS l
+       FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS p FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT g FROM ig),
+dg AS (SELECT k, g, p, w[p : p + g - 1] AS gram FROM (
+       SELECT k, w, g, unnest(range(1, len(w) - g + 2)) AS p FROM d, sizes WHERE len(w) >= g)),
+win AS (SELECT DISTINCT k, j, g, l, dg.p - ig.p AS start FROM dg JOIN ig USING (g, gram)),
+wg AS (SELECT k, j, start, gram, count(*) AS n FROM win JOIN dg USING (k, g)
+       WHERE p > greatest(start, 0) AND p + g - 1 <= start + l GROUP BY ALL),
+wt AS (SELECT k, j, start, sum(n) AS n FROM wg GROUP BY ALL),
+ic AS (SELECT j, gram, count(*) AS n FROM ig GROUP BY ALL),
+it AS (SELECT j, sum(n) AS n FROM ic GROUP BY ALL),
+o AS (SELECT k, j, start, sum(least(wg.n, ic.n)) AS shared FROM wg JOIN ic USING (j, gram) GROUP BY ALL),
+s AS (SELECT k, j, greatest(start, 0) AS start, shared::DOUBLE / (wt.n + it.n - shared) AS sim
+      FROM o JOIN wt USING (k, j, start) JOIN it USING (j) WHERE 100 * shared >= 75 * (wt.n + it.n - shared))
+SELECT doc_id, item_id, round(max(sim), 6) AS similarity, arg_max(start, (sim, -start))::BIGINT AS first_word
+FROM s JOIN d USING (k) JOIN i USING (j) GROUP BY doc_id, item_id
+"""
+
+ORACLES = {"op5_decontamination": OP5, "op10_jaccard_join": OP10, "op1_mixture": OP1, "op6_license_scan": _license_sql(), "op7_rule_ledger": OP7}

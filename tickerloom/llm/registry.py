@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import jaccard_join, licenses, mixing, rules, token_counts
+from . import decontaminate, jaccard_join, licenses, mixing, rules, token_counts
 from .common import table
 from .oracles import ORACLES
 
@@ -27,6 +27,10 @@ def op1_mixture(spark, sf_dir):
     return out.select("doc_id", "epoch", "lang", "source", "n_tokens", "leaf_tokens", "leaf_budget")
 
 
+def op5_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_license_scan(spark, sf_dir):
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
