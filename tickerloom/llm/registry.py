@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, licenses, mixing, rules, token_counts
+from . import decontaminate, html_text, jaccard_join, licenses, mixing, packing, quality, rules, token_counts, toxicity
 from .common import table
 from .oracles import ORACLES
 
@@ -27,6 +27,18 @@ def op1_mixture(spark, sf_dir):
     return out.select("doc_id", "epoch", "lang", "source", "n_tokens", "leaf_tokens", "leaf_budget")
 
 
+def op2_quality_classifier(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_packed_ids(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,12 +58,22 @@ def op8_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {name: fn for name, fn in globals().items() if name.startswith("op")}
+    return {name: fn for name, fn in globals().items() if name.startswith("op")} | {"pipeline": pipeline}
 
 
 def oracle_sql():
