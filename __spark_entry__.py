@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks.oracles import (
-    AS_OF, BACKFILL_ENDS, BACKFILL_KEYWORDS, BACKFILL_LAGS, CHART, KEYWORDS, LAGS, PAIR_SETS, REFERENCE_SYMBOL,
+    AS_OF, BACKFILL_ENDS, BACKFILL_KEYWORDS, BACKFILL_LAGS, CHART, KEYWORDS, LAGS, PAIR_SETS, REFERENCES, REFERENCE_SYMBOL,
     SINCE, TYPES, VALIDATE_FROM, ORACLES,
 )
 from tickerloom.functions import scalars as S
@@ -514,7 +514,8 @@ def q_date_alignment(spark, sf):
 
 
 def q_html_to_text(spark, sf):
-    return D.table(spark, sf, "pages").select("page_id", html_to_text("html").alias("text"))
+    pages = D.table(spark, sf, "pages").withColumn("html", F.concat("html", F.lit(REFERENCES)))
+    return pages.select("page_id", html_to_text("html").alias("text"))
 
 
 def q_filing_dates(spark, sf):

@@ -210,7 +210,7 @@ SELECT {_PAIR}, week_opening_date, {_PACKED} AS current_week, mention_rolling_av
         blocks += [
             (f"{pairs}_filing", f"""
 SELECT {_PAIR}, week_opening_date AS filing_week
-FROM ({_pair_weeks(pairs, "DATE '1990-01-01'")}) WHERE week_opening_date >= start_date"""),
+FROM ({_pair_weeks(pairs, "DATE '0001-01-01'")}) WHERE week_opening_date >= start_date"""),
             (f"{pairs}_cut", f"SELECT {_PAIR}, max(filing_week) AS cutoff FROM {pairs}_filing GROUP BY ALL"),
         ]
     else:
@@ -282,13 +282,23 @@ SELECT * FROM (
   JOIN prices x ON x.stock_symbol = q.stock_symbol AND x.created_at = q.end_date) WHERE n = 1"""
 
 
+def _trained(pairs):
+    return f"(SELECT {_PAIR}, count(*) AS n_rows FROM {pairs}_train WHERE part = 'train' GROUP BY ALL)"
+
+
+_UNFITTED = "CASE WHEN coalesce(n_rows, 0) < 4 THEN 'too_few_rows' WHEN intercept IS NULL THEN 'collinear' ELSE 'ok' END"
+
+
 def _recommend(pairs):
     return f"""
 SELECT {day('prediction_date')} AS previous_weekly_open_date, s.target_close_price AS previous_weekly_close_price,
+       CASE WHEN prediction_date IS NOT NULL THEN
        round(intercept + b_current_week * l.current_week + b_mention_rolling_avg * l.mention_rolling_avg
-             + b_current_close_price * l.current_close_price, 2) AS predicted_weekly_close_price,
-       stock_symbol, keyword, {day('start_date')} AS start_date, CAST(time_delay AS BIGINT) AS time_delay, filing_type
-FROM {pairs}_latest l JOIN {pairs}_models m USING ({_PAIR}) JOIN {pairs}_score s USING ({_PAIR})"""
+             + b_current_close_price * l.current_close_price, 2) END AS predicted_weekly_close_price,
+       stock_symbol, keyword, {day('start_date')} AS start_date, CAST(time_delay AS BIGINT) AS time_delay, filing_type,
+       CASE WHEN prediction_date IS NULL THEN 'no_filing_week' WHEN l.current_week IS NULL THEN 'no_latest_close' ELSE {_UNFITTED} END AS status
+FROM (SELECT DISTINCT {_PAIR} FROM {pairs}) LEFT JOIN {pairs}_latest l USING ({_PAIR}) LEFT JOIN {pairs}_models m USING ({_PAIR})
+LEFT JOIN {pairs}_score s USING ({_PAIR}) LEFT JOIN {_trained(pairs)} USING ({_PAIR})"""
 
 
 # ---- fundamentals ----------------------------------------------------------
@@ -420,13 +430,36 @@ def _slice(a, b):
     return f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN substr(doc, {a} + 1, greatest({b} - {a}, 0)) END"
 
 
-# The entities the HTML reader decodes.
-_ENTITIES = [
-    ("&nbsp;", "\u00a0"), ("&#160;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'),
-    ("&apos;", "''"), ("&#39;", "''"), ("&#8211;", "–"), ("&#8212;", "—"), ("&#8216;", "‘"), ("&#8217;", "’"),
-    ("&#8220;", "“"), ("&#8221;", "”"), ("&#8226;", "•"), ("&#8230;", "…"), ("&ndash;", "–"), ("&mdash;", "—"),
-    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&amp;", "&"),
-]
+#: What the pages of the HTML query end with, so that references of every kind occur.
+REFERENCES = (
+    "<p>caf&eacute; &copy; &#167; &#x2019; &euro; &sect; &trade; &#8482; &reg; &para; &deg; &plusmn; &frac12; &times; &divide; &micro; "
+    "&laquo;&raquo; &aacute;&Aacute;&ntilde;&Ntilde;&uuml;&Uuml;&szlig;&ccedil;&oslash;&aring; &alpha;&Omega;&pi; &larr;&rarr; &infin; "
+    "&ne;&le;&ge; &#x1F600; &#128512; &#150; &#0; &hellip; &bull; &dagger; &permil; &lsaquo; &nbsp;&ensp; &amp;lt; &amp;#65; &copy2001 "
+    "&ampx; &unknown; &; &# &#x; &notit; &there4; &bne;</p>")
+
+
+def _decoded(c):
+    """References decoded piece by piece: the text is cut at every ampersand and each piece looked up."""
+    from html.entities import html5
+
+    pairs = {k: v for k, v in html5.items()}
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    table = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in pairs.items()) + "}"
+    old = {128 + i: ch for i, ch in enumerate("€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ")}
+    west = "MAP {" + ", ".join(f"{k}: {quoted(v)}" for k, v in old.items()) + "}"
+    bare = "|".join(sorted((k for k in pairs if not k.endswith(";")), key=len, reverse=True))
+    number = ("(CASE WHEN regexp_matches(p, '^#[0-9]') THEN TRY_CAST(regexp_extract(p, '^#([0-9]+)', 1) AS BIGINT) "
+              "ELSE TRY_CAST('0x' || regexp_extract(p, '^#[xX]([0-9a-fA-F]+)', 1) AS BIGINT) END)")
+    text = (f"CASE WHEN {number} = 0 OR {number} > 1114111 THEN chr(65533) WHEN {number} BETWEEN 128 AND 159 THEN {west}[{number}] "
+            f"ELSE chr({number}::INTEGER) END")
+    piece = (
+        f"CASE WHEN regexp_matches(p, '^#([0-9]|[xX][0-9a-fA-F])') THEN {text} || regexp_replace(p, '^#([0-9]+|[xX][0-9a-fA-F]+);?', '') "
+        f"WHEN regexp_matches(p, '^[A-Za-z][A-Za-z0-9]*;') AND {table}[regexp_extract(p, '^[A-Za-z0-9]+;')] IS NOT NULL "
+        f"THEN {table}[regexp_extract(p, '^[A-Za-z0-9]+;')] || regexp_replace(p, '^[A-Za-z0-9]+;', '') "
+        f"WHEN regexp_matches(p, '^({bare})') THEN {table}[regexp_extract(p, '^({bare})')] || regexp_replace(p, '^({bare})', '') "
+        f"ELSE '&' || p END")
+    parts = f"string_split({c}, '&')"
+    return f"({parts})[1] || array_to_string(list_transform(({parts})[2:], lambda p: {piece}), '')"
 
 
 def html_text(c):
@@ -435,9 +468,7 @@ def html_text(c):
     out = f"regexp_replace({out}, '<[A-Za-z/!?][^>]*$', '', 'g')"
     out = f"regexp_replace({out}, '^\\x01+|\\x01+$', '', 'g')"
     out = f"regexp_replace({out}, '\\x01+', chr(10) || chr(10), 'g')"
-    for entity, plain in _ENTITIES:
-        out = f"replace({out}, '{entity}', '{plain}')"
-    return out
+    return _decoded(out)
 
 
 BLOCKS["sections"] = f"""
@@ -674,8 +705,8 @@ SELECT 'linear' AS model_type, CAST(current_week AS BIGINT) AS current_week, {_d
        current_close_price, target_close_price AS next_week_close_price, round({_PRED}, 2) AS predicted_price,
        stock_symbol, keyword, {_dates('start_date')},
        {day("CAST(end_date + CAST(5 - isodow(end_date) - CASE WHEN isodow(end_date) = 5 THEN 0 ELSE 7 END AS INTEGER) AS DATE)")} AS friday_end_date,
-       {day('end_date')} AS monday_end_date, CAST(time_delay AS BIGINT) AS time_delay, filing_type
-FROM shifted_pairs_score JOIN shifted_pairs_models USING ({_PAIR})""")
+       {day('end_date')} AS monday_end_date, CAST(time_delay AS BIGINT) AS time_delay, filing_type, {_UNFITTED} AS status
+FROM shifted_pairs_score LEFT JOIN shifted_pairs_models USING ({_PAIR}) LEFT JOIN {_trained('shifted_pairs')} USING ({_PAIR})""")
 O["returns_vs_index"] = twin(["curve", "index_prices"], f"""
 SELECT model_type, {day('f')} AS first_week, {day('l')} AS last_week, round(il / ix - 1, 6) AS index_return,
        round(log10(pl / pf), 6) AS backtest_log10, round_even((m * 52 - 0.04) / (s * sqrt(52)), 3) AS sharpe_ratio
@@ -788,7 +819,7 @@ SELECT o_orderkey, {day("CAST(date_trunc('week', d) AS DATE)")} AS week, {day("C
        {day('CAST(d + CAST(5 - isodow(d) - CASE WHEN isodow(d) = 5 THEN 0 ELSE 7 END AS INTEGER) AS DATE)')} AS previous_friday,
        CAST(year(d) * 10000 + month(d) * 100 + day(d) AS BIGINT) AS packed, strftime(d, '%Y-%m-%d') AS iso
 FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)"""
-O["html_to_text"] = f"SELECT page_id, {html_text('html')} AS text FROM pages"
+O["html_to_text"] = f"SELECT page_id, {html_text('html')} AS text FROM (SELECT page_id, html || '{REFERENCES}' AS html FROM pages)"
 O["filing_dates"] = """
 SELECT printf('%010d-01-%06d', doc_id, doc_id % 1000000) AS filing_number,
        CASE WHEN doc_id % 11 <> 0 THEN CAST(CAST(DATE '1995-01-02' + CAST(doc_id * 37 % 2499 AS INTEGER) AS DATE) AS VARCHAR) END AS filing_date

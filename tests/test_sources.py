@@ -62,7 +62,7 @@ def test_daily_append_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(out).count() == 2
     assert not tables.append_if_any(landed.limit(0), out, "Date")
     assert tables.snapshot_on(landed, "2001-01-02").count() == 3 and tables.snapshot_on(landed, "2001-01-03").count() == 0
-    assert len(tables.records(landed, 2)) == 2 and tables.empty(spark, schemas.PAIRS).count() == 0
+    assert len(tables.records(landed, ["Date", "Symbol"], 2)) == 2 and tables.empty(spark, schemas.PAIRS).count() == 0
 
 
 def test_streaming_ingest_takes_each_file_once(spark, tmp_path):

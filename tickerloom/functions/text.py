@@ -1,20 +1,16 @@
 """Text expressions: keyword matching, path parts, HTML to text, filing sections."""
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import ARCHIVE_URL
 from .scalars import col
 
-# Entities decoded when HTML becomes text; '&amp;' must come last.
-ENTITIES = (
-    ("&nbsp;", "\u00a0"), ("&#160;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"),
-    ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-    ("&#8211;", "–"), ("&#8212;", "—"), ("&#8216;", "‘"), ("&#8217;", "’"),
-    ("&#8220;", "“"), ("&#8221;", "”"), ("&#8226;", "•"), ("&#8230;", "…"),
-    ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
-    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&amp;", "&"),
-)
+#: Reference names that are decoded without a semicolon as well, longest first.
+BARE_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
 
 #: Stands in for a run of markup between two pieces of text.
 _MARK = "\u0001"
@@ -71,9 +67,57 @@ def html_to_text(html) -> Column:
         col(html), r"(?is)<!--.*?-->|<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>|<[a-z/!?][^>]*>", _MARK)
     text = F.regexp_replace(text, r"<[A-Za-z/!?][^>]*$", "")
     text = F.regexp_replace(F.btrim(text, F.lit(_MARK)), f"{_MARK}+", "\n\n")
-    for entity, plain in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return text
+    return decode_references(text)
+
+
+def _named(name):
+    """Text of a named reference (with its semicolon, if it has one), by way of its first letter; else NULL."""
+    table = {}
+    for n, text in html5.items():
+        table.setdefault(n[0], {})[n] = text
+    names = F.from_json(F.lit(json.dumps(table)), "map<string,map<string,string>>")
+    return F.try_element_at(F.try_element_at(names, F.left(name, F.lit(1))), name)
+
+
+def _numbered(number):
+    """Text of a code point: Windows' characters for 128 to 159, none for controls and non-characters."""
+    western = {b: bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
+    code = F.unhex(F.lpad(F.hex(number), 8, "0"))
+    low = F.pmod(number, F.lit(0x10000))
+    odd = (
+        ((number < 0x20) & ~number.isin(9, 10, 12, 13)) | (number == 0x7F)
+        | number.between(0xFDD0, 0xFDEF) | (low >= 0xFFFE))
+    return (
+        F.when((number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF), F.lit("\ufffd"))
+        .when(number.between(0x80, 0x9F), F.try_element_at(
+            F.from_json(F.lit(json.dumps({str(b): c or chr(b) for b, c in western.items()})), "map<string,string>"), number.cast("string")))
+        .when(odd, F.lit(""))
+        .otherwise(F.decode(code, "UTF-32")))
+
+
+def decode_references(text) -> Column:
+    """All decimal, hexadecimal and named character references, each decoded once."""
+    text = col(text)
+    pieces = F.split(text, "(?=&(?:#[0-9]|#[xX][0-9a-fA-F]|[A-Za-z]))")
+
+    def decoded(piece):
+        reference = F.regexp_extract(piece, "^&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)", 1)
+        known = _named(reference)
+        bare = F.regexp_extract(piece, "^&(" + "|".join(BARE_NAMES) + ")", 1)
+        digits = F.regexp_extract(reference, "^#[xX]?0*([0-9a-fA-F]*)", 1)
+        base = F.lower(F.substring(reference, 2, 1)) == "x"
+        # more than seven digits are beyond all code points
+        number = F.when(digits == "", 0).when(F.length(digits) > 7, 0x110000).otherwise(
+            F.when(base, F.conv(digits, 16, 10)).otherwise(digits).cast("bigint"))
+        return (
+            F.when(F.startswith(reference, F.lit("#")), F.concat(_numbered(number.cast("bigint")), F.substring(piece, F.length(reference) + 2, F.length(piece))))
+            .when((reference != "") & known.isNotNull(), F.concat(known, F.substring(piece, F.length(reference) + 2, F.length(piece))))
+            .when(bare != "", F.concat(_named(bare), F.substring(piece, F.length(bare) + 2, F.length(piece))))
+            .otherwise(piece))
+
+    # texts without one are left alone
+    whole = F.array_join(F.transform(pieces, lambda p: F.when(F.startswith(p, F.lit("&")), decoded(p)).otherwise(p)), "")
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
 # ---- submissions -----------------------------------------------------------

@@ -82,21 +82,28 @@ def lag_rows(df, series, order, column, n, out):
     return df.withColumn(out, F.lag(column, n).over(Window.partitionBy(*series).orderBy(*order)))
 
 
-def value_weeks_ahead(df, series, week, weeks, columns, max_weeks=20):
+def value_weeks_ahead(df, series, week, weeks, columns):
     """Values of the same series exactly ``weeks`` later (a column or a number), without a self-join.
 
-    A series has at most one row per week, so the later row is among the next
-    ``max_weeks`` rows. ``columns`` maps source to output; NULL when the week is missing.
+    Every row appears at its own week and, with the values to be taken, ``weeks`` earlier; both
+    meet in one aggregation, for any number of weeks. A partitioning by the series serves it. ``columns``
+    maps source to output; NULL when the week is missing. A series has at most one row per week.
     """
-    ahead = Window.partitionBy(*series).orderBy(week).rowsBetween(1, max_weeks)
-    target = F.date_add(F.col(week), (F.col(weeks) if isinstance(weeks, str) else F.lit(weeks)) * 7)
-    entry = F.struct(F.col(week).alias("_w"), *[F.col(c) for c in columns])
-    df = df.withColumn("_next", F.collect_list(entry).over(ahead)).withColumn("_target", target)
-    found = F.get(F.filter("_next", lambda e: e["_w"] == F.col("_target")), F.lit(0))
-    df = df.withColumn("_found", found)
-    for source, out in columns.items():
-        df = df.withColumn(out, F.col("_found").getField(source))
-    return df.drop("_next", "_target", "_found")
+    series = list(series)
+    own = [c for c in df.columns if c not in (*series, week)]
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    back = F.date_sub(F.col(week), (F.col(weeks) if isinstance(weeks, str) else F.lit(weeks)) * 7).cast(kinds[week])
+
+    def role(at, mine):
+        none = {c: F.lit(None).cast(kinds[c]) for c in own}
+        return F.struct(
+            at.alias("_at"), F.lit(mine).alias("_mine"), *[(F.col(c) if mine else none[c]).alias(c) for c in own],
+            *[(F.lit(None).cast(kinds[c]) if mine else F.col(c)).alias(out) for c, out in columns.items()])
+
+    roles = df.select(*series, F.inline(F.array(role(F.col(week), True), role(back, False))))
+    met = roles.groupBy(*series, "_at").agg(
+        F.max("_mine").alias("_mine"), *[F.max(c).alias(c) for c in [*own, *columns.values()]])
+    return met.filter("_mine").withColumnRenamed("_at", week).select(*df.columns, *columns.values())
 
 
 def calendar_next(calendar, week, out):

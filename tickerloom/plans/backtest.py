@@ -9,7 +9,6 @@ from ..functions.scalars import (
 )
 from ..operators.ranking import top_k_per_group
 from ..operators.windows import calendar_next
-from ..session import cut_lineage
 from .training import PAIR, TARGET, fit_predict, model_rows
 from .weekly import week_calendar
 
@@ -17,19 +16,18 @@ from .weekly import week_calendar
 def backtest_predictions(weekly, counts, pairs, model_type="linear"):
     """Prediction of the week n ahead for every pair, trained on weeks before its end date.
 
-    Start dates move to a Monday; the end date is a Monday already and its Friday is added.
+    Start dates move to a Monday; the end date is a Monday already and its Friday is added. A pair
+    that cannot be fitted keeps its row, with a NULL prediction and its ``status``.
     """
     keys = [*PAIR, "end_date"]
-    aligned = cut_lineage(
-        pairs.select(*keys).withColumn("start_date", same_or_next_monday("start_date")).dropDuplicates(keys)
-    )
+    aligned = pairs.select(*keys).withColumn("start_date", same_or_next_monday("start_date")).dropDuplicates(keys)
     scored = fit_predict(model_rows(weekly, counts, aligned, cutoff="end_date"), keys, model_type)
-    return scored.filter(F.col("predicted_price").isNotNull()).select(
+    return scored.select(
         F.lit(model_type).alias("model_type"), "current_week", "prediction_date", "week_opening_date",
         "mention_rolling_avg", "current_close_price", F.col(TARGET).alias("next_week_close_price"),
         "predicted_price", "stock_symbol", "keyword", "start_date",
         same_or_previous_friday("end_date").alias("friday_end_date"),
-        F.col("end_date").alias("monday_end_date"), "time_delay", "filing_type",
+        F.col("end_date").alias("monday_end_date"), "time_delay", "filing_type", "status",
     )
 
 
@@ -42,7 +40,7 @@ def backtest_trades(predictions, weekly):
         F.col("week_open_price").alias("buy_open_price"), F.col("week_close_price").alias("buy_close_price"),
     )
     return (
-        predictions.join(following.withColumnRenamed("week_opening_date", "monday_end_date"), "monday_end_date")
+        predictions.filter(F.col("predicted_price").isNotNull()).join(following.withColumnRenamed("week_opening_date", "monday_end_date"), "monday_end_date")
         .join(prices, ["stock_symbol", "week_to_buy"])
         .select(
             "model_type", "week_to_buy", "stock_symbol", "keyword", "time_delay", "filing_type",

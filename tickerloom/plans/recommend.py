@@ -5,17 +5,17 @@ from pyspark.sql import functions as F
 from ..constants import BUY_BLACKLIST, BUY_EXCLUDED_KEYWORD, MIN_GROWTH, RECENT_DAYS
 from ..functions.scalars import change, dollar_text, half_even, percent_text, ratio, weeks_after
 from ..operators.filters import all_of, none_of, within_last_days
-from ..session import cut_lineage
 from .training import PAIR, TARGET, fit_predict, latest_features, model_rows
 
 
 def buy_recommendations(weekly, counts, prices, pairs, model_type="linear", opposite_type=False):
     """For each pair: train up to its last usable filing week, predict from the latest features.
 
-    ``pairs`` is small and read several times, so its lineage is cut first.
+    A pair without a model or without latest features keeps its row with a NULL prediction and a
+    ``status``: too_few_rows, collinear, no_filing_week, or no_latest_close.
     """
     keys = [*PAIR, "end_date"]
-    pairs = cut_lineage(pairs.select(*keys))
+    pairs = pairs.select(*keys)
     rows = model_rows(weekly, counts, pairs)
     latest = latest_features(weekly, counts, prices, pairs, opposite_type)
     asked = latest.withColumn(TARGET, F.lit(None).cast("double")).withColumn("part", F.lit("latest"))
@@ -24,10 +24,19 @@ def buy_recommendations(weekly, counts, prices, pairs, model_type="linear", oppo
     last = rows.filter(F.col("part") == "score").select(
         *keys, weeks_after("week_opening_date", "time_delay").alias("previous_weekly_open_date"),
         F.col(TARGET).alias("previous_weekly_close_price"))
-    return scored.filter(F.col("predicted_price").isNotNull()).join(last, keys).select(
-        "previous_weekly_open_date", "previous_weekly_close_price",
-        F.col("predicted_price").alias("predicted_weekly_close_price"),
-        "stock_symbol", "keyword", "start_date", "time_delay", "filing_type",
+    # one aggregation brings a pair's parts together: the pair itself, its last week, its prediction
+    none = F.lit(None)
+    parts = [
+        pairs.select(*keys, none.cast("date").alias("_open"), none.cast("double").alias("_close"), none.cast("double").alias("_guess"), none.cast("string").alias("_status")),
+        last.select(*keys, "previous_weekly_open_date", "previous_weekly_close_price", none.cast("double"), none.cast("string")),
+        scored.select(*keys, none.cast("date"), none.cast("double"), "predicted_price", "status"),
+    ]
+    met = parts[0].union(parts[1]).union(parts[2]).groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("_open", "_close", "_guess", "_status")])
+    status = F.when(F.col("_open").isNull(), "no_filing_week").when(F.col("_status").isNull(), "no_latest_close").otherwise(F.col("_status"))
+    return met.select(
+        F.col("_open").alias("previous_weekly_open_date"), F.col("_close").alias("previous_weekly_close_price"),
+        F.when(status == "ok", F.col("_guess")).alias("predicted_weekly_close_price"),
+        "stock_symbol", "keyword", "start_date", "time_delay", "filing_type", status.alias("status"),
     )
 
 
@@ -73,7 +82,7 @@ def last_week_returns(allocation, weekly, principal):
     gain = F.col("number_of_shares_to_purchase") * (F.col("week_close_price") - F.col("week_open_price"))
     return weekly.join(held, ["stock_symbol", "week_opening_date"]).agg(
         F.coalesce(F.sum(gain), F.lit(0.0)).alias("gain")
-    ).withColumn("performance", F.col("gain") / F.lit(float(principal)))
+    ).withColumn("performance", ratio(F.col("gain"), F.lit(float(principal))))
 
 
 def buy_date(recommendations):

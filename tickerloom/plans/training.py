@@ -28,15 +28,15 @@ def pair_weeks(weekly, counts, pairs, since="start_date"):
     """Weeks of each pair with close, same-week rolling rate and the close n weeks later.
 
     Weeks without filings of the pair's type do not count as rows; the later close must
-    itself be such a row. ``since`` is the column (or date) where the rolling starts.
+    itself be such a row. ``since`` is the column (or date) where the rolling starts; None is no bound.
     """
     keys = _pair_keys(pairs)
-    begin = F.col(since) if since in pairs.columns else F.to_date(F.lit(str(since)))
+    begin = F.lit(None).cast("date") if since is None else F.col(since) if since in pairs.columns else F.to_date(F.lit(str(since)))
     rates = mention_rates(counts).withColumnRenamed("filing_week", "week_opening_date")
     rows = (
         pairs.select(*keys, begin.alias("_begin"))
         .join(weekly.select("stock_symbol", "week_opening_date", "week_close_price"), "stock_symbol")
-        .filter(F.col("week_opening_date") >= F.col("_begin"))
+        .filter(F.col("_begin").isNull() | (F.col("week_opening_date") >= F.col("_begin")))
         .join(rates, ["week_opening_date", "keyword", "filing_type"])
     )
     rolled = trailing_mean(rows, keys, ["week_opening_date"], "mention_rate", "mention_rolling_avg")
@@ -47,8 +47,11 @@ def pair_weeks(weekly, counts, pairs, since="start_date"):
     )
 
 
-def filing_weeks(weekly, counts, pairs, history_start="1990-01-01"):
-    """Weeks from the pair's start that have both a feature row and a row n weeks later."""
+def filing_weeks(weekly, counts, pairs, history_start=None):
+    """Weeks from the pair's start that have both a feature row and a row n weeks later.
+
+    The rolling rate begins with all history, or at ``history_start``.
+    """
     weeks = pair_weeks(weekly, counts, pairs, history_start)
     return (
         weeks.filter(F.col(TARGET).isNotNull() & (F.col("week_opening_date") >= F.col("start_date")))

@@ -1,7 +1,5 @@
 """Session defaults. A cluster's own settings win; these only fill gaps for tests and bench."""
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -16,18 +14,3 @@ def build_session(master="local[8]", app="tickerloom", shuffle_partitions=8, mem
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
-
-
-def cut_lineage(df):
-    """Reliable checkpoint of a small result that several later steps read.
-
-    Uses the shared folder named in ``spark.checkpoint.dir``; only a local session
-    without one gets a temporary folder.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tickerloom-"))
-    return df.checkpoint(eager=True)

@@ -137,6 +137,6 @@ def snapshot_on(df, run_date, weekday=1):
     return df.withColumn("snapshot_date", day).filter(F.weekday(day) == weekday)
 
 
-def records(df, limit=1000):
-    """Bounded rows as dictionaries, for presentation only."""
-    return [row.asDict() for row in df.limit(limit).collect()]
+def records(df, order, limit):
+    """The first ``limit`` rows in ``order`` (columns that make it total) as dictionaries, for presentation."""
+    return [row.asDict() for row in df.orderBy(*order).limit(limit).collect()]
