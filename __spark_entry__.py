@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks.oracles import (
-    AS_OF, BACKFILL_ENDS, BACKFILL_KEYWORDS, BACKFILL_LAGS, CHART, KEYWORDS, LAGS, PAIR_SETS, REFERENCES, REFERENCE_SYMBOL,
+    AS_OF, BACKFILL_ENDS, BACKFILL_KEYWORDS, BACKFILL_LAGS, CHART, KEYWORDS, LAGS, LONG_KEYWORDS, PAIR_SETS, REFERENCES, REFERENCE_SYMBOL,
     SINCE, TYPES, VALIDATE_FROM, ORACLES,
 )
 from tickerloom.functions import scalars as S
@@ -161,6 +161,10 @@ def q_keyword_weekly_counts(spark, sf):
     return _counts(spark, sf)
 
 
+def q_keyword_weekly_counts_long(spark, sf):
+    return keywords.keyword_weekly_counts(D.filings(spark, sf), LONG_KEYWORDS)
+
+
 def q_keyword_occurrences(spark, sf):
     return keywords.keyword_occurrences(D.filings(spark, sf), KEYWORDS, "1996-01-01", "2000-12-31")
 
@@ -252,6 +256,13 @@ def q_training_set(spark, sf):
     return rounded(training.training_set(_weekly(spark, sf), _counts(spark, sf), _pairs(spark, sf)), 6, "mention_rolling_avg")
 
 
+def q_training_set_lag_26(spark, sf):
+    pairs = D.symbol_names(spark, sf).select(
+        "stock_symbol", F.lit("ion").alias("keyword"), F.lit("10-Q").alias("filing_type"), F.lit(26).alias("time_delay"),
+        F.lit("1998-01-05").cast("date").alias("start_date"), F.lit("2001-10-29").cast("date").alias("end_date"))
+    return rounded(training.training_set(_weekly(spark, sf), _counts(spark, sf), pairs), 6, "mention_rolling_avg")
+
+
 def q_scoring_set(spark, sf):
     return rounded(training.scoring_set(_weekly(spark, sf), _counts(spark, sf), _pairs(spark, sf)), 6, "mention_rolling_avg")
 
@@ -432,8 +443,8 @@ def q_recent_closes(spark, sf):
 
 def q_lag_join(spark, sf):
     w = _weekly(spark, sf).select("week_opening_date", "stock_symbol", "week_close_price")
-    c = _counts(spark, sf).filter(F.col("keyword") == "ion").select("filing_week", "filing_type", "keyword_mentions")
-    return joins.lag_join(w, c, "week_opening_date", "filing_week", [1, 8])
+    c = _counts(spark, sf).select("filing_week", "keyword", "filing_type", "keyword_mentions")
+    return joins.lag_join(w, c, "week_opening_date", "filing_week", LAGS)
 
 
 def q_shifted_self_join(spark, sf):
@@ -449,7 +460,7 @@ def q_interpolate(spark, sf):
 
 
 def q_rolling_across_symbols(spark, sf):
-    df = correlation.lagged_mentions(_weekly(spark, sf), _counts(spark, sf), [2], KEYWORDS[:2], ["10-Q"], SINCE, AS_OF)
+    df = correlation.lagged_mentions(_weekly(spark, sf), _counts(spark, sf), LAGS, KEYWORDS, TYPES, SINCE, AS_OF)
     out = windows.trailing_mean_across_series(
         df, ["keyword", "filing_type", "time_delay"], ["stock_symbol"], ["week_opening_date"], "mention_rate", "rolling")
     return rounded(out, 6, "mention_rate", "rolling")

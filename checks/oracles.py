@@ -9,6 +9,8 @@ SINCE = "2000-01-01"
 REFERENCE_SYMBOL = "S000001"
 KEYWORDS = ["ion", "tion", "that", "with", "from", "license", "@", "copyright"]
 LAGS = [1, 2, 4, 8]
+#: More than a hundred keywords, some of them twice.
+LONG_KEYWORDS = [a + b for a in "aeiorst" for b in "acdehilmnoprstuz"] + ["er", "on", "license", "with"] * 2
 TYPES = ["10-K", "10-Q"]
 BACKFILL_ENDS = "2001-06-01"
 BACKFILL_LAGS = [1, 2, 4]
@@ -535,7 +537,10 @@ NEEDS = {
 #: Blocks the engine should compute once although several parts read them.
 HEAVY = {"prices", "weekly", "counts", "lagged", "grid", "backfill", "grid_ranked", "backfill_ranked"}
 
-for _pairs, _cut in (("fixed_pairs", "filing"), ("top_pairs", "filing"), ("shifted_pairs", "end_date")):
+BLOCKS["long_pairs"] = "SELECT printf('S%06d', s_suppkey) AS stock_symbol, 'ion' AS keyword, '10-Q' AS filing_type, " \
+    "26 AS time_delay, DATE '1998-01-05' AS start_date, DATE '2001-10-29' AS end_date FROM supplier"
+
+for _pairs, _cut in (("fixed_pairs", "filing"), ("long_pairs", "filing"), ("top_pairs", "filing"), ("shifted_pairs", "end_date")):
     _previous = [_pairs, "weekly", "counts"]
     for _name, _sql in _training_blocks(_pairs, _cut):
         BLOCKS[_name], NEEDS[_name] = _sql, list(_previous)
@@ -571,6 +576,11 @@ def _pair_out():
 ORACLES = {}
 O = ORACLES
 O["weekly_prices"] = twin(["weekly"], f"SELECT stock_symbol, {_dates('week_opening_date')}, week_open_price, week_close_price FROM weekly")
+O["keyword_weekly_counts_long"] = twin(["filings"], f"""
+SELECT {day("CAST(date_trunc('week', filing_date) AS DATE)")} AS filing_week, filing_type, keyword,
+       count(*) FILTER (contains(lower(risk_factors), lower(keyword)) OR contains(lower(risk_disclosures), lower(keyword))) AS keyword_mentions,
+       count(*) AS total_filings
+FROM filings CROSS JOIN (SELECT DISTINCT keyword FROM (VALUES {_values(LONG_KEYWORDS)}) t(keyword)) GROUP BY 1, 2, 3""")
 O["keyword_weekly_counts"] = twin(["counts"], f"SELECT {_dates('filing_week')}, filing_type, keyword, keyword_mentions, total_filings FROM counts")
 O["keyword_occurrences"] = twin(["filings", "kw"], """
 SELECT keyword, CAST(sum(n) AS BIGINT) AS keyword_count FROM (
@@ -637,6 +647,7 @@ O["top_pairs_today"] = twin(["top_pairs"], f"SELECT {_pair_out()}, printf('%.2f%
 O["filing_weeks"] = twin(["fixed_pairs_filing"], f"SELECT {_pair_out()}, {_dates('filing_week')} FROM fixed_pairs_filing")
 _ROWF = "CAST(current_week AS BIGINT) AS current_week, round(mention_rolling_avg, 6) AS mention_rolling_avg, current_close_price"
 O["training_set"] = twin(["fixed_pairs_train"], f"SELECT {_pair_out()}, {_dates('week_opening_date')}, {_ROWF}, target_close_price, part FROM fixed_pairs_train")
+O["training_set_lag_26"] = twin(["long_pairs_train"], f"SELECT {_pair_out()}, {_dates('week_opening_date')}, {_ROWF}, target_close_price, part FROM long_pairs_train")
 O["scoring_set"] = twin(["fixed_pairs_score"], f"SELECT {_pair_out()}, {_dates('week_opening_date', 'prediction_date')}, {_ROWF}, target_close_price FROM fixed_pairs_score")
 O["latest_features"] = twin(["fixed_pairs_latest"], f"SELECT {_pair_out()}, {_dates('week_opening_date')}, {_ROWF} FROM fixed_pairs_latest")
 O["fit_predict_linear"] = twin(["fixed_pairs_models", "fixed_pairs_score"], f"""
@@ -774,8 +785,8 @@ SELECT stock_symbol, close_price, {day('created_at')} AS close_date FROM prices
 WHERE stock_symbol = '{REFERENCE_SYMBOL}' AND created_at BETWEEN DATE '1998-01-01' AND DATE '{AS_OF}'
 ORDER BY created_at DESC LIMIT 30""")
 O["lag_join"] = twin(["weekly", "counts"], f"""
-SELECT {_dates('filing_week', 'week_opening_date')}, stock_symbol, week_close_price, CAST(n AS BIGINT) AS time_delay, filing_type, keyword_mentions
-FROM weekly JOIN (VALUES (1), (8)) v(n) ON true JOIN counts ON week_opening_date = filing_week + 7 * n WHERE keyword = 'ion'""")
+SELECT {_dates('filing_week', 'week_opening_date')}, stock_symbol, week_close_price, CAST(n AS BIGINT) AS time_delay, keyword, filing_type, keyword_mentions
+FROM weekly JOIN (VALUES (1), (2), (4), (8)) v(n) ON true JOIN counts ON week_opening_date = filing_week + 7 * n""")
 O["shifted_self_join"] = twin(["weekly"], f"""
 SELECT a.stock_symbol, {day('a.week_opening_date')} AS week_opening_date, a.week_close_price, b.week_close_price AS later_close
 FROM weekly a JOIN weekly b ON a.stock_symbol = b.stock_symbol AND b.week_opening_date = a.week_opening_date + 28""")
@@ -793,7 +804,7 @@ O["rolling_across_symbols"] = twin(["lagged"], f"""
 SELECT {_SER}, {_dates('week_opening_date')}, week_close_price, round(mention_rate, 6) AS mention_rate,
        round(avg(mention_rate) OVER (PARTITION BY keyword, filing_type, time_delay
              ORDER BY stock_symbol, week_opening_date ROWS 12 PRECEDING), 6) AS rolling
-FROM lagged WHERE keyword IN ('ion', 'tion') AND filing_type = '10-Q' AND time_delay = 2""")
+FROM lagged""")
 O["lag_rows"] = twin(["weekly"], f"""
 SELECT stock_symbol, {_dates('week_opening_date')},
        {day('lag(week_opening_date, 2) OVER (PARTITION BY stock_symbol ORDER BY week_opening_date)')} AS earlier_week FROM weekly""")
