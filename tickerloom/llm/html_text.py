@@ -25,6 +25,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -292,13 +293,16 @@ def extract(pages, url="url", page="html", key="page_id", support=SUPPORT, least
         kept = {}
         for b in batches:
             texts = []
-            for host, p, t in zip(b["host"], b["p"], b["tokens"]):
+            keys, urls, htmls, hosts = (b.column(i) for i in range(4))
+            templates_of = b.column(4)
+            for i, (host, p) in enumerate(zip(hosts.to_pylist(), htmls.to_pylist())):
                 if host not in kept:
                     kept.clear()
-                    kept[host] = frozenset() if t is None else frozenset(t.tolist())
+                    kept[host] = frozenset(templates_of[i].as_py() or ())
                 texts.append(main_text(p, kept[host]))
-            yield pd.DataFrame({key: b[key], "url": b["u"], "text": texts, "n_chars": [len(t) for t in texts]})
+            yield pa.RecordBatch.from_arrays(
+                [keys, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [key, "url", "text", "n_chars"])
 
-    hosted = pages.select(F.col(key), F.col(url).alias("u"), F.col(page).alias("p"), _host_column(url).alias("host")).join(
-        broadcast_checked(found), "host", "left")
-    return hosted.mapInPandas(run, f"`{key}` {kind}, url string, text string, n_chars long")
+    hosted = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(page).alias("p"), _host_column(url).alias("host")).join(
+        broadcast_checked(found), "host", "left").select("k", "u", "p", "host", "tokens")
+    return hosted.mapInArrow(run, f"`{key}` {kind}, url string, text string, n_chars long")

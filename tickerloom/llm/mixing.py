@@ -35,7 +35,7 @@ def word_tokens(text="text"):
 
 
 def _tree_columns(tree, nodes):
-    names = [f"_node{i}" for i in range(len(tree))]
+    names = [f"_mix_node{i}" for i in range(len(tree))]
     made = [F.col(c) for c in tree] if nodes is None else nodes
     return names, [F.coalesce(c.cast("string"), F.lit(NULL_NODE)) for c in made]
 
@@ -143,8 +143,9 @@ def mix(docs, weights, total=None, tree=("domain", "lang", "source"), nodes=None
     added = ("epoch", "leaf_tokens", "leaf_budget")
     keyed = docs.withColumns(dict(zip(names, made)))
     chosen = keyed.join(broadcast_checked(cuts.select(
-        *names, F.col("epoch").alias("_epoch"), "cut", F.col("tokens").alias("_tokens"), F.col("budget").alias("_budget"))), names)
-    chosen = chosen.filter(F.col("cut").isNull() | (_order(seed, F.col(key), "_epoch") <= F.col("cut")))
+        *names, F.col("epoch").alias("_mix_epoch"), F.col("cut").alias("_mix_cut"), F.col("tokens").alias("_mix_tokens"),
+        F.col("budget").alias("_mix_budget"))), names)
+    chosen = chosen.filter(F.col("_mix_cut").isNull() | (_order(seed, F.col(key), "_mix_epoch") <= F.col("_mix_cut")))
     return chosen.select(
-        *[docs[c] for c in docs.columns if c not in added], F.col("_epoch").alias("epoch"), F.col("_tokens").alias("leaf_tokens"),
-        F.col("_budget").alias("leaf_budget"))
+        *[docs[c] for c in docs.columns if c not in added], F.col("_mix_epoch").alias("epoch"), F.col("_mix_tokens").alias("leaf_tokens"),
+        F.col("_mix_budget").alias("leaf_budget"))

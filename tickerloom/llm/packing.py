@@ -19,7 +19,7 @@ import base64
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 LENGTH = 2048
@@ -155,6 +155,10 @@ def pack(docs, length=LENGTH, path=None, buffer=BUFFER, text="text", key="doc_id
 
         encode, next_id = Encoder(path).encode, TaskContext.get().partitionId() << 40
         pieces, held = [], 0
+        kinds = None
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], COLUMNS)
 
         def flush():
             nonlocal pieces, held, next_id
@@ -162,15 +166,16 @@ def pack(docs, length=LENGTH, path=None, buffer=BUFFER, text="text", key="doc_id
             for row in _rows(pieces, length, next_id):
                 rows.append(row)
                 if len(rows) == 500:
-                    yield pd.DataFrame(rows, columns=COLUMNS)
+                    yield batch(rows)
                     rows = []
                 next_id = row[0] + 1
             if rows:
-                yield pd.DataFrame(rows, columns=COLUMNS)
+                yield batch(rows)
             pieces, held = [], 0
 
         for b in batches:
-            for doc, t in zip(b[key].astype(object).where(b[key].notna(), None), b["text"]):
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(b.schema.field(0).type), pa.list_(pa.int64())]
+            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = encode(t)
                 for low in range(0, len(ids), length * width):
                     piece = ids[low:low + length * width]
@@ -180,7 +185,7 @@ def pack(docs, length=LENGTH, path=None, buffer=BUFFER, text="text", key="doc_id
                     yield from flush()
         yield from flush()
 
-    return docs.select(F.col(key), F.col(text).alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
 
 
 def unpack(rows):

@@ -17,6 +17,7 @@ empty table gives no rows.
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from .common import held_out
@@ -149,24 +150,25 @@ def score_quality(docs, labels, label="quality", threshold=0.5, most=TRAIN_DOCS,
         m = shared.value
         for b in batches:
             scores, sizes = [], []
-            for t in b["text"]:
+            for t in b.column(1).to_pylist():
                 x = passages(t)
                 scores.append(m.score(x) if m else share)
                 sizes.append(len(x))
-            yield pd.DataFrame({key: b[key], "score": scores, "n_passages": sizes})
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())], [key, "score", "n_passages"])
 
-    out = docs.select(F.col(key), F.col(text).alias("text")).mapInPandas(run, f"`{key}` {kind}, score double, n_passages long")
+    out = docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, score double, n_passages long")
     return out.select(key, held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_passages")
 
 
 def keep_good(docs, labels, label="quality", threshold=0.5, most=TRAIN_DOCS, text="text", key="doc_id"):
     """Rows of ``docs`` that the classifier does not reject; texts are scored where they are read."""
     model, share = learn(docs, labels, label, most, text, key)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches):
         m = shared.value
         for b in batches:
-            yield b[[(m.score(passages(t)) if m else share) >= threshold for t in b[text]]]
+            texts = b.column(at).to_pylist()
+            yield b.filter(pa.array([(m.score(passages(t)) if m else share) >= threshold for t in texts], pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

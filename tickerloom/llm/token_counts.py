@@ -15,6 +15,7 @@ import os
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 #: Entries of the broadcast table, and documents its sample is expected to hold.
@@ -113,9 +114,10 @@ def count_tokens(docs, path=None, limit=2048, text="text", key="doc_id"):
     def count(batches):
         tokens = _counter(path, shared)
         for b in batches:
-            yield pd.DataFrame({key: b[key], "n_bytes": b["n_bytes"], "n_tokens": [tokens(t) for t in b["text"]]})
+            found = pa.array([tokens(t) for t in b.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), found], [key, "n_bytes", "n_tokens"])
 
     t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.select(F.col(key), t.alias("text"), F.octet_length(t).cast("bigint").alias("n_bytes")).mapInPandas(
+    out = docs.select(F.col(key), t.alias("_text"), F.octet_length(t).cast("bigint").alias("n_bytes")).mapInArrow(
         count, f"`{key}` {kind}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -16,6 +16,7 @@ Repeated rows get a row each. Further columns are ignored; an empty table gives
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from .common import held_out
@@ -104,11 +105,13 @@ def score_toxicity(docs, labels, label="toxic", threshold=0.7, most=TRAIN_DOCS,
     def run(batches):
         w, b = shared.value
         for x in batches:
+            texts = x.column(1).to_pylist()
             if w is None:
-                yield pd.DataFrame({key: x[key], "score": b})
-                continue
-            logit = np.array([float(w[features(t)].sum()) + b for t in x["text"]])
-            yield pd.DataFrame({key: x[key], "score": 1 / (1 + np.exp(-np.clip(logit, -30, 30)))})
+                scores = np.full(len(texts), float(b))
+            else:
+                logit = np.array([float(w[features(t)].sum()) + b for t in texts])
+                scores = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(scores, pa.float64())], [key, "score"])
 
-    out = docs.select(F.col(key), F.col(text).alias("text")).mapInPandas(run, f"`{key}` {kind}, score double")
+    out = docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, score double")
     return out.select(key, held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
