@@ -33,6 +33,8 @@ SHINGLE, SIMILARITY = 5, 75
 DOCS_A_BLOCK, LEAST_BLOCKS = 1000, 128
 #: Rounds of stars with other pivots before cross pairs are formed.
 STARS = 3
+#: Documents whose cells are packed together; at most 65,536.
+BATCH = 5_000
 #: Word hashes a worker keeps.
 CACHE = 500_000
 
@@ -77,8 +79,8 @@ def shingle_set(text, words, size=SHINGLE):
 
 def _incidence(docs, key, kind, text, bits, size):
     """Packed cells by column block, and a header row for each document."""
-    schema = f"part int, uid long, idx int, `{key}` {kind}, n long, cls long, cells binary"
-    columns = ["part", "uid", "idx", key, "n", "cls", "cells"]
+    schema = f"part int, uid long, idx int, key {kind}, no_key boolean, n long, cls long, cells binary"
+    columns = ["part", "uid", "idx", "key", "no_key", "n", "cls", "cells"]
 
     def run(batches):
         from pyspark import TaskContext
@@ -86,8 +88,8 @@ def _incidence(docs, key, kind, text, bits, size):
         task, words = TaskContext.get().partitionId(), WordHashes()
         step = 0
         for b in batches:
-            for low in range(0, len(b), 10_000):
-                piece = b.iloc[low:low + 10_000]
+            for low in range(0, len(b), BATCH):
+                piece = b.iloc[low:low + BATCH]
                 uid = task << 32 | step
                 step += 1
                 sets, seen, heads = [], set(), []
@@ -102,7 +104,7 @@ def _incidence(docs, key, kind, text, bits, size):
                         words.clear()
                 yield pd.DataFrame({
                     "part": -1 - (np.arange(len(piece)) % (1 << bits)), "uid": uid, "idx": np.arange(len(piece)),
-                    key: piece[key].values, "n": [x[0] for x in heads], "cls": [x[1] for x in heads], "cells": None})[columns]
+                    "key": piece["key"].values, "no_key": piece["no_key"].values, "n": [x[0] for x in heads], "cls": [x[1] for x in heads], "cells": None})[columns]
                 h = np.concatenate(sets)
                 if not len(h):
                     continue
@@ -116,10 +118,11 @@ def _incidence(docs, key, kind, text, bits, size):
                     (p, (rest[a:z] >> np.uint64(8)).astype("<u4").tobytes() + rest[a:z].astype("u1").tobytes() + idx[a:z].astype("<u2").tobytes())
                     for p, (a, z) in enumerate(zip(edges[:-1], edges[1:])) if z > a]
                 yield pd.DataFrame({
-                    "part": [r[0] for r in rows], "uid": uid, "idx": -1, key: pd.Series([None] * len(rows), dtype=piece[key].dtype if piece[key].dtype == object else "Int64"),
-                    "n": 0, "cls": 0, "cells": [r[1] for r in rows]})[columns]
+                    "part": [r[0] for r in rows], "uid": uid, "idx": -1, "key": piece["key"].iloc[0], "no_key": True, "n": 0, "cls": 0, "cells": [r[1] for r in rows]})[columns]
 
-    return docs.select(F.col(key), F.col(text).alias("text")).mapInPandas(run, schema)
+    # null keys travel as another value with a mark, so whole numbers stay whole
+    some = F.coalesce(F.col(key), F.lit("0").cast(kind))
+    return docs.select(some.alias("key"), F.col(key).isNull().alias("no_key"), F.col(text).alias("text")).mapInPandas(run, schema)
 
 
 def _unpack(cells):
@@ -128,7 +131,7 @@ def _unpack(cells):
     return h, np.frombuffer(cells, "<u2", n, 5 * n)
 
 
-def _shared_columns(incidence, key, kind, bits):
+def _shared_columns(incidence):
     """Headers as they are; of each block's cells those whose column has two documents or more, with that number."""
     def run(rows):
         part = int(rows["part"].iloc[0])
@@ -146,34 +149,35 @@ def _shared_columns(incidence, key, kind, bits):
             keep = df[at] > 1
             if keep.any():
                 out.append((uid, h[at][keep].astype("<u8").tobytes() + df[at][keep].astype("<u4").tobytes() + idx[at][keep].astype("<u2").tobytes()))
-        made = pd.DataFrame({"part": part, "uid": [x[0] for x in out], "idx": -1, "n": 0, "cls": 0, "cells": [x[1] for x in out]})
-        made[key] = pd.Series([None] * len(out), dtype=rows[key].dtype if rows[key].dtype == object else "Int64")
-        return made[list(rows.columns)]
+        return pd.DataFrame({
+            "part": part, "uid": [x[0] for x in out], "idx": -1, "key": rows["key"].iloc[0], "no_key": True, "n": 0, "cls": 0,
+            "cells": [x[1] for x in out]})[list(rows.columns)]
 
     return incidence.groupBy("part").applyInPandas(run, incidence.schema)
 
 
-def _live_sets(shared, key, similarity):
+def _live_sets(shared, similarity):
     """Of each batch of documents, those with enough shared columns: their shared columns, rarest first."""
     def run(rows):
         cells = [c for c in rows["cells"] if c is not None]
         heads = rows[rows["idx"] >= 0]
         if not cells:
-            return pd.DataFrame({"n": [], "cls": [], "shared": []})
+            return pd.DataFrame({"n": [], "cls": [], "central": [], "shared": pd.Series([], dtype=object)})
         n = [len(c) // 14 for c in cells]
         h = np.concatenate([np.frombuffer(c, "<u8", k) for c, k in zip(cells, n)])
         df = np.concatenate([np.frombuffer(c, "<u4", k, 8 * k) for c, k in zip(cells, n)])
         idx = np.concatenate([np.frombuffer(c, "<u2", k, 12 * k) for c, k in zip(cells, n)])
         at = np.lexsort((h, df, idx))
-        h, idx = h[at].astype(np.int64), idx[at]
+        h, df, idx = h[at].astype(np.int64), df[at], idx[at]
         places = heads["idx"].values
         low, high = np.searchsorted(idx, places), np.searchsorted(idx, places, side="right")
         live = (high > low) & ((high - low) * 100 >= similarity * heads["n"].values)
         return pd.DataFrame({
             "n": heads["n"].values[live], "cls": heads["cls"].values[live],
-            "shared": [h[a:z] for a, z in zip(low[live], high[live])]})
+            "central": [df[a:z].sum(dtype=np.float64) / n for a, z, n in zip(low[live], high[live], heads["n"].values[live])],
+            "shared": pd.Series([h[a:z] for a, z in zip(low[live], high[live])], dtype=object)})
 
-    return shared.groupBy("uid").applyInPandas(run, "n long, cls long, shared array<long>")
+    return shared.groupBy("uid").applyInPandas(run, "n long, cls long, central double, shared array<long>")
 
 
 def components(edges):
@@ -209,14 +213,14 @@ def _bounds(a, b, similarity):
 
 
 def links(live, similarity=SIMILARITY, stars=STARS):
-    """Links (u, v) that join the same components as all links; ``live`` has node, n, shared (rarest first)."""
+    """Links (u, v) that join the same components as all links; ``live`` has node, n, central, shared (rarest first)."""
     spark = live.sparkSession
     # ceil(t n) in whole numbers; columns of one document stand before the shared ones
     least = F.expr(f"({similarity} * n + 99) DIV 100")
     take = (F.size("shared") - least + 1).cast("int")
     # `rest`: shared columns from this one on, all that a pair whose first common column this is can have in common
-    cells = landed(live.select("node", "n", F.size("shared").alias("m"), F.posexplode(F.slice("shared", F.lit(1), take)).alias("at", "h")).select(
-        "node", "n", "h", (F.col("m") - F.col("at")).alias("rest")), "join-cells")
+    cells = landed(live.select("node", "n", "central", F.size("shared").alias("m"), F.posexplode(F.slice("shared", F.lit(1), take)).alias("at", "h")).select(
+        "node", "n", "central", "h", (F.col("m") - F.col("at")).alias("rest")), "join-cells")
     node_kind = live.schema["node"].dataType.simpleString()
     found = spark.createDataFrame([], f"u {node_kind}, v {node_kind}")
     tested = found
@@ -224,7 +228,10 @@ def links(live, similarity=SIMILARITY, stars=STARS):
     for r in range(stars):
         own = cells if labels is None else cells.join(labels.withColumnsRenamed({"u": "node"}), "node", "left").withColumn(
             "c", F.coalesce("c", "node"))
-        pick = F.struct(F.xxhash64("node", F.lit(r)).alias("k"), "node", "n", "rest", *([] if labels is None else ["c"]))
+        # the first pivot is the set whose columns are shared most, as those of a group's original are; later ones are drawn
+        # anew for each of four sets of columns
+        first = -F.col("central") if r == 0 else F.xxhash64("node", F.pmod("h", F.lit(4)), F.lit(r)).cast("double")
+        pick = F.struct(first.alias("k"), "node", "n", "rest", *([] if labels is None else ["c"]))
         heads = own.groupBy("h").agg(F.min(pick).alias("p"), F.min("node" if labels is None else "c").alias("lo"), F.max("node" if labels is None else "c").alias("hi"))
         heads = landed(heads.filter("lo <> hi").select("h", "p"), "join-pivots")
         if heads.isEmpty():
@@ -256,12 +263,13 @@ def jaccard_components(docs, similarity=SIMILARITY, size=SHINGLE, text="text", k
     blocks = max(LEAST_BLOCKS, docs.count() // DOCS_A_BLOCK)
     bits = min(20, (blocks - 1).bit_length())
     incidence = _incidence(docs, key, kind, text, bits, size)
-    shared = landed(_shared_columns(incidence, key, kind, bits), "join-shared")
-    rows = shared.filter("idx >= 0").select(key, F.col("n").alias("n_shingles"), "cls")
-    sets = landed(_live_sets(shared, key, similarity), "join-sets")
-    classes = landed(rows.filter("n_shingles > 0").groupBy("cls", "n_shingles").agg(F.min(key).alias("least")), "join-classes")
+    shared = landed(_shared_columns(incidence), "join-shared")
+    rows = shared.filter("idx >= 0").select(
+        F.when(~F.col("no_key"), F.col("key")).alias("key"), F.col("n").alias("n_shingles"), "cls")
+    sets = landed(_live_sets(shared, similarity), "join-sets")
+    classes = landed(rows.filter("n_shingles > 0").groupBy("cls", "n_shingles").agg(F.min("key").alias("least")), "join-classes")
     # a class is named by its set's hash; the size tells apart what the hash might not
-    live = sets.withColumn("node", F.struct("cls", "n")).dropDuplicates(["node"]).select("node", "n", "shared")
+    live = sets.withColumn("node", F.struct("cls", "n")).dropDuplicates(["node"]).select("node", "n", "central", "shared")
     live = landed(live, "join-live")
     joined = links(live, similarity)
     found = components(joined)
@@ -272,7 +280,7 @@ def jaccard_components(docs, similarity=SIMILARITY, size=SHINGLE, text="text", k
     of_class = landed(classes.join(moved, ["cls", "n_shingles"], "left").select(
         "cls", "n_shingles", F.coalesce("component_id", "least").alias("component_id")), "join-of-class")
     placed = rows.join(of_class, ["cls", "n_shingles"], "left")
-    return placed.select(key, "n_shingles", F.coalesce("component_id", F.col(key)).alias("component_id"))
+    return placed.select(F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id"))
 
 
 def one_of_each(docs, similarity=SIMILARITY, size=SHINGLE, text="text", key="doc_id"):
