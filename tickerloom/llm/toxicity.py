@@ -14,6 +14,8 @@ teach nothing; without labels of both classes the score is the share of label 1
 Repeated rows get a row each. Further columns are ignored; an empty table gives no rows.
 """
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -49,21 +51,29 @@ def features(text):
     return found
 
 
+def _packed(found):
+    """Features as compressed gaps, about a byte each on their way to the driver."""
+    return zlib.compress(np.diff(found, prepend=np.uint32(0)).astype("<u4").tobytes(), 1)
+
+
+def _unpacked(raw):
+    return np.cumsum(np.frombuffer(zlib.decompress(raw), "<u4"), dtype=np.uint32)
+
+
 def fit(rows, labels):
     """(weights on presence, intercept) from feature arrays and labels of both kinds."""
     y = np.asarray(labels, np.float64)
     size = 1 << BITS
-    lengths = np.array([len(r) for r in rows])
-    every, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), lengths)
-    toxic = np.bincount(every, weights=np.repeat(y, lengths), minlength=size)
-    clean = np.bincount(every, minlength=size) - toxic
+    toxic, clean = np.zeros(size), np.zeros(size)
+    for r, of in zip(rows, y):  # a text has a feature once
+        (toxic if of else clean)[r] += 1
     ratio = np.log((toxic + 1) / (toxic.sum() + size)) - np.log((clean + 1) / (clean.sum() + size))
     n, n_toxic = len(y), y.sum()
     share = (toxic + clean) / n
     error = np.sqrt(share * (1 - share) * (1 / n_toxic + 1 / (n - n_toxic))) + 1e-12
     ratio[np.abs(toxic / n_toxic - clean / (n - n_toxic)) < LEAST_Z * error] = 0
-    keep = ratio[every] != 0
-    every, doc = every[keep], doc[keep]
+    rows = [r[ratio[r] != 0] for r in rows]
+    every, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     used, every = np.unique(every, return_inverse=True)
     r, size = ratio[used][every], len(used)
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
@@ -87,14 +97,14 @@ def learn(docs, labels, label="toxic", most=TRAIN_DOCS, text="text", key="doc_id
     """(weights or None, intercept or share) from labelled texts."""
     def encode(batches):
         for b in batches:
-            yield pd.DataFrame({"y": b["y"], "x": [features(t).astype("<u4").tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"y": b["y"], "x": [_packed(features(t)) for t in b["text"]]})
 
     rows = training_rows(docs, labels, label, most, text, key).mapInPandas(encode, "y int, x binary").collect()
     y = [r.y for r in rows]
     if len(set(y)) < 2:
         return None, (sum(y) / len(y) if y else 0.0)
     rows.sort(key=lambda r: (r.y, r.x))  # the order of tasks must not matter
-    return fit([np.frombuffer(r.x, "<u4") for r in rows], [r.y for r in rows])
+    return fit([_unpacked(r.x) for r in rows], [r.y for r in rows])
 
 
 def score_toxicity(docs, labels, label="toxic", threshold=0.7, most=TRAIN_DOCS, text="text", key="doc_id"):
