@@ -350,6 +350,27 @@ def q_backtest_predictions(spark, sf):
     return rounded(df, 2, "predicted_price").drop("mention_rolling_avg")
 
 
+def _chain_trades(spark, sf):
+    """Trades of the models' own predictions for the pairs chosen at each end date."""
+    weeks = _weekly(spark, sf)
+    chosen = pair_plans.top_pairs_by_end_date(correlation.top_scores(_backfill(spark, sf), "both"), AS_OF)
+    return backtest.backtest_trades(backtest.backtest_predictions(weeks, _counts(spark, sf), chosen), weeks)
+
+
+def q_backtest_chain_trades(spark, sf):
+    return rounded(rounded(_chain_trades(spark, sf), 2, "predicted_price"), 4, "predicted_change")
+
+
+def q_backtest_chain_curve(spark, sf):
+    return rounded(rounded(backtest.backtest_curve(_chain_trades(spark, sf)), 4, "weekly_return"), 2, "portfolio_value")
+
+
+def q_allocation_chain(spark, sf):
+    """The models' own recommendations for all symbols, turned into a buy list."""
+    df = recommend.buy_allocation(q_buy_recommendations_all_symbols(spark, sf), 1000, AS_OF)
+    return rounded(df, 6, "predicted_growth", "predicted_weekly_close_price")
+
+
 def q_backtest_predictions_decision_tree(spark, sf):
     chosen = pair_plans.top_pairs_by_end_date(correlation.top_scores(_backfill(spark, sf), "both"), AS_OF)
     return backtest.backtest_predictions(_weekly(spark, sf), _counts(spark, sf), chosen, "decision_tree")

@@ -519,6 +519,20 @@ FROM (SELECT model_type, week_to_buy AS week_of_purchases,
                  ORDER BY predicted_change DESC, stock_symbol, keyword, filing_type, time_delay) AS n FROM trades)
       GROUP BY 1, 2)"""
 
+BLOCKS["chain_trades"] = f"""
+SELECT 'linear' AS model_type, c.next_week AS week_to_buy, p.stock_symbol, p.keyword, p.time_delay, p.filing_type,
+       p.current_close_price, p.predicted_price, p.predicted_price / p.current_close_price - 1 AS predicted_change,
+       CASE WHEN p.current_close_price < p.predicted_price THEN 'buy recommended' ELSE 'dont buy' END AS recommendation,
+       w.week_open_price AS buy_open_price, w.week_close_price AS buy_close_price
+FROM (SELECT *, {_PRED} AS predicted_price FROM shifted_pairs_score JOIN shifted_pairs_models USING ({_PAIR})) p
+JOIN calendar c ON p.end_date = c.week_opening_date
+JOIN weekly w ON w.week_opening_date = c.next_week AND w.stock_symbol = p.stock_symbol"""
+BLOCKS["chain_curve"] = BLOCKS["curve"].replace("FROM trades)", "FROM chain_trades)")
+
+BLOCKS["chain_recs"] = f"""
+SELECT * REPLACE (CAST(previous_weekly_open_date AS DATE) AS previous_weekly_open_date) FROM ({_recommend('fixed_pairs')})"""
+BLOCKS["chain_allocation"] = BLOCKS["allocation"].replace("FROM recs)", "FROM chain_recs)")
+
 # ---- putting twins together -----------------------------------------------------
 
 NEEDS = {
@@ -533,6 +547,8 @@ NEEDS = {
     "screen_base": ["screen_peaks", "symbol_dim", "balance", "income"], "screen_mid": ["screen_base"],
     "screen_full": ["screen_mid"], "headings": ["submissions"], "sections": ["headings"], "recs": ["weekly"],
     "allocation": ["recs"], "calendar": ["weekly"], "trades": ["weekly", "calendar"], "curve": ["trades"],
+    "chain_trades": ["shifted_pairs_models", "shifted_pairs_score", "calendar"], "chain_curve": ["chain_trades"],
+    "chain_recs": ["fixed_pairs_models", "fixed_pairs_score", "fixed_pairs_latest"], "chain_allocation": ["chain_recs"],
 }
 #: Blocks the engine should compute once although several parts read them.
 HEAVY = {"prices", "weekly", "counts", "lagged", "grid", "backfill", "grid_ranked", "backfill_ranked"}
@@ -704,6 +720,8 @@ O["last_week_returns"] = twin(["allocation", "weekly"], """
 SELECT round(gain, 4) AS gain, round(gain / 1000, 4) AS performance FROM (
   SELECT coalesce(sum(round_even(1000 * share / previous_weekly_close_price, 2) * (week_close_price - week_open_price)), 0) AS gain
   FROM allocation a JOIN weekly w ON a.stock_symbol = w.stock_symbol AND a.previous_weekly_open_date = w.week_opening_date)""")
+O["allocation_chain"] = O["buy_allocation"].replace("FROM allocation", "FROM chain_allocation")
+O["allocation_chain"] = twin(["chain_allocation"], O["allocation_chain"][O["allocation_chain"].rindex("\nSELECT") + 1:])
 O["buy_date"] = twin(["recs"], f"SELECT {day('CAST(max(previous_weekly_open_date) + 7 AS DATE)')} AS buy_date FROM recs")
 O["backtest_trades"] = twin(["trades"], f"""
 SELECT * REPLACE ({day('week_to_buy')} AS week_to_buy, CAST(time_delay AS BIGINT) AS time_delay,
@@ -711,6 +729,12 @@ SELECT * REPLACE ({day('week_to_buy')} AS week_to_buy, CAST(time_delay AS BIGINT
 O["backtest_curve"] = twin(["curve"], f"""
 SELECT model_type, {_dates('week_of_purchases')}, round(weekly_return, 6) AS weekly_return,
        round(log10(portfolio_value), 6) AS portfolio_log10 FROM curve""")
+O["backtest_chain_trades"] = twin(["chain_trades"], f"""
+SELECT * REPLACE ({day('week_to_buy')} AS week_to_buy, CAST(time_delay AS BIGINT) AS time_delay,
+       round(predicted_price, 2) AS predicted_price, round(predicted_change, 4) AS predicted_change) FROM chain_trades""")
+O["backtest_chain_curve"] = twin(["chain_curve"], f"""
+SELECT model_type, {_dates('week_of_purchases')}, round(weekly_return, 4) AS weekly_return,
+       round(portfolio_value, 2) AS portfolio_value FROM chain_curve""")
 O["backtest_predictions"] = twin(["shifted_pairs_models", "shifted_pairs_score"], f"""
 SELECT 'linear' AS model_type, CAST(current_week AS BIGINT) AS current_week, {_dates('prediction_date', 'week_opening_date')},
        current_close_price, target_close_price AS next_week_close_price, round({_PRED}, 2) AS predicted_price,

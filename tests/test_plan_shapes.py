@@ -19,17 +19,16 @@ BOUNDED = {"week_lead", "backtest_trades", "backtest_curve", "curve_with_index",
            "top_pairs_today", "buy_recommendations", "keyword_occurrences", "last_week_returns", "buy_date",
            "index_returns", "recent_closes", "topk_keyword_correlations", "discount_screen_page",
            "topk_keyword_correlations_across", "mention_chart", "mention_chart_return", "backtest_predictions",
-           "backtest_predictions_decision_tree", "pair_correlation"}
-
+           "backtest_predictions_decision_tree", "pair_correlation", "backtest_chain_trades", "backtest_chain_curve"}
 
 # the optional subpackage has tests of its own
 OWN = {n[2:] for n in vars(entry) if n.startswith("q_")}
 
 
-@pytest.mark.parametrize("name", sorted(OWN - BOUNDED))
-def test_no_single_partition_exchange_and_no_nested_loops(spark, name):
+@pytest.mark.parametrize("name", sorted(OWN))
+def test_plan_shape(spark, name):
     text = plan(entry.queries()[name](spark, SF))
-    assert "SinglePartition" not in text
+    assert name in BOUNDED or "SinglePartition" not in text
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     if "tree" not in name and "forest" not in name:
         assert "Python" not in text and "InPandas" not in text

@@ -37,8 +37,12 @@ def sorted_by(df, column, descending=False, tiebreak=()):
 
 
 def resume_after(symbols, start_symbol, position="position"):
-    """Symbols that follow ``start_symbol`` in the list's own order; all of them when it is blank."""
+    """Symbols that follow ``start_symbol`` in the list's own order; all of them when it is blank.
+
+    A symbol that is not in the list is an error when the result is read.
+    """
     if not start_symbol:
         return symbols
     start = symbols.filter(F.col("stock_symbol") == start_symbol).agg(F.min(position))
-    return symbols.filter(F.col(position) > start.scalar())
+    unknown = F.raise_error(F.lit(f"no symbol {start_symbol!r} to resume after"))
+    return symbols.filter(F.when(start.scalar().isNull(), unknown.cast("boolean")).otherwise(F.col(position) > start.scalar()))

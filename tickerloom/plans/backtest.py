@@ -104,22 +104,27 @@ def returns_vs_index(curve, index, risk_free=RISK_FREE_RATE):
     """
     order = Window.partitionBy("model_type").orderBy("week_of_purchases")
     log_return = F.ln(F.try_divide(F.col("portfolio_value"), F.lag("portfolio_value").over(order)))
-    own = curve.withColumn("_log", log_return).groupBy("model_type").agg(
+    weeks = curve.withColumn("_log", log_return)
+    # one row per model and calendar day keeps this an equi-join
+    days = curve.groupBy("model_type").agg(
+        F.min("week_of_purchases").alias("first_week"), F.max("week_of_purchases").alias("last_week")).select("model_type", F.explode(F.sequence("first_week", "last_week")).alias("created_at"))
+    dated = index.join(days, "created_at")
+    none = F.lit(None)
+    # both series meet in one aggregation by model
+    both = weeks.select("model_type", "week_of_purchases", "portfolio_value", "_log", none.cast("date").alias("created_at"),
+                        none.cast("double").alias("close_price")).union(
+        dated.select("model_type", none.cast("date"), none.cast("double"), none.cast("double"), "created_at", "close_price"))
+    own = both.groupBy("model_type").agg(
         F.min("week_of_purchases").alias("first_week"), F.max("week_of_purchases").alias("last_week"),
         F.min_by("portfolio_value", "week_of_purchases").alias("_first"),
         F.max_by("portfolio_value", "week_of_purchases").alias("_last"),
         F.avg("_log").alias("_mean"), F.stddev_samp("_log").alias("_std"),
-    )
-    # one row per model and calendar day keeps this an equi-join
-    days = own.select("model_type", F.explode(F.sequence("first_week", "last_week")).alias("created_at"))
-    dated = index.join(days, "created_at")
-    benchmark = dated.groupBy("model_type").agg(
         F.min_by("close_price", "created_at").alias("_index_first"),
-        F.max_by("close_price", "created_at").alias("_index_last"),
-    )
+        F.max_by("close_price", "created_at").alias("_index_last"), F.max("created_at").alias("_dated"),
+    ).filter(F.col("_dated").isNotNull())
     sharpe = F.try_divide(
         F.col("_mean") * WEEKS_PER_YEAR - risk_free, F.col("_std") * F.sqrt(F.lit(float(WEEKS_PER_YEAR))))
-    return own.join(benchmark, "model_type").select(
+    return own.select(
         "model_type", "first_week", "last_week",
         change("_index_last", "_index_first").alias("index_return"),
         change("_last", "_first").alias("backtest_return"),

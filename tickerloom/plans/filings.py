@@ -44,8 +44,7 @@ def filing_sections(submissions, all_or_nothing=False):
 def filing_records(submissions, ciks, dates, all_or_nothing=False):
     """One row per filing: company, type, number, sections, address and filing date.
 
-    Filings without a landed date page drop out. Duplicates are removed by filing number,
-    path and type, before the texts are attached to anything wider.
+    Filings without a landed date page drop out. Only rows that are the same in every column are removed.
     """
     sections = filing_sections(submissions, all_or_nothing).withColumns({
         "cik": cik_of("path"), "filing_number": accession_of("path"),
@@ -54,11 +53,11 @@ def filing_records(submissions, ciks, dates, all_or_nothing=False):
     dated = dates.groupBy("filing_number").agg(F.max("filing_date").alias("filing_date"))
     return (
         named.join(dated, "filing_number")
-        .dropDuplicates(["filing_number", "filing_type", "cik"])
         .select(
             "company_name", "filing_type", "filing_number", "risk_factors", "risk_disclosures",
             filing_index_url("filing_number").alias("filing_url"), "filing_date",
         )
+        .dropDuplicates()
     )
 
 

@@ -163,8 +163,9 @@ def discount_screen(prices, names, sectors, balance, income, stock_symbol=None,
     return rows.select("universe", "sector", *SCREEN_COLUMNS)
 
 
-def screen_page(screen, order_by="price_change", descending=False, low=None, high=None, sector=None, groups=()):
-    """Range filter, chosen order and column groups; without a sector only the first 100 rows.
+def screen_page(screen, order_by="price_change", descending=False, low=None, high=None, sector=None, groups=(),
+                limit=UNFILTERED_SCREEN_LIMIT):
+    """Range filter, chosen order and column groups; without a sector only the first ``limit`` rows.
 
     Returns (rows, message); the message is set when the range was unusable.
     """
@@ -172,7 +173,7 @@ def screen_page(screen, order_by="price_change", descending=False, low=None, hig
     low, high, message = checked_range(low, high)
     kept = all_of(screen, F.col(order_by).isNotNull(), within(order_by, low, high))
     shown = (
-        top_k(kept, order_by, UNFILTERED_SCREEN_LIMIT, descending, ["stock_symbol", "universe"])
+        top_k(kept, order_by, limit, descending, ["stock_symbol", "universe"])
         if not sector else sorted_by(kept, order_by, descending, ["stock_symbol", "universe"])
     )
     columns = [name for g in groups for name, _ in SCREEN_GROUPS[g]]

@@ -7,6 +7,7 @@ from ..functions.scalars import week_of
 from ..functions.text import mentions, occurrences
 from ..operators.filters import all_of, dates_within, one_of
 
+
 def keyword_weekly_counts(filings, keywords=KEYWORDS):
     """Filings mentioning each keyword, and all filings, per week and type.
 
@@ -19,29 +20,23 @@ def keyword_weekly_counts(filings, keywords=KEYWORDS):
         week_of("filing_date").alias("filing_week"), "filing_type", "filing_url",
         F.lower("risk_factors").alias("_a"), F.lower("risk_disclosures").alias("_b"),
     )
-    either = F.filter(
-        F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(k.lower()).alias("low")) for k in keywords]),
-        lambda k: F.coalesce(F.contains(F.col("_a"), k["low"]), F.lit(False))
-        | F.coalesce(F.contains(F.col("_b"), k["low"]), F.lit(False)),
-    )
-    # a NULL keyword row per filing carries the totals, so the text is scanned once
-    entries = slim.select(
-        "filing_week", "filing_type", "filing_url",
-        F.explode(F.concat(F.array(F.lit(None).cast("string")), F.transform(either, lambda k: k["keyword"]))).alias("keyword"),
-    )
-    counted = entries.groupBy("filing_week", "filing_type", "keyword").agg(
-        F.count("filing_url").alias("with_url"), F.count(F.lit(1)).alias("n")
-    )
-    # at most one entry per keyword and week
-    per_week = counted.groupBy("filing_week", "filing_type").agg(
-        F.max(F.when(F.col("keyword").isNull(), F.col("with_url"))).alias("total_filings"),
-        F.map_from_entries(F.collect_list(
-            F.when(F.col("keyword").isNotNull(), F.struct("keyword", "n")))).alias("hits"),
+    hits = [
+        F.count_if(_has("_a", k) | _has("_b", k)).alias(f"k{i}")
+        for i, k in enumerate(keywords)
+    ]
+    # one counter a keyword however long the list: combined before the only shuffle
+    wide = slim.groupBy("filing_week", "filing_type").agg(
+        F.count("filing_url").alias("total_filings"), *hits
     )
-    return per_week.select(
-        "filing_week", "filing_type", "total_filings",
-        F.explode(F.array(*[F.lit(k) for k in keywords])).alias("keyword"), "hits",
-    ).withColumn("keyword_mentions", F.coalesce(F.try_element_at("hits", F.col("keyword")), F.lit(0).cast("bigint"))).drop("hits")
+    counters = F.array(*[
+        F.struct(F.lit(k).alias("keyword"), F.col(f"k{i}").alias("keyword_mentions"))
+        for i, k in enumerate(keywords)
+    ])
+    return wide.select("filing_week", "filing_type", "total_filings", F.inline(counters))
+
+
+def _has(lowered, keyword):
+    return F.coalesce(F.contains(F.col(lowered), F.lit(keyword.lower())), F.lit(False))
 
 
 def keyword_occurrences(filings, keywords, start=None, end=None):
