@@ -1,8 +1,10 @@
 """What several operators share: words, landed tables, the held-out fold."""
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 #: Java and RE2 form of the word separators space, tab to carriage return.
@@ -57,5 +59,20 @@ def broadcast_checked(df, most=BROADCAST_ROWS):
     return F.broadcast(df) if df.count() <= most else df
 
 
+def give_back():
+    """Give memory freed in this Python worker back to the machine; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def then_give_back(batches):
+    """The same batches, with freed memory given back before the first and after the last."""
+    give_back()
+    yield from batches
+    give_back()
+
+
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from .common import broadcast_checked, landed
+from .common import broadcast_checked, landed, then_give_back
 
 SHINGLE, SIMILARITY = 5, 75
 #: Documents whose shingles a column block is meant for on average, and least blocks.
@@ -34,9 +34,9 @@ DOCS_A_BLOCK, LEAST_BLOCKS = 1000, 128
 #: Rounds of stars with other pivots before cross pairs are formed.
 STARS = 3
 #: Documents whose cells are packed together; at most 65,536.
-BATCH = 5_000
+BATCH = 2_000
 #: Word hashes a worker keeps.
-CACHE = 500_000
+CACHE = 200_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -122,7 +122,8 @@ def _incidence(docs, key, kind, text, bits, size):
 
     # null keys travel as another value with a mark, so whole numbers stay whole
     some = F.coalesce(F.col(key), F.lit("0").cast(kind))
-    return docs.select(some.alias("key"), F.col(key).isNull().alias("no_key"), F.col(text).alias("text")).mapInPandas(run, schema)
+    texts = docs.select(some.alias("key"), F.col(key).isNull().alias("no_key"), F.col(text).alias("text"))
+    return texts.mapInPandas(lambda batches: then_give_back(run(batches)), schema)
 
 
 def _unpack(cells):

@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from .common import then_give_back
+
 LENGTH = 2048
 #: Tokens a task holds before it packs them.
 BUFFER = 8_000_000
@@ -185,7 +187,7 @@ def pack(docs, length=LENGTH, path=None, buffer=BUFFER, text="text", key="doc_id
                     yield from flush()
         yield from flush()
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(key), F.col(text)).mapInArrow(lambda batches: then_give_back(run(batches)), schema)
 
 
 def unpack(rows):

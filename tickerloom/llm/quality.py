@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, then_give_back
 
 PASSAGE = 1024
 #: Labelled texts of each class that are learnt from at most.
@@ -171,4 +171,4 @@ def keep_good(docs, labels, label="quality", threshold=0.5, most=TRAIN_DOCS, tex
             texts = b.column(at).to_pylist()
             yield b.filter(pa.array([(m.score(passages(t)) if m else share) >= threshold for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda batches: then_give_back(run(batches)), docs.schema)
