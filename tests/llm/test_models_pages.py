@@ -127,6 +127,22 @@ def test_marked_articles_keep_what_they_share(spark):
         assert r.text == f"{line}\n{H.sentence(r.page_id, 9)}"
 
 
+def test_text_outside_a_mark_and_under_state_names_stays(spark):
+    body = H.sentence(1, 40)
+    assert html_text.main_text(f'<h1 class="post-title">T</h1><div class="body"><p>{body}</p></div>') == f"T\n{body}"
+    assert html_text.main_text(f"<main><h1>T</h1><p>lead</p><article><p>{body}</p></article></main>") == f"T\nlead\n{body}"
+    assert html_text.main_text(f"<main><p>{body}</p></main><article><p>teaser</p></article>") == f"{body}\nteaser"
+    for wrap in ('class="has-sidebar"', 'id="layout-no-ads"', 'class=withComments', 'title="the hidden gem"', "title='hidden'", "title= hidden"):
+        assert html_text.main_text(f"<div {wrap}><p>{body}</p></div>") == body
+    for wrap in ("hidden", "class=x hidden", 'hidden="until-found"', 'class="x"hidden', "HIDDEN", 'class="has-sidebar sidebar"', 'class="cookie-notice"'):
+        assert html_text.main_text(f"<div {wrap}>gone</div><p>{body}</p>") == body
+    rows = [(i, "http://a.example/", f"<div>Shop</div><article><p>{H.sentence(i, 9)}</p></article><p>x{i}</p>") for i in range(10)]
+    rows += [(50 + i, "http://b.example/", f"<div>Shop</div><article><p>{body}</p></article>") for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in html_text.extract(pages).collect():
+        assert r.text == (body if r.page_id >= 50 else f"{H.sentence(r.page_id, 9)}\nx{r.page_id}")
+
+
 def test_equivalence_classes_and_their_validity(spark):
     rows = [(i, "http://a.example/", f"<div class=a><p>x</p></div>{'<i>s</i>' if i % 2 else ''}<div class=b>{i}</div>") for i in range(8)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")

@@ -9,10 +9,11 @@ class (its root); valid classes nested in the root are the template. What is lef
 are its slots.
 
 Slots are named by where they lie: text inside menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments (by tag, role, class or id) is no main text. If the page
-marks an article, or else a main part, only the slots inside it are taken, and all of them: a
-passage that many articles share stays. Without such a mark, text blocks that are template tokens
-are left out as well. Within a block white space becomes one space; line breaks are white space. Blocks
+forms, scripts, styles and reader comments (by tag, role, class or id) is no main text. Of the rest,
+text blocks that are template tokens are left out. A mark (an article, else a main part, else a
+class or id) counts only if more than half of the page's slot text lies inside: then its blocks are kept
+even where they are template tokens, as a passage that many articles share is. Slots outside it
+stay. Within a block white space becomes one space; line breaks are white space. Blocks
 are joined in page order by one newline.
 
 Null and empty pages have an empty text. Repeated pages get a row each and count as pages of their
@@ -57,12 +58,16 @@ ASIDE_WORDS = frozenset((
     "toolbar comment comments commentlist disqus reply replies respond related recommended recommendations widget widgets share sharing "
     "social newsletter subscribe subscription signup login popup modal overlay paywall pagination pager search").split())
 NOT_ARTICLE = frozenset("comment comments reply replies ad ads advert sponsored promo related widget".split())
+#: A class or id that holds one of these tells what a page has or lacks, not what the element is.
+STATE_WORDS = frozenset("has have no not non with without".split())
 CONTENT_WORDS = frozenset("article articlebody content maincontent entry post story".split())
 
 NAME = r"[a-zA-Z][a-zA-Z0-9:-]*"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)(" + NAME + r")((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)(" + NAME + r")([^>]*)>|<[!?/][^>]*(?:>|\Z)|<" + NAME + r"[^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+VALUE = re.compile(r"\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+HIDDEN = re.compile(r"(?:^|[\s\"'/])hidden(?:[\s=/]|$)", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
@@ -72,8 +77,12 @@ def _attributes(raw):
 
 
 def _label_words(attrs):
-    named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return {w.lower() for w in WORDS.findall(named)} | set(re.split(r"[^a-z0-9]+", named.lower())) if named.strip() else frozenset()
+    found = set()
+    for named in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        parts = {w.lower() for w in WORDS.findall(named)} | set(re.split(r"[^a-z0-9]+", named.lower()))
+        if not parts & STATE_WORDS:
+            found |= parts
+    return found
 
 
 def _beside(name, raw, attrs, words, inside):
@@ -83,7 +92,7 @@ def _beside(name, raw, attrs, words, inside):
         return bool(words & NOT_ARTICLE)
     if name in ASIDE_TAGS or attrs.get("role", "").lower() in ASIDE_ROLES or attrs.get("aria-hidden", "").lower() == "true":
         return True
-    if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", raw) or re.search(r"display\s*:\s*none", attrs.get("style", "")):
+    if "hidden" in raw.lower() and HIDDEN.search(VALUE.sub("= ", raw)) or re.search(r"display\s*:\s*none", attrs.get("style", "")):
         return True
     return bool(words & ASIDE_WORDS) or not inside and (name == "header" or "header" in words)
 
@@ -190,10 +199,16 @@ def main_text(page, template=frozenset()):
     if not page:
         return ""
     blocks = [t for t in tokens(page) if t[1] is not None and not t[3]]
-    most = max((t[2] for t in blocks), default=0)
-    if most:
-        return "\n".join(t[1] for t in blocks if t[2] == most)
-    return "\n".join(t[1] for t in blocks if _key(t[0]) not in template)
+    slots = [_key(t[0]) not in template for t in blocks]
+    inside = dict.fromkeys((0, HINT, MAIN, ARTICLE), 0)
+    for t, slot in zip(blocks, slots):
+        for level in inside:
+            inside[level] += len(t[1]) * slot * (t[2] >= level)
+    mark = next((m for m in (ARTICLE, MAIN, HINT) if 2 * inside[m] > inside[0]), None)
+    if mark is None and not inside[0]:
+        # copies of one page are all template; the strongest mark is what is left to go by
+        mark = max((t[2] for t in blocks), default=0) or None
+    return "\n".join(t[1] for t, slot in zip(blocks, slots) if slot or mark is not None and t[2] >= mark)
 
 
 def _occurrences(pages, url, page):
