@@ -92,6 +92,16 @@ def test_passages_are_found_and_clean_texts_left_alone(spark):
     assert decontaminate.contaminated(docs, bench.filter("text IS NULL")).columns == ["doc_id", "item_id", "similarity", "first_word"]
 
 
+def test_items_that_share_an_id_or_have_none_are_found(spark):
+    texts = [H.sentence(40 + i, 24) for i in range(4)]
+    bench = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3])], "item_id long, text string")
+    docs = H.docs(spark, [(i, H.sentence(80 + i, 50) + " " + t, "en", "s") for i, t in enumerate(texts)] + [(9, H.sentence(90, 80), "en", "s")])
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert sorted(((r.doc_id, r.item_id, r.similarity, r.first_word) for r in got), key=str) == [
+        (0, 1, 1.0, 50), (1, 1, 1.0, 50), (2, None, 1.0, 50), (3, None, 1.0, 50)]
+    assert [r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()] == [9]
+
+
 def test_fingerprints_of_alike_windows_lie_within_the_radius(spark):
     """Windows of similarity 0.75 or more with random changes: all within the radius."""
     from pyspark.sql import functions as F

@@ -15,7 +15,7 @@ passage. A shingle has five words, or all words of an item that has fewer.
 
 Null, empty and blank texts and items match nothing. Rows that repeat an id and text give their
 matches once. Items that repeat an id are told apart by their text and reported once, by the
-better match. Further columns are ignored; with an empty table on either side nothing matches.
+better match; an item with a null id is reported under null. Further columns are ignored; with an empty table on either side nothing matches.
 """
 
 from pyspark.sql import functions as F
@@ -78,7 +78,8 @@ def contaminated(docs, benchmark, similarity=SIMILARITY, shingle=SHINGLE, radius
                  item_key="item_id", item_text="text"):
     """Pairs (key, item_key) with the similarity and first word of the best window, of ``similarity`` percent or more."""
     items = benchmark.select(F.col(item_key).alias("item"), words_of(F.col(item_text)).alias("w")).filter(F.size("w") > 0)
-    items = landed(items.select("item", "w", F.size("w").alias("len"), F.least(F.size("w"), F.lit(shingle)).alias("g")).distinct(), "decon-items")
+    items = landed(items.select("item", "w", F.size("w").alias("len"), F.least(F.size("w"), F.lit(shingle)).alias("g")).distinct().withColumn(
+        "name", F.xxhash64("item", "w")), "decon-items")
     sizes = sorted(r.g for r in items.select("g").distinct().collect())  # at most `shingle` values
     if not sizes:
         kinds = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item_key}` {benchmark.schema[item_key].dataType.simpleString()}"
@@ -86,7 +87,7 @@ def contaminated(docs, benchmark, similarity=SIMILARITY, shingle=SHINGLE, radius
 
     def item_grams(g):
         own = items.filter(F.col("g") == g)
-        return own.select("item", "len", "g", F.posexplode(_grams("w", g)).alias("at", "gram"))
+        return own.select("item", "name", "len", "g", F.posexplode(_grams("w", g)).alias("at", "gram"))
 
     grams = item_grams(sizes[0])
     for g in sizes[1:]:
@@ -112,15 +113,16 @@ def contaminated(docs, benchmark, similarity=SIMILARITY, shingle=SHINGLE, radius
     for g in sizes[1:]:
         by_size = by_size.when(F.col("g") == g, _grams("w", g))
     prints = _fingerprints(cut.select("key", "text_key", "start", "len", "g", F.explode(by_size).alias("gram")), ["key", "text_key", "start", "len", "g"])
-    item_prints = landed(_fingerprints(grams, ["item", "len", "g"]).withColumnsRenamed({"grams": "item_grams", "print": "item_print"}), "decon-prints")
+    item_prints = landed(_fingerprints(grams, ["item", "name", "len", "g"]).withColumnsRenamed({"grams": "item_grams", "print": "item_print"}), "decon-prints")
 
     # 3. multi-index search and exact check
     index = landed(index_of(item_prints.withColumnRenamed("item_print", "print")).withColumnRenamed("print", "item_print").drop("item_grams"), "decon-index")
     probes = prints.select("*", F.inline(_blocks(F.col("print"))))
     met = probes.join(broadcast_checked(index), ["len", "g", "block", "value"]).filter(
         F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
-    pairs = met.dropDuplicates(["key", "text_key", "start", "len", "g", "item", "item_print"]).join(
-        broadcast_checked(item_prints), ["item", "len", "g", "item_print"])
+    # by the item's name, not its id: ids may be null or repeat with another text
+    pairs = met.select("key", "text_key", "start", "len", "g", "grams", "name").dropDuplicates(
+        ["key", "text_key", "start", "len", "g", "name"]).join(broadcast_checked(item_prints), ["name", "len", "g"])
     shared = F.size(F.array_intersect("grams", "item_grams"))
     joined = F.size("grams") + F.size("item_grams") - F.col("shared")
     found = pairs.withColumn("shared", shared).withColumn("joined", joined).filter(100 * F.col("shared") >= similarity * F.col("joined"))
