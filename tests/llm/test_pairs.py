@@ -64,6 +64,16 @@ def test_one_of_each_keeps_one(spark):
     assert sorted(r.doc_id for r in got.collect()) == [1, 3, 4, 5]
 
 
+def test_one_of_each_goes_by_row(spark):
+    a, b, c, d = (H.sentence(60 + i, 30) for i in range(4))
+    rows = [(1, a), (2, a), (2, b), (7, c), (7, d), (None, c), (None, H.sentence(70, 30)), (None, H.sentence(71, 30)), (None, H.sentence(71, 30)),
+            (8, None), (8, None), (None, ""), (9, d + " tail"), (9, d + " tail")]
+    docs = H.docs(spark, [(i, t, "en", "s") for i, t in rows])
+    got = jaccard_join.one_of_each(docs)
+    want = [(1, a), (2, b), (7, c), (7, d), (None, H.sentence(70, 30)), (None, H.sentence(71, 30)), (8, None), (8, None), (None, "")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str) and got.columns == docs.columns
+
+
 @given(st.text(), st.integers(1, 6))
 @settings(max_examples=200, deadline=None)
 def test_set_sizes_are_those_of_the_words(text, n):

@@ -285,12 +285,29 @@ def jaccard_components(docs, similarity=SIMILARITY, size=SHINGLE, text="text", k
 
 
 def one_of_each(docs, similarity=SIMILARITY, size=SHINGLE, text="text", key="doc_id"):
-    """Rows of ``docs`` without all but one document of each component (the one of the least id)."""
-    found = landed(jaccard_components(docs, similarity, size, text, key), "join-result")
-    gone = landed(found.filter(F.col(key) != F.col("component_id")).select(key), "join-gone")
-    again = landed(found.groupBy(key).count().filter("count > 1").select(key), "join-again")
-    kept = docs.join(broadcast_checked(gone), key, "left_anti")
+    """Rows of ``docs`` without all but one row of each component (of the least id, a null one last).
+
+    Rows are told apart by id and text, so one id may stand with several texts. Rows that link with nothing stay, as do all
+    rows without a word.
+    """
+    columns = docs.columns
+    texts = docs.select(F.xxhash64(F.col(text)).alias("row_text"), F.col(text).alias("row_words"))
+    found = landed(jaccard_components(texts, similarity, size, "row_words", "row_text"), "join-result").filter("n_shingles > 0")
+    several = landed(found.groupBy("component_id").count().filter("count > 1").select("component_id"), "join-several")
+    members = landed(found.join(broadcast_checked(several), "component_id").select("row_text", "component_id").distinct(), "join-members")
+    ids = docs.select(F.col(key).alias("row_id"), F.xxhash64(F.col(text)).alias("row_text"))
+    rows = ids.join(broadcast_checked(members), "row_text").groupBy("component_id", "row_id", "row_text").agg(F.count("*").alias("copies"))
+    rows = landed(rows, "join-rows")
+    first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("row_id").isNull(), "row_id", "row_text")).alias("first"))
+    first = landed(first.select("component_id", F.col("first.row_id").alias("first_id"), F.col("first.row_text").alias("first_text")), "join-first")
+    stays = F.col("row_id").eqNullSafe(F.col("first_id")) & (F.col("row_text") == F.col("first_text"))
+    judged = rows.join(broadcast_checked(first), "component_id").withColumn("stays", stays)
+    gone = landed(judged.filter("NOT stays").select("row_id", "row_text"), "join-gone")
+    again = landed(judged.filter("stays AND copies > 1").select("row_id", "row_text"), "join-again")
+    same = F.col(f"d.{key}").eqNullSafe(F.col("r.row_id")) & (F.xxhash64(F.col(f"d.{text}")) == F.col("r.row_text"))
+    kept = docs.alias("d").join(broadcast_checked(gone).alias("r"), same, "left_anti")
     if again.isEmpty():
         return kept
-    twice = broadcast_checked(again)
-    return kept.join(twice, key, "left_anti").unionByName(kept.join(twice, key, "left_semi").dropDuplicates([key]))
+    twice = broadcast_checked(again).alias("r")
+    one = kept.alias("d").join(twice, same, "left_semi").withColumn("_text", F.xxhash64(F.col(text))).dropDuplicates([key, "_text"])
+    return kept.alias("d").join(twice, same, "left_anti").unionByName(one.select(*columns))
