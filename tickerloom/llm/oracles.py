@@ -167,4 +167,38 @@ SELECT doc_id, item_id, round(max(sim), 6) AS similarity, arg_max(start, (sim, -
 FROM s JOIN d USING (k) JOIN i USING (j) GROUP BY doc_id, item_id
 """
 
-ORACLES = {"op5_decontamination": OP5, "op10_jaccard_join": OP10, "op1_mixture": OP1, "op6_license_scan": _license_sql(), "op7_rule_ledger": OP7}
+
+OP11 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+total AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS size) WHERE len(ws) >= size),
+f AS (SELECT lang, size, phrase, count(*)::HUGEINT AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+longer AS (
+  SELECT lang, o.phrase, max(i.a) AS around
+  FROM f o JOIN f i USING (lang)
+  WHERE i.size > o.size AND o.size >= 2 AND contains(' ' || i.phrase || ' ', ' ' || o.phrase || ' ')
+  GROUP BY ALL),
+kept AS (SELECT f.* FROM f LEFT JOIN longer USING (lang, phrase) WHERE size >= 2 AND (around IS NULL OR 100 * around < 100 * a)),
+cut AS (
+  SELECT *, string_split(phrase, ' ') AS ws, unnest(range(1, size)) AS k FROM kept),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, n, (1000 * c.a * n) // (x.a * y.a) AS score
+  FROM cut c JOIN total USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[k + 1:c.size], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM best)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+ORACLES = {
+    "op5_decontamination": OP5, "op10_jaccard_join": OP10, "op1_mixture": OP1, "op6_license_scan": _license_sql(), "op7_rule_ledger": OP7,
+    "op11_collocations": OP11,
+}

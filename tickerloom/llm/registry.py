@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard_join, licenses, mixing, packing, quality, rules, token_counts, toxicity
+from . import collocations, decontaminate, html_text, jaccard_join, licenses, mixing, packing, private, quality, rules, token_counts, toxicity, whitening
 from .common import table
 from .oracles import ORACLES
 
@@ -66,6 +66,18 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_private_data(spark, sf_dir):
+    return private.find_private(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
