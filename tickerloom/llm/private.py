@@ -6,7 +6,8 @@ constant and they need no node. Neighbouring tokens share a chain potential. Ski
 one, however distant, that repeats it or is similar to it (same last seven digits, or same part before an ``@``); joining
 each to the next keeps the edges linear in the tokens. Tokens in base spans are observed. Loopy message
 passing (``TURNS`` damped rounds over all documents of a batch at once) carries their labels to the other places,
-and tokens whose belief in one kind reaches ``BELIEF`` become added spans; base spans stay as they are.
+and tokens whose belief in one kind reaches ``BELIEF``, and that are linked to a token of the kind or have a shape
+known for it, become added spans; base spans stay as they are.
 
 The weights are learnt by pseudo-likelihood with the base spans as labels, on at most ``TRAIN_TEXTS`` distinct texts with such
 tokens (those of least hash, and only texts of up to ``TRAIN_TOKENS`` of them), never by hand.
@@ -32,6 +33,8 @@ TURNS, DAMPING, BELIEF = 20, 0.3, 0.8
 STEPS, RATE, PENALTY = 300, 0.1, 1e-3
 #: Hashed features a token has, and their space.
 SLOTS, SPACE = 12, 1 << 12
+#: Place of the shape among a token's features.
+SHAPE = 1
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -131,9 +134,10 @@ def features(word):
     return [_slot(n) for n in names]
 
 
-def keys(word):
-    """What a token must share with another one to be linked."""
-    out = [("same", word.lower())] if len(word) >= 4 else []
+def keys(word, whole):
+    """What a token must share with another one to be linked; short ones count with their brackets."""
+    same = word if len(word) >= 5 else whole.rstrip(".,;:!?")
+    out = [("same", same.lower())] if len(same) >= 5 else []
     digits = "".join(c for c in word if c in "0123456789")
     if len(digits) >= 7:
         out.append(("digits", digits[-7:]))
@@ -179,7 +183,7 @@ class Graph:
                 else:
                     self.edge[-1][1] = True
             self.edge.append([not free, False])
-            for k in keys(word):
+            for k in keys(word, text[start:end]):
                 if k in last and (not free or last[k] != node - 1):
                     self.skip.append((last[k], node))
                 last[k] = node
@@ -206,10 +210,23 @@ def untrained():
 
 
 def fit(slots, label, edge, chain, skip):
-    """(feature weights, chain potentials, skip potentials per label) by pseudo-likelihood."""
+    """(feature weights, chain potentials, skip potential of each label) by pseudo-likelihood.
+
+    Agreement of linked tokens has one weight for all labels. Every token is learnt from twice, the second time
+    without its features, so that its neighbours alone must tell its label: with all features at hand, which tell
+    the observed labels almost surely, nothing would be learnt about links.
+    """
     n = len(label)
     if not n or not label.any():
         return untrained()
+    # whether a token beside no base span but linked to one is personal data is what the field is to tell
+    open_ = np.zeros(n, bool)
+    for a, b in (skip.T, skip.T[::-1]):
+        open_[a[(label[a] == 0) & (label[b] > 0)]] = True
+    plain = np.full_like(slots, _slot("bias"))
+    twice = lambda pairs: np.concatenate([pairs, pairs + n])
+    slots, label, edge = np.concatenate([slots, plain]), np.tile(label, 2), np.tile(edge, (2, 1))
+    chain, skip, n = twice(chain), twice(skip), 2 * n
     used, at = np.unique(slots, return_inverse=True)
     at = at.reshape(slots.shape)
     one = np.eye(LABELS)[label]
@@ -220,18 +237,18 @@ def fit(slots, label, edge, chain, skip):
     right[chain[:, 0]] = one[chain[:, 1]]
     np.add.at(near, skip[:, 0], one[skip[:, 1]])
     np.add.at(near, skip[:, 1], one[skip[:, 0]])
-    weights = [np.zeros((len(used), LABELS)), np.zeros((LABELS, LABELS)), np.zeros(LABELS)]
+    weights = [np.zeros((len(used), LABELS)), np.zeros((LABELS, LABELS)), np.zeros(1)]
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
-    share = 1.0 / n
+    share, taught = 1.0 / n, np.tile(~open_, 2)[:, None]
     for step in range(1, STEPS + 1):
         w, t, s = weights
         logit = w[at].sum(1) + left @ t + right @ t.T + near * s
         logit -= logit.max(1, keepdims=True)
         p = np.exp(logit)
-        d = (p / p.sum(1, keepdims=True) - one) * share
+        d = (p / p.sum(1, keepdims=True) - one) * (share * taught)
         gw = np.zeros_like(w)
         np.add.at(gw, at.ravel(), np.repeat(d, SLOTS, 0))
-        gradients = [gw + PENALTY * w * share, left.T @ d + d.T @ right + PENALTY * t * share, (near * d).sum(0) + PENALTY * s * share]
+        gradients = [gw + PENALTY * w * share, left.T @ d + d.T @ right + PENALTY * t * share, np.array([(near * d).sum()]) + PENALTY * s * share]
         for w, g, (m, v) in zip(weights, gradients, moments):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
@@ -239,7 +256,7 @@ def fit(slots, label, edge, chain, skip):
         weights[2][:] = np.clip(weights[2], 0, None)  # alike tokens attract
     full = np.zeros((SPACE, LABELS))
     full[used] = weights[0]
-    return full, weights[1], weights[2]
+    return full, weights[1], np.repeat(weights[2], LABELS)
 
 
 def beliefs(field, slots, label, edge, chain, skip, observed=True, turns=TURNS):
@@ -283,19 +300,25 @@ def added_spans(graph, field):
     p = beliefs(field, *arrays)
     best = p.argmax(1)
     chosen = (best > 0) & (arrays[1] == 0) & (p[np.arange(len(p)), best] >= BELIEF)
+    # the labels know nothing of other things with digits: of a run of tokens, one must have a shape that is known as
+    # one of the kind, or be linked to a token with the label
+    known = field[0][arrays[0][:, SHAPE]]
+    vouched = (known.argmax(1) == best) & (known.max(1) > 0)
+    for a, b in (arrays[4].T, arrays[4].T[::-1]):
+        vouched[a[best[a] == best[b]]] = True
     follows = np.zeros(len(p), bool)
     follows[arrays[3][:, 1]] = True
-    out = []
+    runs, before = [], -2
     for i in np.flatnonzero(chosen):
         doc, _, _, a, z = graph.places[i]
         if a == z:
             continue
-        if follows[i] and chosen[i - 1] and best[i - 1] == best[i] and out and out[-1][4] == i - 1:
-            doc, first, kind, _, _ = out.pop()
-            out.append((doc, first, kind, z, i))
+        if before == i - 1 and follows[i] and best[before] == best[i]:
+            runs[-1][3], runs[-1][4] = z, runs[-1][4] or vouched[i]
         else:
-            out.append((doc, a, int(best[i]) - 1, z, i))
-    return [(d, a, k, z) for d, a, k, z, _ in out]
+            runs.append([doc, a, int(best[i]) - 1, z, vouched[i]])
+        before = i
+    return [tuple(r[:4]) for r in runs if r[4]]
 
 
 def learn(docs, text="text", texts=TRAIN_TEXTS, most=TRAIN_TOKENS):
