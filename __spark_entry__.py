@@ -272,9 +272,9 @@ def q_latest_features(spark, sf):
     return rounded(df, 6, "mention_rolling_avg")
 
 
-def _fit(spark, sf, model):
+def _fit(spark, sf, model, digits=2):
     df = training.fit_predict(_model_rows(spark, sf), _keys(), model)
-    return rounded(df, 2, "predicted_price").drop("mention_rolling_avg")
+    return rounded(df, digits, "predicted_price").drop("mention_rolling_avg")
 
 
 def q_fit_predict_linear(spark, sf):
@@ -282,11 +282,11 @@ def q_fit_predict_linear(spark, sf):
 
 
 def q_fit_predict_decision_tree(spark, sf):
-    return _fit(spark, sf, "decision_tree")
+    return _fit(spark, sf, "decision_tree", 6)
 
 
 def q_fit_predict_random_forest(spark, sf):
-    return _fit(spark, sf, "random_forest")
+    return _fit(spark, sf, "random_forest", 6)
 
 
 def q_holdout_error(spark, sf):
@@ -371,9 +371,18 @@ def q_allocation_chain(spark, sf):
     return rounded(df, 6, "predicted_growth", "predicted_weekly_close_price")
 
 
-def q_backtest_predictions_decision_tree(spark, sf):
+def _dated_predictions(spark, sf, model):
     chosen = pair_plans.top_pairs_by_end_date(correlation.top_scores(_backfill(spark, sf), "both"), AS_OF)
-    return backtest.backtest_predictions(_weekly(spark, sf), _counts(spark, sf), chosen, "decision_tree")
+    df = backtest.backtest_predictions(_weekly(spark, sf), _counts(spark, sf), chosen, model)
+    return rounded(df, 6, "predicted_price").drop("mention_rolling_avg")
+
+
+def q_backtest_predictions_decision_tree(spark, sf):
+    return _dated_predictions(spark, sf, "decision_tree")
+
+
+def q_backtest_predictions_random_forest(spark, sf):
+    return _dated_predictions(spark, sf, "random_forest")
 
 
 def q_returns_vs_index(spark, sf):

@@ -670,6 +670,76 @@ O["fit_predict_linear"] = twin(["fixed_pairs_models", "fixed_pairs_score"], f"""
 SELECT {_pair_out()}, {_dates('week_opening_date', 'prediction_date')}, target_close_price,
        CAST(current_week AS BIGINT) AS current_week, current_close_price, round({_PRED}, 2) AS predicted_price, 'ok' AS status
 FROM fixed_pairs_score JOIN fixed_pairs_models USING ({_PAIR})""")
+
+
+def _tree_predictions(pairs, trees=None, depth=None):
+    """Predictions per pair: one unbounded tree, or bootstrap trees of a depth, grown in a recursive query."""
+    names = ", ".join(f"x{i}" for i in range(3))
+    features = ", ".join(f"CAST({c} AS DOUBLE) AS x{i}" for i, c in enumerate(_F))
+    groups = f"SELECT *, row_number() OVER (ORDER BY {_PAIR}) AS g FROM (SELECT DISTINCT {_PAIR} FROM {pairs}_score)"
+    train = f"""
+SELECT g, row_number() OVER (PARTITION BY g ORDER BY {', '.join(_F)}, {_Y}, week_opening_date) - 1 AS r,
+       count(*) OVER (PARTITION BY g) AS n, {features}, {_Y} AS y
+FROM {pairs}_train JOIN tree_groups USING ({_PAIR}) WHERE part = 'train'"""
+    if trees:
+        draws = f"""
+SELECT g, t, CAST('0x' || substr(md5(concat_ws('|', CAST(t AS VARCHAR), CAST(r AS VARCHAR), '12')), 1, 7) AS BIGINT) % n AS r, count(*) AS w
+FROM tree_train, (SELECT unnest(range({trees})) AS t) GROUP BY ALL"""
+        sample = f"SELECT g, t, r, w::DOUBLE AS w, {names}, y FROM tree_train JOIN ({draws}) USING (g, r)"
+    else:
+        sample = f"SELECT g, 0 AS t, r, 1.0::DOUBLE AS w, {names}, y FROM tree_train"
+    cuts, over = [], "PARTITION BY g, t, node"
+    for j in range(3):
+        v = f"CASE WHEN w > 0 THEN x{j} END"
+        cuts.append((f"""{v} AS v{j}, sum(w) OVER o{j} AS n{j}, sum(w * y) OVER o{j} AS s{j}, lead({v}) OVER l{j} AS next{j}""",
+                     f"""o{j} AS ({over} ORDER BY {v} NULLS LAST, r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), l{j} AS ({over} ORDER BY {v} NULLS LAST, r)"""))
+    gain = lambda j: (f"CASE WHEN next{j} > v{j} AND hi > lo THEN round(n{j} * (n - n{j}) * pow(s{j} / n{j} - (s - s{j}) / (n - n{j}), 2) "
+                      f"/ (n * n * (hi - lo) * (hi - lo)), 10) END")
+    tops = ", ".join(f"max(g{j}) OVER node AS top{j}" for j in range(3))
+    firsts = ", ".join(f"min(CASE WHEN g{j} = top{j} THEN CASE WHEN (v{j} + next{j}) / 2 < next{j} THEN (v{j} + next{j}) / 2 ELSE v{j} END END) OVER node AS cut{j}" for j in range(3))
+    best = "greatest(top0, top1, top2)"
+    low = f"CASE WHEN top0 = {best} THEN x0 <= cut0 WHEN top1 = {best} THEN x1 <= cut1 ELSE x2 <= cut2 END"
+    leaf = f"{best} IS NULL" + (f" OR level >= {depth}" if depth is not None else "")
+    grown = f"""
+SELECT g, t, r, w, {names}, y, level + 1 AS level, CASE WHEN leaf THEN node WHEN low THEN node || '0' ELSE node || '1' END AS node,
+       CASE WHEN leaf THEN s / n END AS predicted
+FROM (SELECT *, max(w = 0 AND low) OVER node AS low_asked, max(w = 0 AND NOT low) OVER node AS high_asked
+      FROM (SELECT *, {leaf} AS leaf, {low} AS low
+            FROM (SELECT *, {firsts} FROM (SELECT *, {tops} FROM (SELECT *, {', '.join(f'{gain(j)} AS g{j}' for j in range(3))}
+                  FROM (SELECT *, sum(w) OVER node AS n, sum(w * y) OVER node AS s, min(CASE WHEN w > 0 THEN y END) OVER node AS lo,
+                               max(CASE WHEN w > 0 THEN y END) OVER node AS hi, {', '.join(c for c, _ in cuts)}
+                        FROM tree_nodes WHERE predicted IS NULL WINDOW node AS ({over}), {', '.join(w for _, w in cuts)}))
+                  WINDOW node AS ({over})) WINDOW node AS ({over})))
+      WINDOW node AS ({over}))
+WHERE w = 0 OR (NOT leaf AND CASE WHEN low THEN low_asked ELSE high_asked END)"""
+    every = "CROSS JOIN (SELECT unnest(range(%d)) AS t)" % (trees or 1)
+    start = f"""
+SELECT g, t, r, w, {names}, y, 0 AS level, '' AS node, CAST(NULL AS DOUBLE) AS predicted FROM ({sample})
+UNION ALL SELECT g, t, -1, 0.0, {names}, NULL, 0, '', NULL
+FROM (SELECT g, {features} FROM {pairs}_score JOIN tree_groups USING ({_PAIR})) {every}
+WHERE g IN (SELECT g FROM tree_train)"""
+    return [("tree_groups", groups), ("tree_train", train), ("tree_nodes", f"({start}) UNION ALL ({grown})"),
+            ("tree_predictions", f"SELECT {_PAIR}, avg(predicted) AS predicted_price FROM tree_nodes JOIN tree_groups USING (g) WHERE predicted IS NOT NULL GROUP BY ALL")]
+
+
+def _tree_twin(pairs, trees, depth, select):
+    blocks = ", ".join(f"{n} AS {'MATERIALIZED ' if n in ('tree_groups', 'tree_train') else ''}({sql.strip()})" for n, sql in _tree_predictions(pairs, trees, depth))
+    return twin([f"{pairs}_train", f"{pairs}_score"], f", {blocks}\n{select}").replace("WITH ", "WITH RECURSIVE ", 1).replace(")\n, tree_groups", "), tree_groups")
+
+
+_TREE_STATUS = "CASE WHEN predicted_price IS NULL THEN 'too_few_rows' ELSE 'ok' END"
+for _model, _trees, _depth in (("decision_tree", None, None), ("random_forest", 200, 20)):
+    O[f"fit_predict_{_model}"] = _tree_twin("fixed_pairs", _trees, _depth, f"""
+SELECT {_pair_out()}, {_dates('week_opening_date', 'prediction_date')}, target_close_price,
+       CAST(current_week AS BIGINT) AS current_week, current_close_price, round(predicted_price, 6) AS predicted_price, {_TREE_STATUS} AS status
+FROM fixed_pairs_score LEFT JOIN tree_predictions USING ({_PAIR})""")
+    O[f"backtest_predictions_{_model}"] = _tree_twin("shifted_pairs", _trees, _depth, f"""
+SELECT '{_model}' AS model_type, CAST(current_week AS BIGINT) AS current_week, {_dates('prediction_date', 'week_opening_date')},
+       current_close_price, target_close_price AS next_week_close_price, round(predicted_price, 6) AS predicted_price,
+       stock_symbol, keyword, {_dates('start_date')},
+       {day("CAST(end_date + CAST(5 - isodow(end_date) - CASE WHEN isodow(end_date) = 5 THEN 0 ELSE 7 END AS INTEGER) AS DATE)")} AS friday_end_date,
+       {day('end_date')} AS monday_end_date, CAST(time_delay AS BIGINT) AS time_delay, filing_type, {_TREE_STATUS} AS status
+FROM shifted_pairs_score LEFT JOIN tree_predictions USING ({_PAIR})""")
 O["holdout_error"] = twin(["fixed_pairs_models", "fixed_pairs_train"], f"""
 SELECT {_pair_out()}, round(avg(abs(target_close_price - ({_PRED}))), 2) AS mae, count(*) AS n_test
 FROM fixed_pairs_train JOIN fixed_pairs_models USING ({_PAIR}) WHERE part = 'test' GROUP BY {_PAIR}""")

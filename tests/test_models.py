@@ -57,6 +57,77 @@ def test_tree_repeats_its_training_rows_and_forest_stays_in_range(spark):
     assert forest.filter(~F.col("predicted_price").between(low, high)).count() == 0
 
 
+def plain_tree(rows, query, depth=None):
+    """Leaf mean for one query, grown by trying every cut; rows are (features, y, weight)."""
+    ys = [y for _, y, _ in rows]
+    n, s = sum(w for *_, w in rows), sum(w * y for _, y, w in rows)
+    if min(ys) == max(ys) or depth == 0:
+        return s / n
+    best = None
+    for j in range(len(query)):
+        values = sorted({x[j] for x, _, _ in rows})
+        for a, b in zip(values, values[1:]):
+            low = [r for r in rows if r[0][j] <= a]
+            ln, ls = sum(r[2] for r in low), sum(r[2] * r[1] for r in low)
+            gain = round(ln * (n - ln) * (ls / ln - (s - ls) / (n - ln)) ** 2 / (n * n * (max(ys) - min(ys)) ** 2), 10)
+            if best is None or gain > best[0]:
+                best = (gain, j, (a + b) / 2)
+    if best is None:
+        return s / n
+    _, j, cut = best
+    side = [r for r in rows if (r[0][j] <= cut) == (query[j] <= cut)]
+    return plain_tree(side, query, None if depth is None else depth - 1)
+
+
+def tree_rows(seed, groups=4, n=35, asked=3):
+    rng = np.random.default_rng(seed)
+    out = []
+    for g in range(groups):
+        for i in range(n + asked):
+            # few distinct values, so cuts tie and rows repeat
+            x = [float(rng.integers(0, 12)), float(rng.integers(0, 4)), float(rng.integers(0, 3))]
+            out.append((f"g{g}" if g else None, "train" if i < n else "ask", *x, float(rng.integers(0, 9)), i))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_trees_match_a_plain_grower(spark, seed):
+    data = tree_rows(seed)
+    df = spark.createDataFrame(data, "g string, part string, f1 double, f2 double, f3 double, y double, id int")
+    got = {(r["g"], r["id"]): r["predicted_price"] for r in predict_with_trees(df, ["g"], FEATURES, "y", "decision_tree", ["id"]).collect()}
+    want = {}
+    for g in {d[0] for d in data}:
+        train = [(d[2:5], d[5], 1) for d in data if d[0] == g and d[1] == "train"]
+        want |= {(g, d[6]): plain_tree(train, d[2:5]) for d in data if d[0] == g and d[1] == "ask"}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_forest_matches_plain_trees_on_the_same_samples(spark):
+    import hashlib
+    data = tree_rows(7, groups=2, n=25)
+    df = spark.createDataFrame(data, "g string, part string, f1 double, f2 double, f3 double, y double, id int")
+    got = {(r["g"], r["id"]): r["predicted_price"] for r in predict_with_trees(
+        df, ["g"], FEATURES, "y", "random_forest", ["id"], seed=5, trees=6, forest_depth=3).collect()}
+    for g in {d[0] for d in data}:
+        train = sorted((d for d in data if d[0] == g and d[1] == "train"), key=lambda d: (*d[2:5], d[5], d[6]))
+        for d in (d for d in data if d[0] == g and d[1] == "ask"):
+            means = []
+            for t in range(6):
+                places = [int(hashlib.md5(f"{t}|{i}|5".encode()).hexdigest()[:7], 16) % len(train) for i in range(len(train))]
+                means.append(plain_tree([(train[p][2:5], train[p][5], places.count(p)) for p in set(places)], d[2:5], 3))
+            assert got[g, d[6]] == pytest.approx(sum(means) / 6)
+
+
+def test_trees_with_missing_values_and_groups_without_training_rows(spark):
+    rows = [("a", "train", 1.0, 0.0, 0.0, 5.0, 1), ("a", "train", None, 0.0, 0.0, 9.0, 2), ("a", "train", 2.0, 0.0, 0.0, None, 3),
+            ("a", "ask", 7.0, 0.0, 0.0, None, 4), ("a", "ask", None, 0.0, 0.0, None, 5), ("b", "ask", 1.0, 0.0, 0.0, 1.0, 6), ("c", "train", 1.0, 0.0, 0.0, 1.0, 7)]
+    df = spark.createDataFrame(rows, "g string, part string, f1 double, f2 double, f3 double, y double, id int")
+    for model in ("decision_tree", "random_forest"):
+        got = {r["id"]: r["predicted_price"] for r in predict_with_trees(df, ["g"], FEATURES, "y", model, ["id"], trees=3).collect()}
+        assert got == {4: 5.0, 5: None, 6: None}
+        assert predict_with_trees(df.limit(0), ["g"], FEATURES, "y", model, ["id"], trees=3).collect() == []
+
+
 def test_neighbouring_doubles_do_not_trap_the_tree(spark):
     a = 0.1
     b = float(np.nextafter(a, 1))

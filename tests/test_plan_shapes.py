@@ -19,7 +19,7 @@ BOUNDED = {"week_lead", "backtest_trades", "backtest_curve", "curve_with_index",
            "top_pairs_today", "buy_recommendations", "keyword_occurrences", "last_week_returns", "buy_date",
            "index_returns", "recent_closes", "topk_keyword_correlations", "discount_screen_page",
            "topk_keyword_correlations_across", "mention_chart", "mention_chart_return", "backtest_predictions",
-           "backtest_predictions_decision_tree", "pair_correlation", "backtest_chain_trades", "backtest_chain_curve"}
+           "pair_correlation", "backtest_chain_trades", "backtest_chain_curve"}
 
 # the optional subpackage has tests of its own
 OWN = {n[2:] for n in vars(entry) if n.startswith("q_")}
@@ -30,8 +30,7 @@ def test_plan_shape(spark, name):
     text = plan(entry.queries()[name](spark, SF))
     assert name in BOUNDED or "SinglePartition" not in text
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    if "tree" not in name and "forest" not in name:
-        assert "Python" not in text and "InPandas" not in text
+    assert "Python" not in text and "InPandas" not in text
 
 
 def test_scans_read_only_what_they_need(spark):
@@ -47,3 +46,23 @@ def test_broadcast_needs_a_bound(spark):
     assert "ResolvedHint" in str(broadcast_if_bounded(a, 10)._jdf.queryExecution().analyzed()) 
     for bound in (None, BROADCAST_ROWS + 1):
         assert "ResolvedHint" not in str(broadcast_if_bounded(a, bound)._jdf.queryExecution().analyzed())
+
+
+def test_any_number_of_keywords_takes_one_pass_and_one_exchange(spark):
+    from checks.oracles import LONG_KEYWORDS
+    from tickerloom.plans.keywords import keyword_weekly_counts
+    from tickerloom.sources import derived as D
+    for keywords in (LONG_KEYWORDS[:3], LONG_KEYWORDS):
+        text = plan(keyword_weekly_counts(D.filings(spark, SF), keywords))
+        assert text.count("FileScan") == 1 and text.count("Exchange") == 1 and "Python" not in text
+        # a text is lower-cased and searched once, whatever the number of keywords
+        assert text.count("regexp_extract_all") == 2
+
+
+def test_levels_of_a_tree_need_no_exchange(spark):
+    from tickerloom.operators import lineage, trees
+    rows = spark.range(4000).selectExpr(
+        "id % 7 AS _group", "0 AS _tree", "id AS _row", "if(id < 7, 0D, 1D) AS _w", "rand(1) AS f0", "rand(2) AS f1", "rand(3) AS _y")
+    state = lineage.checkpointed(rows.selectExpr("*", "0L AS _node", "0L AS _level", "CAST(NULL AS DOUBLE) AS predicted").repartition("_group", "_tree"))
+    text = plan(trees._grown(state, ["f0", "f1"], False))
+    assert "Exchange" not in text and "Python" not in text

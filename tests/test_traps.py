@@ -249,3 +249,22 @@ def test_html_text(spark):
     html = "<p>a &amp; b</p>\n<!-- x > y --><script>if (a<b) {}</script><div><b>c</b></div><i"
     got = spark.createDataFrame([(html,)], "h string").select(html_to_text("h")).first()[0]
     assert got == "a & b\n\n\n\n\nc"
+
+
+def test_many_keywords_in_one_pass_match_one_search_each(spark):
+    import random
+
+    from tickerloom.plans.keywords import keyword_occurrences, keyword_weekly_counts
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice(["war", "Warn", "ing", "a.b", " ", "supply chain", "aa", "a", "été", "|", "(x)", "\\", "\U0001F642", "W"]) for _ in range(30)) for _ in range(60)]
+    rows = [("2001-01-01", "10-K", f"u{i}", t, texts[-i] if i % 3 else None) for i, t in enumerate(texts)] + [("2001-01-02", "10-Q", "u", None, None)]
+    df = spark.createDataFrame(rows, "d string, filing_type string, filing_url string, risk_factors string, risk_disclosures string").withColumn("filing_date", F.to_date("d"))
+    words = ["war", "warn", "warning", "arn", "a.b", "supply chain", "chain", "aa", "aaa", "a", "É", "|", "(x)", "\\", "\U0001F642", "nowhere", "war", "", "W"]
+    got = {(r["filing_type"], r["keyword"]): (r["keyword_mentions"], r["total_filings"]) for r in keyword_weekly_counts(df, words).collect()}
+    for kind in ("10-K", "10-Q"):
+        mine = [r for r in rows if r[1] == kind]
+        for w in words:
+            hit = sum(any(t is not None and w.lower() in t.lower() for t in r[3:5]) for r in mine)
+            assert got[kind, w] == (hit, len(mine)), w
+    counts = {r["keyword"]: r["keyword_count"] for r in keyword_occurrences(df, words).collect()}
+    assert counts == {w: n for w in set(words) if w and (n := sum((r[3] or "").count(w) for r in rows))}

@@ -1,6 +1,7 @@
 """Text expressions: keyword matching, path parts, HTML to text, filing sections."""
 
 import json
+import re
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -28,6 +29,66 @@ def occurrences(text, keyword) -> Column:
     return F.floor(removed / F.lit(len(keyword))).cast("bigint")
 
 
+# ---- many keywords at once ---------------------------------------------------
+
+def _trie(keywords):
+    root = {}
+    for k in keywords:
+        node = root
+        for c in k:
+            node = node.setdefault(c, {})
+        node[""] = {}
+    return root
+
+
+def _trie_pattern(node):
+    """Regular expression of a trie's words, the longest first."""
+    branches = [re.sub(r"([^\w\s])", r"\\\1", c) + _trie_pattern(after) for c, after in sorted(node.items()) if c]
+    if not branches:
+        return ""
+    if "" in node:
+        return "(?:" + "|".join(branches) + ")?"
+    return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+
+
+def keyword_pattern(keywords):
+    """Pattern with a hit at every place a keyword starts; its group is the longest one there.
+
+    Keywords share their beginnings as in an automaton, so a place is left after the first letter
+    that no keyword goes on with. All shorter keywords that start at the place begin the longest one.
+    """
+    return "(?=(" + _trie_pattern(_trie(keywords)) + "))"
+
+
+def keyword_hits(text, keywords) -> Column:
+    """Longest keyword at each place of the text that starts one, in one pass; NULL for a NULL text."""
+    return F.regexp_extract_all(col(text), F.lit(keyword_pattern(keywords)), F.lit(1))
+
+
+def keyword_flags(texts, keywords):
+    """(columns to add, flags): whether each keyword occurs in any of the texts, from one pass over each.
+
+    The hits of a row become a short text of marked keywords, at most one of each; a
+    keyword is there if a mark is followed by it. NULL texts hold no keyword; an empty
+    keyword is in every text that is not NULL.
+    """
+    named = sorted({k for k in keywords if k})
+    mark = next(c for c in map(chr, range(1, 0x3000)) if not any(c in k for k in named))
+    found = [F.array_distinct(keyword_hits(t, named)) if named else F.array().cast("array<string>") for t in texts]
+    none = F.array().cast("array<string>")
+    every = F.concat(*[F.coalesce(f, none) for f in found])
+    columns = {"_hits": F.concat(F.lit(mark), F.array_join(every, mark))}
+    anywhere = F.lit(False)
+    for t in texts:
+        anywhere = anywhere | col(t).isNotNull()
+    return columns, [F.contains(F.col("_hits"), F.lit(mark + k)) if k else anywhere for k in keywords]
+
+
+def overlaps_itself(keyword):
+    """Whether two occurrences of the keyword can share letters."""
+    return any(keyword.startswith(keyword[i:]) for i in range(1, len(keyword)))
+
+
 # ---- paths and addresses ---------------------------------------------------
 
 def cik_of(path) -> Column:

@@ -1,85 +1,131 @@
-"""Regression trees per group. Groups are one pair's weekly training rows (bounded by the
-calendar), so Spark shuffles groups apart and each task grows its own small trees."""
+"""Regression trees for every group at once, grown level by level as Spark windows.
 
-import numpy as np
-import pandas as pd
+A node is a value of a column, so one pass over a level splits the nodes of all trees of all groups. Running
+sums over the sorted values of a feature give the gain of every cut; the best cut of a node is a maximum over
+its rows. Rows to be predicted travel with the training rows at weight zero, and only nodes that hold one are grown
+further, so a level holds half the rows of the one before where a group asks for one prediction. All windows run on one
+partitioning by tree, which the checkpoints between the levels keep: the growth needs a single exchange.
+"""
+
+from functools import reduce
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .lineage import checkpointed
+
+#: Gains are compared as shares of the largest possible one at this precision, so equal cuts tie.
+GAIN_DIGITS = 10
+#: Depth is the upper part of a node's number, the row it was cut at the lower one.
+_DEPTH_BITS = 40
+
+
+def draw(tree, place, rows, seed):
+    """Number of the row (from 0) that a tree's bootstrap sample holds at a place: the same for all groups of equal size."""
+    digest = F.md5(F.concat_ws("|", tree.cast("string"), place.cast("string"), F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 7), 16, 10).cast("bigint") % rows
+
+
+def bootstrap(train, group, row, trees, seed):
+    """Training rows of each tree with ``_w``, how often the tree's sample of the group's size holds them."""
+    sized = train.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(group)))
+    places = sized.select(group, F.col(row).alias("_place"), "_n", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("_tree"))
+    drawn = places.select(group, "_tree", draw(F.col("_tree"), F.col("_place"), F.col("_n"), seed).alias(row))
+    return drawn.groupBy(group, "_tree", row).agg(F.count(F.lit(1)).cast("double").alias("_w")).join(train, [group, row])
 
-def _best_split(x, y):
-    """(gain, feature, threshold) of the split with the largest friedman gain, or None."""
-    best = None
-    n = len(y)
-    for j in range(x.shape[1]):
-        order = np.argsort(x[:, j], kind="stable")
-        values, cumulative = x[order, j], np.cumsum(y[order])
-        cuts = np.nonzero(values[1:] > values[:-1])[0]
-        if not len(cuts):
-            continue
-        left_n = cuts + 1.0
-        right_n = n - left_n
-        gap = cumulative[cuts] / left_n - (cumulative[-1] - cumulative[cuts]) / right_n
-        gain = left_n * right_n * gap * gap
-        k = int(np.argmax(gain))
-        if best is None or gain[k] > best[0]:
-            at = cuts[k]
-            middle = (values[at] + values[at + 1]) / 2.0
-            # neighbouring doubles have no middle; the lower value still separates them
-            best = (gain[k], j, middle if middle < values[at + 1] else values[at])
-    return best
-
-
-def _grow_and_predict(x, y, queries, max_depth):
-    """Grow one tree and route the query rows down with it; no tree object is kept."""
-    out = np.empty(len(queries))
-    stack = [(np.arange(len(y)), np.arange(len(queries)), 0)]
-    while stack:
-        rows, asked, depth = stack.pop()
-        if not len(asked):
-            continue
-        part = y[rows]
-        split = None if depth == max_depth or part.min() == part.max() else _best_split(x[rows], part)
-        if split is None:
-            out[asked] = part.mean()
-            continue
-        _, j, cut = split
-        low, asked_low = x[rows, j] <= cut, queries[asked, j] <= cut
-        stack.append((rows[low], asked[asked_low], depth + 1))
-        stack.append((rows[~low], asked[~asked_low], depth + 1))
-    return out
+
+def _grown(state, features, last):
+    """State one level deeper; nodes that cannot be cut, or lie at the last level, give their mean.
+
+    Expressions are text and hold no number that changes with the level, so every level is planned quickly and runs the
+    code compiled for the first one.
+    """
+    node = "PARTITION BY _group, _tree, _node"
+    if last:
+        return state.selectExpr(*[c for c in state.columns if c != "predicted"], f"""
+            coalesce(predicted, try_divide(sum(_w * _y) OVER ({node}), sum(_w) OVER ({node}))) AS predicted""").filter("_w = 0")
+    known = [
+        f"sum(_w) OVER ({node}) AS _all_n", f"sum(_w * _y) OVER ({node}) AS _all_y",
+        f"min(if(_w > 0, _y, NULL)) OVER ({node}) AS _low", f"max(if(_w > 0, _y, NULL)) OVER ({node}) AS _high"]
+    cuts = []
+    for j, f in enumerate(features):
+        # rows to be predicted sort behind the training rows and are no values to cut at
+        value, order = f"if(_w > 0, {f}, NULL)", f"{node} ORDER BY if(_w > 0, {f}, NULL) NULLS LAST, _row"
+        known += [f"sum(_w) OVER ({order} ROWS UNBOUNDED PRECEDING) AS _n{j}", f"sum(_w * _y) OVER ({order} ROWS UNBOUNDED PRECEDING) AS _s{j}",
+                  f"lead({value}) OVER ({order}) AS _next{j}"]
+        # neighbouring doubles have no middle; the lower value still separates them
+        middle = f"if(({f} + _next{j}) / 2 < _next{j}, ({f} + _next{j}) / 2, {f})"
+        gain = (f"round(_n{j} * (_all_n - _n{j}) * pow(_s{j} / _n{j} - (_all_y - _s{j}) / (_all_n - _n{j}), 2) "
+                f"/ (_all_n * _all_n * (_high - _low) * (_high - _low)), {GAIN_DIGITS})")
+        cuts.append(f"CASE WHEN _w > 0 AND _next{j} > {f} AND _high > _low THEN named_struct('gain', {gain}, 'feature', {-j}, 'cut', -{middle}, 'row', _row) END")
+    own = f"greatest({', '.join(cuts)})" if len(cuts) > 1 else cuts[0]
+    best = state.selectExpr("*", *known).selectExpr("*", f"{own} AS _own").selectExpr(*state.columns, "_all_n", "_all_y", f"max(_own) OVER ({node}) AS _best")
+    value = "CASE _best.feature " + " ".join(f"WHEN {-j} THEN {f}" for j, f in enumerate(features)) + " END"
+    kept = [c for c in state.columns if c not in ("_node", "_level", "predicted")]
+    sided = best.selectExpr(
+        *kept, "_node", "_level", "_best.row AS _cut_row", f"{value} <= -_best.cut AS _under",
+        "coalesce(predicted, if(_best IS NULL, try_divide(_all_y, _all_n), NULL)) AS predicted")
+    asked = sided.selectExpr("*", f"max(_w = 0 AND _under) OVER ({node}) AS _asked_under", f"max(_w = 0 AND NOT _under) OVER ({node}) AS _asked_over")
+    return asked.filter("_w = 0 OR if(_under, _asked_under, _asked_over)").selectExpr(
+        *kept, f"if(_under IS NULL OR _under, _node, (_level + 1) * {1 << _DEPTH_BITS} + _cut_row) AS _node", "_level + 1 AS _level", "predicted")
+
+
+def grow_and_predict(rows, features, depth=None):
+    """Mean of the leaf that each row of weight zero falls in, as ``predicted``.
+
+    ``rows`` holds ``_group``, ``_tree``, ``_row`` (a number, once a tree), ``_w`` (0 for rows to be predicted), the features and
+    ``_y``; ``depth`` bounds the levels below the root. A tree without training rows predicts NULL.
+    """
+    state = rows.select("_group", "_tree", "_row", "_w", *features, "_y").selectExpr(
+        "*", "0L AS _node", "0L AS _level", "CAST(NULL AS DOUBLE) AS predicted").repartition("_group", "_tree")
+    level, finished = 0, []
+    while True:
+        last = depth is not None and level >= depth
+        state = checkpointed(_grown(state, features, last))
+        level += 1
+        finished.append(state.filter("predicted IS NOT NULL"))
+        # rows to be predicted without a training row beside them never get one
+        state = state.filter("predicted IS NULL")
+        if last or state.filter("_w > 0").isEmpty():
+            finished.append(state.filter("_w = 0"))
+            break
+    every = reduce(lambda a, b: a.unionAll(b), finished)
+    return every.filter("_w = 0").select("_group", "_tree", "_row", "predicted")
 
 
 def predict_with_trees(rows, groups, features, target, model_type, keep, seed=12, trees=200, forest_depth=20):
     """Fit per group on rows with ``part = 'train'`` and predict the rest.
 
-    ``decision_tree`` grows one unbounded tree; ``random_forest`` averages bootstrap
-    trees. Returns the non-training rows' ``keep`` columns with ``predicted_price``.
+    ``decision_tree`` grows one unbounded tree; ``random_forest`` averages trees over bootstrap samples, of which
+    :func:`draw` says the rows. Training rows with a missing value are left out; rows to be predicted with a missing
+    feature, and those of groups without training rows, get NULL. Returns the non-training rows' ``keep`` columns
+    with ``predicted_price``. Growing runs jobs, one a level.
     """
-    source = rows.select(*dict.fromkeys([*groups, "part", *features, target, *keep]))
-    kinds = {f.name: f.dataType for f in source.schema.fields}
-    columns = list(dict.fromkeys([*groups, "part", *keep]))
-    schema = ", ".join(f"`{c}` {kinds[c].simpleString()}" for c in columns) + ", predicted_price double"
-
-    def score(pdf):
-        train, ask = pdf[pdf["part"] == "train"], pdf[pdf["part"] != "train"]
-        result = ask[columns].copy()
-        if train.empty or ask.empty:
-            result["predicted_price"] = np.full(len(ask), np.nan)
-            return result
-        train = train.sort_values(features + [target], kind="stable")
-        x = train[features].to_numpy(float)
-        y = train[target].to_numpy(float)
-        queries = ask[features].to_numpy(float)
-        if model_type == "decision_tree":
-            result["predicted_price"] = _grow_and_predict(x, y, queries, -1)
-            return result
-        rng = np.random.default_rng(seed)
-        total = np.zeros(len(ask))
-        for _ in range(trees):
-            drawn = rng.integers(0, len(y), len(y))
-            total += _grow_and_predict(x[drawn], y[drawn], queries, forest_depth)
-        result["predicted_price"] = total / trees
-        return result
-
-    scored = source.groupBy(*groups).applyInPandas(score, schema)
-    return scored.withColumn("predicted_price", F.nanvl("predicted_price", F.lit(None).cast("double")))
+    columns = list(dict.fromkeys([*groups, "part", *features, target, *keep]))
+    clash = [c for c in columns if c.startswith("_")]
+    if clash:
+        raise ValueError(f"columns must not begin with an underscore: {clash}")
+    numbers = [f"_f{j}" for j in range(len(features))]
+    order = Window.partitionBy(*groups, "_trains").orderBy(*features, target, *[c for c in keep if c not in (*features, target)])
+    marked = rows.select(*columns).withColumn("_trains", F.col("part") == "train")
+    numbered = checkpointed(marked.filter("NOT _trains").unionAll(marked.filter(F.col("_trains")).dropna(subset=[*features, target])).withColumns({
+        "_row": F.row_number().over(order).cast("bigint") - 1, **{n: F.col(f).cast("double") for n, f in zip(numbers, features)},
+        "_y": F.col(target).cast("double")}))
+    # checkpointed, so that a group has the same number wherever it is asked for
+    known = checkpointed(numbered.select(*groups).distinct().withColumn("_group", F.monotonically_increasing_id()))
+    same = reduce(lambda a, b: a & b, [F.col(f"r.{g}").eqNullSafe(F.col(f"k.{g}")) for g in groups])
+    table = numbered.alias("r").join(known.alias("k"), same).select("r.*", "k._group")
+    train = table.filter("_trains").select("_group", "_row", *numbers, "_y")
+    ask = table.filter("NOT _trains")
+    # numbers of asked rows lie behind those of all training rows
+    asked = ask.dropna(subset=features).select("_group", (-F.col("_row") - 1).alias("_row"), F.lit(0.0).alias("_w"), *numbers, F.lit(None).cast("double").alias("_y"))
+    if model_type == "decision_tree":
+        trees, depth, sample = 1, None, train.withColumns({"_tree": F.lit(0), "_w": F.lit(1.0)})
+    else:
+        depth, sample = forest_depth, bootstrap(train, "_group", "_row", trees, seed)
+    every = asked.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    cols = ["_group", "_tree", "_row", "_w", *numbers, "_y"]
+    found = grow_and_predict(sample.select(*cols).unionAll(every.select(*cols)), numbers, depth)
+    means = found.groupBy("_group", (-F.col("_row") - 1).alias("_row")).agg(F.avg("predicted").alias("predicted_price"))
+    out = list(dict.fromkeys([*groups, "part", *keep]))
+    return ask.join(means, ["_group", "_row"], "left").select(*out, "predicted_price")

@@ -4,29 +4,27 @@ from pyspark.sql import functions as F
 
 from ..constants import KEYWORDS
 from ..functions.scalars import week_of
-from ..functions.text import mentions, occurrences
+from ..functions.text import keyword_flags, keyword_hits, mentions, occurrences, overlaps_itself
 from ..operators.filters import all_of, dates_within, one_of
 
 
 def keyword_weekly_counts(filings, keywords=KEYWORDS):
     """Filings mentioning each keyword, and all filings, per week and type.
 
-    The text is reduced to one flag per keyword inside the scan stage; only counters
-    are shuffled. Weeks without a mention keep their zero row. A filing counts once
+    All keywords are found in one pass over each text, however many there are; only
+    counters are shuffled. Weeks without a mention keep their zero row. A filing counts once
     when either section matches; a missing section is no match.
     """
     keywords = list(dict.fromkeys(keywords))
+    lowered = [k.lower() for k in keywords]
     slim = filings.select(
         week_of("filing_date").alias("filing_week"), "filing_type", "filing_url",
         F.lower("risk_factors").alias("_a"), F.lower("risk_disclosures").alias("_b"),
     )
-    hits = [
-        F.count_if(_has("_a", k) | _has("_b", k)).alias(f"k{i}")
-        for i, k in enumerate(keywords)
-    ]
-    # one counter a keyword however long the list: combined before the only shuffle
-    wide = slim.groupBy("filing_week", "filing_type").agg(
-        F.count("filing_url").alias("total_filings"), *hits
+    columns, flags = keyword_flags(["_a", "_b"], lowered)
+    found = slim.withColumns(columns)
+    wide = found.groupBy("filing_week", "filing_type").agg(
+        F.count("filing_url").alias("total_filings"), *[F.count_if(f).alias(f"k{i}") for i, f in enumerate(flags)]
     )
     counters = F.array(*[
         F.struct(F.lit(k).alias("keyword"), F.col(f"k{i}").alias("keyword_mentions"))
@@ -35,26 +33,30 @@ def keyword_weekly_counts(filings, keywords=KEYWORDS):
     return wide.select("filing_week", "filing_type", "total_filings", F.inline(counters))
 
 
-def _has(lowered, keyword):
-    return F.coalesce(F.contains(F.col(lowered), F.lit(keyword.lower())), F.lit(False))
-
-
 def keyword_occurrences(filings, keywords, start=None, end=None):
-    """Case-sensitive occurrences in the risk factors over a date range, over filings with any."""
+    """Case-sensitive, non-overlapping occurrences in the risk factors over a date range, of keywords with any.
+
+    One pass over the texts counts the hits of all keywords that cannot overlap themselves, the others
+    by replacing them; counters alone are shuffled.
+    """
+    keywords = [k for k in dict.fromkeys(keywords) if k]
+    plain = [k for k in keywords if not overlaps_itself(k)]
+    odd = [k for k in keywords if overlaps_itself(k)]
     rows = all_of(filings, dates_within("filing_date", start, end))
-    counts = rows.agg(*[
-        F.struct(
-            F.sum(occurrences("risk_factors", k)).alias("keyword_count"),
-            F.sum((occurrences("risk_factors", k) > 0).cast("bigint")).alias("filings"),
-        ).alias(f"k{i}")
-        for i, k in enumerate(keywords)
-    ])
-    entries = F.array(*[
-        F.struct(F.lit(k).alias("keyword"), F.col(f"k{i}.keyword_count").alias("keyword_count"),
-                 F.col(f"k{i}.filings").alias("filings"))
-        for i, k in enumerate(keywords)
-    ])
-    return counts.select(F.inline(entries)).filter(F.col("filings") > 0).select("keyword", "keyword_count")
+    found = []
+    if plain:
+        hits = rows.select(F.explode(keyword_hits("risk_factors", plain)).alias("hit")).groupBy("hit").agg(F.count(F.lit(1)).alias("n"))
+        # a hit stands for all keywords that begin it
+        begun = F.filter(F.array(*[F.lit(k) for k in plain]), lambda k: F.startswith(F.col("hit"), k))
+        found.append(hits.select(F.explode(begun).alias("keyword"), "n"))
+    if odd:
+        sums = rows.agg(*[F.sum(occurrences("risk_factors", k)).alias(f"k{i}") for i, k in enumerate(odd)])
+        entries = [F.struct(F.lit(k).alias("keyword"), F.col(f"k{i}").alias("n")) for i, k in enumerate(odd)]
+        found.append(sums.select(F.inline(F.array(*entries))))
+    if not found:
+        return rows.select(F.lit("").alias("keyword"), F.lit(0).cast("bigint").alias("keyword_count")).limit(0)
+    every = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    return every.groupBy("keyword").agg(F.sum("n").alias("keyword_count")).filter(F.col("keyword_count") > 0)
 
 
 def mention_rates(counts, keywords=None, filing_types=None):
