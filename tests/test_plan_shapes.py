@@ -59,10 +59,10 @@ def test_any_number_of_keywords_takes_one_pass_and_one_exchange(spark):
         assert text.count("regexp_extract_all") == 2
 
 
-def test_levels_of_a_tree_need_no_exchange(spark):
+def test_all_windows_of_a_tree_level_share_one_exchange(spark):
     from tickerloom.operators import lineage, trees
     rows = spark.range(4000).selectExpr(
         "id % 7 AS _group", "0 AS _tree", "id AS _row", "if(id < 7, 0D, 1D) AS _w", "rand(1) AS f0", "rand(2) AS f1", "rand(3) AS _y")
-    state = lineage.checkpointed(rows.selectExpr("*", "0L AS _node", "0L AS _level", "CAST(NULL AS DOUBLE) AS predicted").repartition("_group", "_tree"))
+    state = lineage.checkpointed(rows.selectExpr("*", "0L AS _node", "0L AS _level", "CAST(NULL AS DOUBLE) AS predicted"))
     text = plan(trees._grown(state, ["f0", "f1"], False))
-    assert "Exchange" not in text and "Python" not in text
+    assert text.count("Exchange") == 1 and "Python" not in text and "Join" not in text

@@ -3,8 +3,8 @@
 A node is a value of a column, so one pass over a level splits the nodes of all trees of all groups. Running
 sums over the sorted values of a feature give the gain of every cut; the best cut of a node is a maximum over
 its rows. Rows to be predicted travel with the training rows at weight zero, and only nodes that hold one are grown
-further, so a level holds half the rows of the one before where a group asks for one prediction. All windows run on one
-partitioning by tree, which the checkpoints between the levels keep: the growth needs a single exchange.
+further, so a level holds about two thirds of the rows of the one before where a group asks for one prediction. All
+windows of a level share one exchange by node; a checkpoint ends the level.
 """
 
 from functools import reduce
@@ -77,7 +77,7 @@ def grow_and_predict(rows, features, depth=None):
     ``_y``; ``depth`` bounds the levels below the root. A tree without training rows predicts NULL.
     """
     state = rows.select("_group", "_tree", "_row", "_w", *features, "_y").selectExpr(
-        "*", "0L AS _node", "0L AS _level", "CAST(NULL AS DOUBLE) AS predicted").repartition("_group", "_tree")
+        "*", "0L AS _node", "0L AS _level", "CAST(NULL AS DOUBLE) AS predicted")
     level, finished = 0, []
     while True:
         last = depth is not None and level >= depth
