@@ -131,3 +131,16 @@ def test_fingerprints_of_alike_windows_lie_within_the_radius(spark):
             alike += 1
             assert ((a ^ b) & (2**64 - 1)).bit_count() <= decontaminate.RADIUS
     assert alike > 60
+
+
+def test_decontamination_goes_by_row_not_by_id(spark):
+    item = H.sentence(77, 30)
+    bad, clean = f"{H.sentence(1, 8)} {item} {H.sentence(2, 8)}", H.sentence(3, 60)
+    bench = spark.createDataFrame([(1, item), (None, None)], "item_id long, text string")
+    rows = [(None, bad, "en", "s"), (None, clean, "en", "s"), (5, bad, "en", "s"), (5, clean, "en", "s"), (5, clean, "en", "s"), (6, None, None, None), (7, "", "en", "s")]
+    kept = decontaminate.decontaminated(H.docs(spark, rows), bench)
+    assert kept.columns == H.docs(spark, rows).columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted(
+        [(0, clean), (5, clean), (5, clean), (6, ""), (7, "")])
+    assert decontaminate.decontaminated(H.docs(spark, rows), bench.limit(0)).count() == len(rows)
+    assert decontaminate.decontaminated(H.docs(spark, []), bench).count() == 0

@@ -74,16 +74,14 @@ def index_of(items, radius=RADIUS):
     return spread.select("*", masks.alias("mask")).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
 
 
-def contaminated(docs, benchmark, similarity=SIMILARITY, shingle=SHINGLE, radius=RADIUS, text="text", key="doc_id",
-                 item_key="item_id", item_text="text"):
-    """Pairs (key, item_key) with the similarity and first word of the best window, of ``similarity`` percent or more."""
+def _matches(docs, benchmark, similarity, shingle, radius, text, key, item_key, item_text):
+    """Matching windows (key, text_key, item, start, shared, joined), or None without an item; a text is named by its id and hash."""
     items = benchmark.select(F.col(item_key).alias("item"), words_of(F.col(item_text)).alias("w")).filter(F.size("w") > 0)
     items = landed(items.select("item", "w", F.size("w").alias("len"), F.least(F.size("w"), F.lit(shingle)).alias("g")).distinct().withColumn(
         "name", F.xxhash64("item", "w")), "decon-items")
     sizes = sorted(r.g for r in items.select("g").distinct().collect())  # at most `shingle` values
     if not sizes:
-        kinds = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item_key}` {benchmark.schema[item_key].dataType.simpleString()}"
-        return docs.sparkSession.createDataFrame([], f"{kinds}, similarity double, first_word bigint")
+        return None
 
     def item_grams(g):
         own = items.filter(F.col("g") == g)
@@ -125,14 +123,32 @@ def contaminated(docs, benchmark, similarity=SIMILARITY, shingle=SHINGLE, radius
         ["key", "text_key", "start", "len", "g", "name"]).join(broadcast_checked(item_prints), ["name", "len", "g"])
     shared = F.size(F.array_intersect("grams", "item_grams"))
     joined = F.size("grams") + F.size("item_grams") - F.col("shared")
-    found = pairs.withColumn("shared", shared).withColumn("joined", joined).filter(100 * F.col("shared") >= similarity * F.col("joined"))
+    return pairs.withColumn("shared", shared).withColumn("joined", joined).filter(100 * F.col("shared") >= similarity * F.col("joined"))
+
+
+def contaminated(docs, benchmark, similarity=SIMILARITY, shingle=SHINGLE, radius=RADIUS, text="text", key="doc_id",
+                 item_key="item_id", item_text="text"):
+    """Pairs (key, item_key) with the similarity and first word of the best window, of ``similarity`` percent or more."""
+    found = _matches(docs, benchmark, similarity, shingle, radius, text, key, item_key, item_text)
+    if found is None:
+        kinds = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item_key}` {benchmark.schema[item_key].dataType.simpleString()}"
+        return docs.sparkSession.createDataFrame([], f"{kinds}, similarity double, first_word bigint")
     best = F.max(F.struct((F.col("shared") / F.col("joined")).alias("s"), (-F.greatest(F.col("start"), F.lit(0))).alias("b"))).alias("best")
     return found.groupBy("key", "item").agg(best).select(
         F.col("key").alias(key), F.col("item").alias(item_key), F.round("best.s", 6).alias("similarity"),
         (-F.col("best.b")).cast("bigint").alias("first_word"))
 
 
-def decontaminated(docs, benchmark, key="doc_id", **options):
-    """Rows of ``docs`` whose document matches no item."""
-    found = landed(contaminated(docs, benchmark, key=key, **options).select(key).distinct(), "decon-found")
-    return docs.join(broadcast_checked(found), key, "left_anti")
+def decontaminated(docs, benchmark, similarity=SIMILARITY, shingle=SHINGLE, radius=RADIUS, text="text", key="doc_id",
+                   item_key="item_id", item_text="text"):
+    """Rows of ``docs`` whose own text matches no item.
+
+    Rows are told apart by id and text: one with a null id goes if its text matches, and a clean text stays though
+    another row with its id goes. Repeated rows go or stay together; rows without a word stay.
+    """
+    found = _matches(docs, benchmark, similarity, shingle, radius, text, key, item_key, item_text)
+    if found is None:
+        return docs
+    gone = landed(found.select("key", "text_key").distinct(), "decon-found")
+    same = F.col(f"d.`{key}`").eqNullSafe(F.col("g.key")) & (F.xxhash64(F.col(f"d.`{text}`")) == F.col("g.text_key"))
+    return docs.alias("d").join(broadcast_checked(gone).alias("g"), same, "left_anti")

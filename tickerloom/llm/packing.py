@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 from .common import then_give_back
 
 LENGTH = 2048
-#: Tokens a task holds before it packs them.
-BUFFER = 8_000_000
-#: Entries of a worker's cache of encoded pre-tokens.
-CACHE = 400_000
+#: Tokens a task holds before it packs them (2 MB of ids); rows come out more than 99 % full.
+BUFFER = 1_000_000
+#: Entries of a worker's cache of encoded pre-tokens, and letters of the longest one kept there (16 MB in all).
+CACHE, CACHED_LETTERS = 100_000, 32
+#: Packed rows of an output batch (1 MB of ids and positions).
+OUTPUT_ROWS = 128
 ID_TYPE = np.dtype("<u2")
 PAD = 50256
 PLAIN = re.compile(r"[\t\n\x0b\f\r\x20-\x7e\xa1-ɏ]*")
@@ -65,7 +67,9 @@ class Encoder(dict):
         self.library = encoder(path)
 
     def __missing__(self, part):
-        ids = self[part] = np.array(self.library.encode_ordinary(part), ID_TYPE).tobytes()
+        ids = np.array(self.library.encode_ordinary(part), ID_TYPE).tobytes()
+        if len(part) <= CACHED_LETTERS:
+            self[part] = ids
         return ids
 
     def encode(self, text):
@@ -155,7 +159,8 @@ def pack(docs, length=LENGTH, path=None, buffer=BUFFER, text="text", key="doc_id
     def run(batches):
         from pyspark import TaskContext
 
-        encode, next_id = Encoder(path).encode, TaskContext.get().partitionId() << 40
+        coder = Encoder(path)
+        encode, next_id = coder.encode, TaskContext.get().partitionId() << 40
         pieces, held = [], 0
         kinds = None
 
@@ -167,7 +172,7 @@ def pack(docs, length=LENGTH, path=None, buffer=BUFFER, text="text", key="doc_id
             rows = []
             for row in _rows(pieces, length, next_id):
                 rows.append(row)
-                if len(rows) == 500:
+                if len(rows) == OUTPUT_ROWS:
                     yield batch(rows)
                     rows = []
                 next_id = row[0] + 1
@@ -177,15 +182,18 @@ def pack(docs, length=LENGTH, path=None, buffer=BUFFER, text="text", key="doc_id
 
         for b in batches:
             kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(b.schema.field(0).type), pa.list_(pa.int64())]
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = encode(t)
+            # text by text, so that no second copy of the batch stands beside it
+            for doc, t in zip(b.column(0), b.column(1)):
+                doc, ids = doc.as_py(), encode(t.as_py())
                 for low in range(0, len(ids), length * width):
                     piece = ids[low:low + length * width]
                     pieces.append((doc, low // width, piece))
                 held += len(ids) // width
                 if held >= buffer:
                     yield from flush()
+            del b
         yield from flush()
+        coder.clear()
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(lambda batches: then_give_back(run(batches)), schema)
 
@@ -198,8 +206,3 @@ def unpack(rows):
         for doc, start, a, z in zip(r.doc_ids, r.starts, r.cu_seqlens, r.cu_seqlens[1:]):
             parts.setdefault(doc, []).append((start, ids[a:z]))
     return {doc: np.concatenate([p for _, p in sorted(found, key=lambda x: x[0])]) for doc, found in parts.items()}
-
-
-def write_packed(packs, path):
-    """The matrix with its lengths and positions as Parquet; binary columns hold the rows' bytes."""
-    packs.write.mode("error").parquet(path)
