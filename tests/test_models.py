@@ -42,19 +42,21 @@ def test_constant_feature_and_short_groups(spark):
     assert flat.filter("status <> 'ok' or b_f2 <> 0").count() == 0
     short = df.filter("f1 < 20000015").unionByName(df.filter("part = 'score'"))
     assert {r["status"] for r in fitted(short, ["g"], FEATURES, "y", F.col("part") == "train").collect()} == {"too_few_rows"}
-    twin = df.withColumn("f2", F.col("f1"))
-    assert {r["status"] for r in fitted(twin, ["g"], FEATURES, "y", F.col("part") == "train").collect()} == {"collinear"}
-
-
-def test_tree_repeats_its_training_rows_and_forest_stays_in_range(spark):
-    data, df = rows(spark, n=30, groups=2)
-    again = df.filter("part = 'train'").withColumn("part", F.lit("ask"))
-    both = df.filter("part = 'train'").unionByName(again)
-    tree = predict_with_trees(both, ["g"], FEATURES, "y", "decision_tree", ["y"])
-    assert tree.filter(F.abs(F.col("y") - F.col("predicted_price")) > 1e-9).count() == 0
-    forest = predict_with_trees(both, ["g"], FEATURES, "y", "random_forest", ["y"], trees=20)
-    low, high = min(d[5] for d in data), max(d[5] for d in data)
-    assert forest.filter(~F.col("predicted_price").between(low, high)).count() == 0
+
+
+@pytest.mark.parametrize("f2, f3", [("2 * f1 - 7", "f3"), ("f1", "-0.5 * f1 + 3"), ("f3 * 1000", "f3"), ("f2", "f1 + f2"), ("f1", "4.0"), ("1.0", "2.0")])
+def test_collinear_features_get_the_shortest_solution(spark, f2, f3):
+    _, df = rows(spark, groups=3)
+    # two expressions of the old columns; f1 near 2e7 moves by 7
+    flat = df.selectExpr("g", "part", "f1 - 20000000 AS f1", f"{f2.replace('f1', '(f1 - 20000000)')} AS f2", f"{f3.replace('f1', '(f1 - 20000000)')} AS f3", "y")
+    got = fitted(flat, ["g"], FEATURES, "y", F.col("part") == "train").filter("part = 'score'").collect()
+    for r in got:
+        data = [x for x in flat.filter("part = 'train'").collect() if x["g"] == r["g"]]
+        a = np.array([[x["f1"], x["f2"], x["f3"]] for x in data], float)
+        y = np.array([x["y"] for x in data])
+        beta = np.linalg.lstsq(a - a.mean(0), y - y.mean(), rcond=1e-10)[0]
+        assert r["status"] == "ok" and [r["b_f1"], r["b_f2"], r["b_f3"]] == pytest.approx(list(beta), rel=1e-6, abs=1e-9)
+        assert r["intercept"] == pytest.approx(y.mean() - a.mean(0) @ beta, rel=1e-6)
 
 
 def plain_tree(rows, query, depth=None):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import FLAT
 
-#: Correlation matrices with a smaller determinant are treated as rank deficient.
+#: Correlation matrices and minors with a smaller determinant are treated as rank deficient.
 SINGULAR = 1e-9
 
 
@@ -32,8 +32,9 @@ def with_coefficients(df, features, target):
     """Add ``b_<feature>``, ``intercept`` and ``status`` to rows holding :func:`moments`.
 
     Features are standardised first (a date packed as yyyymmdd is near 2e7). A
-    feature that does not vary gets coefficient 0. Too few rows or collinear
-    features give NULL coefficients and say so in ``status``.
+    feature that does not vary gets coefficient 0. Collinear features get the solution of least
+    norm in their own units, as a solver by singular values gives. Too few rows give NULL
+    coefficients and say so in ``status``.
     """
     f1, f2, f3 = features
 
@@ -52,24 +53,62 @@ def with_coefficients(df, features, target):
 
     def solve(s):
         a, b, c, y1, y2, y3 = (s[k] for k in ("a", "b", "c", "y1", "y2", "y3"))
-        det = 1 + 2 * a * b * c - a * a - b * b - c * c
-        return F.struct(
-            F.when(det > SINGULAR, det).alias("det"),
-            (y1 * (1 - c * c) + y2 * (b * c - a) + y3 * (a * c - b)).alias("z1"),
-            (y1 * (b * c - a) + y2 * (1 - b * b) + y3 * (a * b - c)).alias("z2"),
-            (y1 * (a * c - b) + y2 * (a * b - c) + y3 * (1 - a * a)).alias("z3"),
-        )
+        # cofactors: of full rank they give the solution; of rank two a column of them is the null direction
+        k11, k22, k33 = 1 - c * c, 1 - b * b, 1 - a * a
+        k12, k13, k23 = b * c - a, a * c - b, a * b - c
+        most = F.greatest(k11, k22, k33)
+        zero = F.lit(0.0)
+        case = (
+            F.when(1 + 2 * a * b * c - a * a - b * b - c * c > SINGULAR, 3).when(most <= SINGULAR, 4)
+            .when(k11 == most, 0).when(k22 == most, 1).otherwise(2))
+
+        def triple(*columns):
+            return F.array(*columns)
+
+        solved = (
+            F.when(case == 3, F.transform(
+                triple(y1 * k11 + y2 * k12 + y3 * k13, y1 * k12 + y2 * k22 + y3 * k23, y1 * k13 + y2 * k23 + y3 * k33),
+                lambda z: z / (1 + 2 * a * b * c - a * a - b * b - c * c)))
+            # one feature left out, the other two solved
+            .when(case == 0, triple(zero, (y2 - c * y3) / k11, (y3 - c * y2) / k11))
+            .when(case == 1, triple((y1 - b * y3) / k22, zero, (y3 - b * y1) / k22))
+            .when(case == 2, triple((y1 - a * y2) / k33, (y2 - a * y1) / k33, zero))
+            # all alike up to sign
+            .otherwise(F.transform(triple(F.lit(1.0), F.signum(a), F.signum(b)), lambda e: e * (y1 + F.signum(a) * y2 + F.signum(b) * y3) / 3)))
+        null = (
+            F.when(case == 0, triple(k11, k12, k13)).when(case == 1, triple(k12, k22, k23)).when(case == 2, triple(k13, k23, k33)))
+        return F.struct(case.alias("case"), solved.alias("z"), null.alias("u"))
+
+    spread = F.array(*[F.when(varies(f), F.col(f"s_{f}")) for f in (f1, f2, f3)])
+
+    def dot(x, y):
+        return sum(F.get(x, F.lit(i)) * F.get(y, F.lit(i)) for i in range(3))
 
     def unscale(s):
-        def beta(name, z):
-            slope = F.try_divide(s[z], s["det"]) * F.col(f"s_{target}")
-            return F.when(s["det"].isNotNull(), F.when(varies(name), F.try_divide(slope, F.col(f"s_{name}"))).otherwise(0.0))
-        return F.struct(beta(f1, "z1").alias("b1"), beta(f2, "z2").alias("b2"), beta(f3, "z3").alias("b3"))
-
-    df = df.withColumn("_b", F.get(F.transform(F.transform(standard, solve), unscale), F.lit(0)))
+        def raw(values):
+            return F.zip_with(values, spread, lambda v, w: F.coalesce(F.try_divide(v, w), F.lit(0.0)))
+
+        return F.struct(s["case"].alias("case"), raw(s["z"]).alias("b"), raw(s["u"]).alias("n"))
+
+    def shortest(s):
+        """Of all solutions the one without a part along the null direction."""
+        along = F.try_divide(dot(s["b"], s["n"]), dot(s["n"], s["n"]))
+        flat = dot(spread, spread)
+        least = (
+            F.when(s["case"] == 3, s["b"])
+            .when(s["case"] == 4, F.zip_with(s["b"], spread, lambda b, w: b * w * w / flat))
+            .otherwise(F.zip_with(s["b"], s["n"], lambda b, n: b - along * n)))
+        return F.transform(least, lambda b: b * F.col(f"s_{target}"))
+
+    def named(b):
+        return F.struct(*[F.get(b, F.lit(i)).alias(f"b{i + 1}") for i in range(3)])
+
+    steps = standard
+    for step in (solve, unscale, shortest, named):
+        steps = F.transform(steps, step)
+    df = df.withColumn("_b", F.get(steps, F.lit(0)))
     status = (
-        F.when(F.coalesce("n_train", F.lit(0)) < len(features) + 1, "too_few_rows")
-        .when(F.col("_b.b1").isNull(), "collinear").otherwise("ok")
+        F.when(F.coalesce("n_train", F.lit(0)) < len(features) + 1, "too_few_rows").otherwise("ok")
     )
     df = df.withColumn("status", status)
     usable = F.col("status") == "ok"

@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..constants import CORRELATION_WARMUP, FILING_TYPES, GRID_MAX_DAYS, GRID_MIN_DAYS, TOP_K
-from ..functions.scalars import FLAT, change, half_even, match_rate, movement, safe_corr, safe_corr_over
+from ..functions.scalars import FLAT, change, half_even, match_rate, movement, safe_corr
 from ..operators.filters import all_of, dates_within, equals
 from ..operators.joins import lag_join
 from ..operators.ranking import ordering, skip_first, top_k, top_k_per_group
@@ -57,34 +57,11 @@ def rolling_mentions(weekly, counts, lags, keywords=None, filing_types=None, sta
 
 # ---- the grid over start months ---------------------------------------------
 
-def _framed(series):
-    """Rolling rate plus what is needed to restate it for a later start."""
-    frame = Window.partitionBy(*SERIES).orderBy("week_opening_date").rowsBetween(-12, 0)
-    entry = F.struct(F.col("week_opening_date").alias("week"), F.col("mention_rate").alias("rate"))
-    return series.withColumns({
-        "rolling": F.avg("mention_rate").over(frame),
-        "trail": F.collect_list(entry).over(frame),
-        "frame_start": F.min("week_opening_date").over(frame),
-    })
-
-
-def _rolling_from(start):
-    """Rolling rate of the row when the series begins at ``start``."""
-    kept = F.filter(F.col("trail"), lambda e: (e["week"] >= start) & e["rate"].isNotNull())
-    total = F.aggregate(kept, F.lit(0.0), lambda a, e: a + e["rate"])
-    return F.try_divide(total, F.size(kept).cast("double"))
-
-
 def _month_number(c):
     c = F.col(c) if isinstance(c, str) else c
     return F.year(c) * 12 + F.month(c) - 1
 
 
-def _months(first, last):
-    step = F.expr("interval 1 month")
-    return F.when(first <= last, F.sequence(first, last, step)).otherwise(F.array().cast("array<date>"))
-
-
 def correlations_by_start(series, since):
     """Correlation of each series from every month start (from ``since``) to its last week.
 
@@ -166,37 +143,128 @@ def correlation_grid(weekly, counts, starts, since, as_of, lags, keywords, filin
     )
 
 
-def backfill_grid(weekly, counts, starts, since, as_of, ends_since, lags, keywords, filing_types=("10-K",),
-                  min_days=GRID_MIN_DAYS, max_days=GRID_MAX_DAYS):
-    """As :func:`correlation_grid` for every week as end date, starts 180-365 days before it.
+#: Terms of a correlation that add up over rows.
+MOMENTS = ("n", "x", "y", "xx", "yy", "xy")
+
+
+def _terms(x, y):
+    """Moments of one row; none of a row that lacks a value."""
+    one = {"n": F.lit(1.0), "x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y}
+    return {k: F.when(x.isNotNull() & y.isNotNull(), v).otherwise(F.lit(0.0)) for k, v in one.items()}
+
 
-    One growing window per series and start gives the correlation at each week; an end week
-    the symbol did not trade takes the value of its last week before.
+def _differs(value, before):
+    return F.abs(value - before) > FLAT * F.greatest(F.abs(value), F.abs(before))
+
+
+def _restated(head):
+    """Running moments and changes of the first rows after a start, from their prices and rates.
+
+    The rolling rate of the k-th row is the mean of the first k rates there.
+    """
+    start = F.struct(
+        F.lit(0.0).alias("sum"), F.lit(0).alias("rates"), F.lit(None).cast("double").alias("last"), F.lit(0).alias("moves"),
+        *[F.lit(0.0).alias(m) for m in MOMENTS],
+        F.array().cast("array<struct<moves:int,last:double,n:double,x:double,y:double,xx:double,yy:double,xy:double>>").alias("out"))
+
+    def add(state, row):
+        total = state["sum"] + F.coalesce(row["rate"], F.lit(0.0))
+        rates = state["rates"] + row["rate"].isNotNull().cast("int")
+        y = F.try_divide(total, rates.cast("double"))
+        moves = state["moves"] + F.coalesce(_differs(y, state["last"]), F.lit(False)).cast("int")
+        last = F.coalesce(y, state["last"])
+        sums = {m: state[m] + t for m, t in _terms(row["x"], y - row["centre"]).items()}
+        entry = F.struct(moves.alias("moves"), last.alias("last"), *[v.alias(m) for m, v in sums.items()])
+        return F.struct(
+            total.alias("sum"), rates.alias("rates"), last.alias("last"), moves.alias("moves"), *[v.alias(m) for m, v in sums.items()],
+            F.concat(state["out"], F.array(entry)).alias("out"))
+
+    return F.aggregate(head, start, add, lambda state: state["out"])
+
+
+def correlations_by_range(series, since, as_of, ends_since, min_days=GRID_MIN_DAYS, max_days=GRID_MAX_DAYS):
+    """Correlation of each series from every month start to every week 180 to 365 days later.
+
+    Running moments of a series make every range a difference of two rows; a start changes the rolling rate
+    of its first 12 rows only, whose moments are restated once a start. So work grows with weeks plus results,
+    not with the weeks inside the results, and all of it runs on one partitioning by series. An end week without
+    a row of the series takes the value of its last row before.
     """
-    series = _framed(lagged_mentions(weekly, counts, lags, keywords, filing_types, since, as_of))
-    since_month = F.trunc(F.to_date(F.lit(str(since))), "month")
-    oldest = F.add_months(F.trunc(F.date_sub("week_opening_date", max_days + 1), "month"), 1)
-    first = F.greatest(since_month, oldest)
-    by_start = series.withColumn(
-        "start_date", F.explode(_months(first, F.trunc("week_opening_date", "month")))
-    ).filter(F.col("start_date") >= F.date_sub("week_opening_date", max_days))
-    value = F.when(F.col("frame_start") >= F.col("start_date"), F.col("rolling")).otherwise(_rolling_from(F.col("start_date")))
-    by_start = by_start.select(*SERIES, "start_date", "week_opening_date", "week_close_price", value.alias("rolling"))
-    ordered = Window.partitionBy(*SERIES, "start_date").orderBy("week_opening_date")
-    running = by_start.withColumn(
-        "correlation", safe_corr_over("week_close_price", "rolling", ordered.rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("_next", F.lead("week_opening_date").over(ordered)).filter(F.col("correlation").isNotNull())
-    limit = F.least(F.date_add("start_date", max_days), F.to_date(F.lit(str(as_of))))
-    last = F.least(limit, F.coalesce(F.date_sub("_next", 1), limit))
-    ends = F.when(
-        F.col("week_opening_date") <= last,
-        F.sequence(F.col("week_opening_date"), last, F.expr("interval 7 days")),
-    ).otherwise(F.array().cast("array<date>"))
+    head_rows = 12
+    whole = Window.partitionBy(*SERIES)
+    ordered = whole.orderBy("week_opening_date")
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    rows = series.withColumns({
+        "rolling": F.avg("mention_rate").over(ordered.rowsBetween(-12, 0)),
+        "x": F.col("week_close_price") - F.avg("week_close_price").over(whole),
+        "centre": F.avg("mention_rate").over(whole), "at": F.row_number().over(ordered),
+        "before": F.lag("week_opening_date").over(ordered), "after": F.lead("week_opening_date").over(ordered),
+    })
+    terms = _terms(F.col("x"), F.col("rolling") - F.col("centre"))
+    rows = rows.withColumns({
+        **terms, "x_move": F.coalesce(_differs(F.col("week_close_price"), F.lag("week_close_price").over(ordered)), F.lit(False)).cast("int"),
+        "y_move": F.coalesce(_differs(F.col("rolling"), F.lag("rolling").over(ordered)), F.lit(False)).cast("int"),
+        "head": F.collect_list(F.struct("x", F.col("mention_rate").alias("rate"), "centre")).over(ordered.rowsBetween(0, head_rows - 1)),
+    })
+    running = F.struct("at", *[F.sum(m).over(so_far).alias(m) for m in MOMENTS],
+                       F.sum("x_move").over(so_far).alias("x_moves"), F.sum("y_move").over(so_far).alias("y_moves"))
+    rows = rows.withColumn("sums", running).withColumns({
+        "head_sums": F.lead("sums", head_rows - 1).over(ordered), "next_sums": F.lead("sums", head_rows).over(ordered),
+        "next_rolling": F.lead("rolling", head_rows).over(ordered),
+    })
+    since, as_of, ends_since = (F.to_date(F.lit(str(d))) for d in (since, as_of, ends_since))
+    step = F.expr("interval 1 month")
+    day = F.col("week_opening_date")
+
+    def months(first, last):
+        opening = F.add_months(F.trunc(F.date_sub(first, 1), "month"), 1)  # the first month start on or after it
+        return F.when(opening <= last, F.sequence(opening, last, step)).otherwise(F.array().cast("array<date>"))
+
+    # starts whose first row this is, and results that end in the weeks up to the next row
+    starts = months(F.greatest(since, F.coalesce(F.date_add("before", 1), F.date_sub(day, max_days))), day)
+    last = F.least(as_of, F.coalesce(F.date_sub("after", 1), F.date_add(day, max_days)))
+    first = F.date_add(day, F.greatest(F.lit(0), F.ceil(F.datediff(ends_since, day) / 7)).cast("int") * 7)
+    ends = F.when(first <= last, F.sequence(first, last, F.expr("interval 7 days"))).otherwise(F.array().cast("array<date>"))
+    opened = F.struct(
+        F.col("at"), F.col("restated").alias("head"), F.col("sums.x_moves").alias("x_moves"), F.col("head_sums"), F.col("next_sums"),
+        F.coalesce(_differs(F.col("next_rolling"), F.get("restated", F.lit(head_rows - 1))["last"]), F.lit(False)).cast("int").alias("next_move"))
+    rows = rows.withColumn("starts", starts).withColumn("restated", F.when(F.size("starts") > 0, _restated(F.col("head"))))
+    entries = F.concat(
+        F.transform("starts", lambda s: F.struct(s.alias("start_date"), F.lit(None).cast("date").alias("end_date"))),
+        F.flatten(F.transform(ends, lambda e: F.transform(
+            months(F.greatest(since, F.date_sub(e, max_days)), F.date_sub(e, min_days)), lambda s: F.struct(s.alias("start_date"), e.alias("end_date"))))))
+    met = rows.withColumn("opened", opened).select(*SERIES, "sums", "opened", F.inline(entries)).withColumn(
+        "opened", F.when(F.col("end_date").isNull(), F.col("opened")))
+    # the entry that opens a start stands before its results
+    found = met.withColumn(
+        "first", F.first("opened", True).over(Window.partitionBy(*SERIES, "start_date").orderBy(F.col("end_date").asc_nulls_first())
+                                              .rowsBetween(Window.unboundedPreceding, 0))).filter("end_date IS NOT NULL")
+    rows_in = F.col("sums.at") - F.col("first.at") + 1
+    inside = F.get("first.head", F.least(rows_in, F.lit(head_rows)) - 1)
+    beyond = rows_in > head_rows
+    totals = {m: inside[m] + F.when(beyond, F.col(f"sums.{m}") - F.col(f"first.head_sums.{m}")).otherwise(F.lit(0.0)) for m in MOMENTS}
+    y_moves = inside["moves"] + F.when(beyond, F.col("first.next_move") + F.col("sums.y_moves") - F.col("first.next_sums.y_moves")).otherwise(0)
+    t = found.filter(rows_in > 0).select(
+        *SERIES, "start_date", "end_date", *[v.alias(m) for m, v in totals.items()],
+        (F.col("sums.x_moves") - F.col("first.x_moves")).alias("x_moves"), y_moves.alias("y_moves"))
+    n = F.col("n")
+    cov = F.col("xy") - F.try_divide(F.col("x") * F.col("y"), n)
+    var_x = F.col("xx") - F.try_divide(F.col("x") * F.col("x"), n)
+    var_y = F.col("yy") - F.try_divide(F.col("y") * F.col("y"), n)
+    corr = F.when((F.col("x_moves") > 0) & (F.col("y_moves") > 0) & (var_x > 0) & (var_y > 0),
+                  F.try_divide(cov, F.sqrt(var_x) * F.sqrt(var_y)))
+    return t.select(*SERIES, "start_date", "end_date", corr.alias("correlation"))
+
+
+def backfill_grid(weekly, counts, starts, since, as_of, ends_since, lags, keywords, filing_types=("10-K",),
+                  min_days=GRID_MIN_DAYS, max_days=GRID_MAX_DAYS):
+    """As :func:`correlation_grid` for every week as end date, starts 180-365 days before it."""
+    series = lagged_mentions(weekly, counts, lags, keywords, filing_types, since, as_of)
     calendar = weekly.select(F.col("week_opening_date").alias("end_date")).distinct().filter(
         F.col("end_date").between(F.to_date(F.lit(str(ends_since))), F.to_date(F.lit(str(as_of)))))
     return (
-        running.select(*SERIES, "start_date", "correlation", F.explode(ends).alias("end_date"))
-        .filter(F.datediff("end_date", "start_date").between(min_days, max_days))
+        correlations_by_range(series, since, as_of, ends_since, min_days, max_days)
+        .filter(F.col("correlation").isNotNull())
         .join(calendar, "end_date", "left_semi")
         .join(starts, "start_date", "left_semi")
     )

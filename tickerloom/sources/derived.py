@@ -126,8 +126,8 @@ def filing_pages(spark, sf_dir):
 
 
 def cik_symbols(spark, sf_dir):
-    """Company number to symbol; only the first 40 of the 50 numbers in use are listed."""
-    return table(spark, sf_dir, "supplier").filter(F.col("s_suppkey") < 40).select(
+    """Company number to symbol, of all suppliers; the numbers in use begin at one that no supplier has."""
+    return table(spark, sf_dir, "supplier").select(
         (F.col("s_suppkey") + 10000).cast("string").alias("cik"), symbol("s_suppkey").alias("company_name")
     )
 
