@@ -397,6 +397,33 @@ def q_curve_with_index(spark, sf):
     return rounded(_log_value(df), 4, "weekly_return")
 
 
+def q_backtest_chain_returns_vs_index(spark, sf):
+    """The models' own back-test to its end: its return beside the index."""
+    df = backtest.returns_vs_index(backtest.backtest_curve(_chain_trades(spark, sf)), D.index_prices(spark, sf))
+    return rounded(df, 4, "index_return", "backtest_return").withColumn("sharpe_ratio", F.round("sharpe_ratio", 2))
+
+
+def q_allocation_chain_returns(spark, sf):
+    """What the buy list of the models' own recommendations gained in its week."""
+    recommended = recommend.buy_recommendations(_weekly(spark, sf), _counts(spark, sf), D.prices(spark, sf), _pairs(spark, sf))
+    held = recommend.buy_allocation(recommended, 1000, AS_OF, False)
+    return rounded(recommend.last_week_returns(held, _weekly(spark, sf), 1000), 2, "gain", "performance")
+
+
+def q_buy_allocation_display(spark, sf):
+    return recommend.allocation_display(_allocation(spark, sf, True))
+
+
+def q_backtest_trades_display(spark, sf):
+    return backtest.trades_display(_trades(spark, sf))
+
+
+def q_discount_screen_display(spark, sf):
+    """The screen as shown, with the unit of the column it is ordered by."""
+    shown = fundamentals.screen_display(_screen(spark, sf))
+    return shown.withColumn("unit", F.lit(fundamentals.unit_text("pe_change")))
+
+
 def q_index_returns(spark, sf):
     df = weekly.index_returns(D.index_prices(spark, sf), "1998-01-01", "2000-12-31")
     return rounded(df, 4, "first_close", "last_close", "index_return")
@@ -512,6 +539,23 @@ def q_asof_forward(spark, sf):
         peaks, D.reports(spark, sf), ["universe", "stock_symbol"], "peak_date", "fiscal_date", ["total_assets"])
 
 
+def q_asof_next_report(spark, sf):
+    """Every daily close with the first report after its day."""
+    return joins.asof_merge(
+        _daily_closes(spark, sf), D.reports(spark, sf), ["universe", "stock_symbol"], "created_at", "fiscal_date", ["total_assets", "ebitda"])
+
+
+def q_asof_last_report(spark, sf):
+    """Every daily close with the last report up to its day."""
+    return joins.asof_merge(
+        _daily_closes(spark, sf), D.reports(spark, sf), ["universe", "stock_symbol"], "created_at", "fiscal_date", ["total_assets"],
+        direction="backward", strict=False)
+
+
+def _daily_closes(spark, sf):
+    return D.prices(spark, sf).select("universe", "stock_symbol", "created_at", "close_price")
+
+
 def q_price_peaks(spark, sf):
     return fundamentals.price_peaks(D.prices(spark, sf))
 

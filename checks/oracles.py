@@ -4,6 +4,8 @@ Every twin states the reference semantics directly (one window per parameter
 combination, explicit joins), independent of how the Spark side arrives at it.
 """
 
+from tickerloom.plans.fundamentals import SCREEN_GROUPS
+
 AS_OF = "2001-11-04"
 SINCE = "1998-01-01"
 REFERENCE_SYMBOL = "S000001"
@@ -793,6 +795,24 @@ SELECT round(gain, 4) AS gain, round(gain / 1000, 4) AS performance FROM (
   FROM allocation a JOIN weekly w ON a.stock_symbol = w.stock_symbol AND a.previous_weekly_open_date = w.week_opening_date)""")
 O["allocation_chain"] = O["buy_allocation"].replace("FROM allocation", "FROM chain_allocation")
 O["allocation_chain"] = twin(["chain_allocation"], O["allocation_chain"][O["allocation_chain"].rindex("\nSELECT") + 1:])
+O["allocation_chain_returns"] = twin(["chain_allocation", "weekly"], O["last_week_returns"][O["last_week_returns"].rindex("\nSELECT round(gain") + 1:]
+    .replace("FROM allocation a", "FROM chain_allocation a").replace(", 4)", ", 2)"))
+
+
+def _dollars(c, digits=2):
+    return f"'$' || format('{{:,.{digits}f}}', {c})"
+
+
+O["buy_allocation_display"] = twin(["allocation"], f"""
+SELECT {day('CAST(previous_weekly_open_date + 7 AS DATE)')} AS buy_date, stock_symbol, keyword,
+       {_dollars('previous_weekly_close_price')} AS previous_weekly_close_price, {_dollars('predicted_weekly_close_price')} AS predicted_weekly_close_price,
+       printf('%.0f%%', round_even(g * 100, 0)) AS predicted_growth,
+       round_even(1000 * share / previous_weekly_close_price, 2) AS number_of_shares_to_purchase, '$1,000.00' AS principal_amount FROM allocation""")
+O["backtest_trades_display"] = twin(["trades"], f"""
+SELECT {day('week_to_buy')} AS week_to_buy, stock_symbol, keyword, printf('$%.2f', round_even(current_close_price, 2)) AS close_price,
+       printf('$%.2f', round_even(predicted_price, 2)) AS predicted_price, printf('%.0f%%', round_even(predicted_change * 100, 0)) AS predicted_change,
+       recommendation, printf('$%.2f', round_even(buy_open_price, 2)) AS purchase_price, printf('$%.2f', round_even(buy_close_price, 2)) AS sale_price
+FROM trades""")
 O["buy_date"] = twin(["recs"], f"SELECT {day('CAST(max(previous_weekly_open_date) + 7 AS DATE)')} AS buy_date FROM recs")
 O["backtest_trades"] = twin(["trades"], f"""
 SELECT * REPLACE ({day('week_to_buy')} AS week_to_buy, CAST(time_delay AS BIGINT) AS time_delay,
@@ -822,6 +842,10 @@ FROM (SELECT model_type, min(week_of_purchases) AS f, max(week_of_purchases) AS
       GROUP BY 1)
 CROSS JOIN (SELECT arg_min(close_price, created_at) AS ix, arg_max(close_price, created_at) AS il FROM index_prices
             WHERE created_at BETWEEN (SELECT min(week_of_purchases) FROM curve) AND (SELECT max(week_of_purchases) FROM curve))""")
+O["backtest_chain_returns_vs_index"] = twin(["chain_curve", "index_prices"], O["returns_vs_index"][O["returns_vs_index"].rindex("\nSELECT model_type") + 1:]
+    .replace("FROM curve", "FROM chain_curve").replace("round(il / ix - 1, 6)", "round(il / ix - 1, 4)")
+    .replace("round(log10(pl / pf), 6) AS backtest_log10", "round(pl / pf - 1, 4) AS backtest_return")
+    .replace("round_even((m * 52 - 0.04) / (s * sqrt(52)), 3)", "round(round_even((m * 52 - 0.04) / (s * sqrt(52)), 3), 2)"))
 O["curve_with_index"] = twin(["curve", "index_prices"], f"""
 SELECT {_dates('week_of_purchases')}, model_type, round(weekly_return, 4) AS weekly_return,
        round(log10(portfolio_value), 6) AS portfolio_log10, close_price AS index_price FROM curve JOIN index_prices ON created_at = week_of_purchases""")
@@ -842,6 +866,23 @@ SELECT company_name, stock_symbol, round(price_change, 4) AS price_change, highe
        CAST(days_since_peak AS BIGINT) AS days_since_peak, {day('peak_date')} AS peak_date, round(eps_change, 4) AS eps_change,
        round(peak_eps, 4) AS peak_eps, round(recent_eps, 4) AS recent_eps
 FROM (SELECT * FROM screen WHERE price_change BETWEEN -0.9 AND -0.05 ORDER BY price_change, stock_symbol, universe LIMIT 100)""")
+_SHOWN = {c: label for group in SCREEN_GROUPS.values() for c, label in group}
+
+
+def _shown(c):
+    if c.endswith(("_change", "_growth")):
+        return f"printf('%.1f%%', round_even({c} * 100, 1))"
+    if c in ("highest_price", "current_price", "peak_eps", "recent_eps"):
+        return _dollars(c)
+    if c in ("peak_company_value", "recent_company_value", "peak_ebitda", "recent_ebitda"):
+        return _dollars(c, 0)
+    if c in ("peak_ps", "recent_ps", "peak_pe", "recent_pe"):
+        return f"round_even({c}, 0)"
+    return day(c) if c == "peak_date" else f"CAST({c} AS BIGINT)" if c == "days_since_peak" else c
+
+
+O["discount_screen_display"] = twin(["screen"], f"""
+SELECT {', '.join(f'{_shown(c)} AS "{label}"' for c, label in _SHOWN.items())}, '% (e.g. .1 = 10%)' AS unit FROM screen""")
 O["quarterly_series"] = twin(["reports"], f"""
 SELECT universe, stock_symbol, {day('fiscal_date')} AS reporting_date, TRY_CAST(ebitda AS DOUBLE) AS quarterly_revenue
 FROM (SELECT *, row_number() OVER (PARTITION BY universe, stock_symbol ORDER BY fiscal_date DESC) AS k FROM reports) WHERE k <= 20""")
@@ -907,6 +948,11 @@ O["week_lead"] = twin(["calendar"], f"SELECT {_dates('week_opening_date', 'next_
 O["asof_forward"] = twin(["peaks", "first_after", "latest_report"], f"""
 SELECT universe, stock_symbol, {day('peak_date')} AS peak_date, {day('f.fiscal_date')} AS peak_fiscal_date, f.total_assets AS peak_total_assets,
        {day('l.fiscal_date')} AS latest_fiscal_date, l.total_assets AS latest_total_assets {_ASOF}""")
+for _name, _sign, _tag, _cols in (("asof_next_report", "<", "next", ("total_assets", "ebitda")), ("asof_last_report", ">=", "last", ("total_assets",))):
+    O[_name] = twin(["prices", "reports"], f"""
+SELECT p.universe, p.stock_symbol, {day('p.created_at')} AS created_at, p.close_price, {day('r.fiscal_date')} AS {_tag}_fiscal_date,
+       {', '.join(f'r.{c} AS {_tag}_{c}' for c in _cols)}
+FROM prices p ASOF LEFT JOIN reports r ON p.universe = r.universe AND p.stock_symbol = r.stock_symbol AND p.created_at {_sign} r.fiscal_date""")
 O["price_peaks"] = twin(["peaks"], f"""
 SELECT universe, stock_symbol, highest_price, {_dates('peak_date')}, current_price, {day('current_date_')} AS "current_date" FROM peaks""")
 O["distinct_on"] = twin(["prices"], f"""

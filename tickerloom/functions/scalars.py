@@ -121,7 +121,8 @@ def match_rate(a, b) -> Column:
 # ---- display --------------------------------------------------------------
 
 def percent_text(c, digits=0) -> Column:
-    return F.format_string(f"%.{digits}f%%", half_even(col(c) * 100, digits))
+    """Share as percent; NULL for NULL."""
+    return F.when(col(c).isNotNull(), F.format_string(f"%.{digits}f%%", half_even(col(c) * 100, digits)))
 
 
 def dollar_text(c, digits=2) -> Column:

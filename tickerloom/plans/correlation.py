@@ -14,7 +14,7 @@ from ..constants import CORRELATION_WARMUP, FILING_TYPES, GRID_MAX_DAYS, GRID_MI
 from ..functions.scalars import FLAT, change, half_even, match_rate, movement, safe_corr
 from ..operators.filters import all_of, dates_within, equals
 from ..operators.joins import lag_join
-from ..operators.ranking import ordering, skip_first, top_k, top_k_per_group
+from ..operators.ranking import skip_first, top_k, top_k_per_group
 from ..operators.windows import trailing_mean, trailing_mean_across_series
 from .keywords import mention_rates
 
@@ -275,22 +275,17 @@ RANK_DIGITS = 12
 
 
 def top_scores(grid, direction="desc", k=TOP_K):
-    """k best (desc), worst (asc) or both, per parameter combination; ranked before rounding."""
+    """k best (desc), worst (asc) or both, per parameter combination; ranked before rounding.
+
+    For both, a row stands once under each direction with the sign turned, so one ranking serves
+    them and only k rows a combination and task are shuffled.
+    """
     grid = grid.withColumn("correlation", F.round("correlation", RANK_DIGITS))
-    if direction != "both":
-        kept = top_k_per_group(grid, COMBINATION, "correlation", k, direction == "desc", ["stock_symbol"])
-        kept = kept.withColumn("direction", F.lit("direct" if direction == "desc" else "inverse"))
-    else:
-        ranked = grid.withColumns({
-            "_d": F.row_number().over(Window.partitionBy(*COMBINATION).orderBy(*ordering("correlation", True, ["stock_symbol"]))),
-            "_i": F.row_number().over(Window.partitionBy(*COMBINATION).orderBy(*ordering("correlation", False, ["stock_symbol"]))),
-        }).filter((F.col("_d") <= k) | (F.col("_i") <= k))
-        sides = F.concat(
-            F.when(F.col("_d") <= k, F.array(F.lit("direct"))).otherwise(F.array().cast("array<string>")),
-            F.when(F.col("_i") <= k, F.array(F.lit("inverse"))).otherwise(F.array().cast("array<string>")),
-        )
-        kept = ranked.withColumn("direction", F.explode(sides)).drop("_d", "_i")
-    return kept.withColumn("correlation", half_even("correlation", 4))
+    names = {"desc": ["direct"], "asc": ["inverse"], "both": ["direct", "inverse"]}[direction]
+    sides = F.array(*[F.struct(F.lit(n).alias("direction"), (F.col("correlation") if n == "direct" else -F.col("correlation")).alias("_strength")) for n in names])
+    turned = grid.select("*", F.inline(sides))
+    kept = top_k_per_group(turned, [*COMBINATION, "direction"], "_strength", k, True, ["stock_symbol"])
+    return kept.drop("_strength").withColumn("correlation", half_even("correlation", 4))
 
 
 # ---- one symbol or one keyword -----------------------------------------------
