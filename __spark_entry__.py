@@ -16,6 +16,7 @@ from checks.oracles import (
     AS_OF, BACKFILL_ENDS, BACKFILL_KEYWORDS, BACKFILL_LAGS, CHART, KEYWORDS, LAGS, LONG_KEYWORDS, PAIR_SETS, REFERENCES, REFERENCE_SYMBOL,
     SINCE, TYPES, VALIDATE_FROM, ORACLES,
 )
+from tickerloom import schemas
 from tickerloom.functions import scalars as S
 from tickerloom.functions.text import html_to_text
 from tickerloom.operators import joins, ranking, setops, windows
@@ -24,7 +25,7 @@ from tickerloom.plans import (
     reference_data, training, weekly,
 )
 from tickerloom.sources import derived as D
-from tickerloom.sources import tables
+from tickerloom.sources import landing, tables
 from tickerloom.streaming import ingest
 
 try:  # the subpackage and its pipeline are optional; anything else that is missing is an error
@@ -496,6 +497,62 @@ def q_recent_closes(spark, sf):
     return weekly.recent_closes(D.prices(spark, sf), REFERENCE_SYMBOL, "1998-01-01", AS_OF)
 
 
+# ---- landed files: written from the given tables, read, and split into rows and rejects ----
+
+def _landed_prices(spark, sf):
+    return tables.read_csv_checked(spark, landing.prices_csv(spark, sf), schemas.LANDED_PRICES)
+
+
+def q_landed_prices(spark, sf):
+    return weekly.daily_prices_ingest(_landed_prices(spark, sf)[0])
+
+
+def q_landed_prices_rejects(spark, sf):
+    rejects = _landed_prices(spark, sf)[1]
+    return rejects.select("Symbol", "Date", "reason")
+
+
+def _landed_income(spark, sf):
+    return tables.read_reports_checked(spark, landing.income_json(spark, sf), schemas.INCOME_FILE, "quarterlyReports")
+
+
+def q_landed_income_reports(spark, sf):
+    return _landed_income(spark, sf)[0]
+
+
+def q_landed_income_rejects(spark, sf):
+    rejects = _landed_income(spark, sf)[1]
+    return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("file").isNotNull() & F.col("record").isNotNull()).alias("kept_texts"))
+
+
+def _landed_ciks(spark, sf):
+    return tables.read_symbol_ciks_checked(spark, landing.cik_json(spark, sf))
+
+
+def q_landed_symbol_ciks(spark, sf):
+    return _landed_ciks(spark, sf)[0]
+
+
+def q_landed_symbol_ciks_rejects(spark, sf):
+    return _landed_ciks(spark, sf)[1].groupBy("reason").agg(F.count(F.lit(1)).alias("records"))
+
+
+def q_append_twice(spark, sf):
+    """Weekly prices appended by week, twice: the second run replaces its own weeks; an empty one writes nothing."""
+    path, weeks = landing.place(spark, "weekly"), _weekly(spark, sf)
+    for rows in (weeks, weeks, weeks.limit(0)):
+        tables.append_if_any(rows, path, "week_opening_date")
+    return spark.read.schema(weeks.schema).parquet(path)
+
+
+def q_replace_table(spark, sf):
+    """Sectors, then names, written to one place: the second table stands alone."""
+    path, names = landing.place(spark, "names"), D.symbol_names(spark, sf)
+    tables.replace(D.sectors(spark, sf), path)
+    tables.replace(names, path)
+    return spark.read.parquet(path)
+
+
 # ---- primitives with semantics of their own --------------------------------------
 
 def q_lag_join(spark, sf):

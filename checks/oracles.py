@@ -988,3 +988,29 @@ O["event_weeks"] = f"""
 SELECT user_id, {day("CAST(date_trunc('week', ts) AS DATE)")} AS week_opening_date,
        round(first(value ORDER BY ts, value), 6) AS first_value, round(last(value ORDER BY ts, value), 6) AS last_value
 FROM events GROUP BY user_id, date_trunc('week', ts)"""
+
+
+# ---- landed files --------------------------------------------------------------
+
+_TURN = "(CAST(substr(stock_symbol, 2, 6) AS BIGINT) * 31 + (created_at - DATE '1995-01-02')) % 50"
+_NUM = "CAST(substr(stock_symbol, 2, 6) AS BIGINT)"
+O["landed_prices"] = twin(["prices"], f"SELECT {_dates('created_at')}, open_price, close_price, stock_symbol FROM prices WHERE {_TURN} NOT IN (7, 11)")
+O["landed_prices_rejects"] = twin(["prices"], f"""
+SELECT stock_symbol AS "Symbol", CASE WHEN {_TURN} = 7 THEN CAST(created_at AS VARCHAR) END AS "Date",
+       'no usable value: ' || CASE WHEN {_TURN} = 7 THEN 'Close' ELSE 'Date' END AS reason FROM prices WHERE {_TURN} IN (7, 11)""")
+O["landed_income_reports"] = twin(["reports"], f"""
+SELECT stock_symbol, {day('fiscal_date')} AS fiscal_date, ebitda FROM reports
+WHERE {_NUM} % 10 <> 3 AND NOT ({_NUM} % 7 = 2 AND month(fiscal_date) = 3)""")
+O["landed_income_rejects"] = twin(["reports"], f"""
+SELECT reason, count(*) AS records, count(*) AS kept_texts FROM (
+  SELECT 'unreadable' AS reason FROM (SELECT DISTINCT stock_symbol FROM reports) WHERE {_NUM} % 10 = 3
+  UNION ALL SELECT 'no usable value: fiscal_date' FROM reports WHERE {_NUM} % 10 <> 3 AND {_NUM} % 7 = 2 AND month(fiscal_date) = 3) GROUP BY reason""")
+O["landed_symbol_ciks"] = """
+SELECT CAST(s_suppkey + 10000 AS VARCHAR) AS cik, printf('S%06d', s_suppkey) AS company_name FROM supplier
+WHERE s_nationkey % 5 <> 3 AND s_suppkey % 9 <> 4"""
+O["landed_symbol_ciks_rejects"] = """
+SELECT reason, count(*) AS records FROM (
+  SELECT 'unreadable' AS reason FROM (SELECT DISTINCT s_nationkey FROM supplier) WHERE s_nationkey % 5 = 3
+  UNION ALL SELECT 'no usable value: cik' FROM supplier WHERE s_nationkey % 5 <> 3 AND s_suppkey % 9 = 4) GROUP BY reason"""
+O["append_twice"] = O["weekly_prices"]
+O["replace_table"] = "SELECT printf('S%06d', s_suppkey) AS stock_symbol, s_name AS company_name FROM supplier"

@@ -3,18 +3,21 @@
 import tempfile
 
 
-def checkpointed(df):
-    """Eagerly checkpointed frame, which keeps its partitioning; lost executors find it in the shared folder.
+def shared_folder(spark):
+    """The folder in ``spark.checkpoint.dir``; only a local session without one gets a folder of its own."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tickerloom-")
+        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/")
+
 
-    The folder is the one in ``spark.checkpoint.dir``; only a local session without one gets a folder of its own.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+def checkpointed(df):
+    """Eagerly checkpointed frame; lost executors find it in the shared folder."""
+    folder, context = shared_folder(df.sparkSession), df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="tickerloom-")
         context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -127,15 +127,20 @@ def predicted(features):
     return out
 
 
-def fitted(rows, groups, features, target, use):
-    """Every row with its group's coefficients, trained on the rows where ``use`` holds.
+def fitted(rows, groups, features, target, use, asked=None):
+    """The asked rows (all without a condition) with their group's coefficients, trained on the rows where ``use`` holds.
 
-    The moments are window values, so fitting adds no shuffle beyond bringing a group together.
+    One aggregation per group takes the moments and gathers the asked rows, so a model is solved once. Groups
+    are bounded, as every row of one is a week.
     """
-    whole = Window.partitionBy(*groups)
     marked = rows.withColumns({f"t_{c}": F.when(use, F.col(c).cast("double")) for c in [*features, target]})
     names, goal = [f"t_{c}" for c in features], f"t_{target}"
-    return _renamed(with_coefficients(marked.select("*", *moments(names, goal, whole)), names, goal), rows, features)
+    kept = [c for c in rows.columns if c not in groups]
+    row = F.struct(*[F.col(c) for c in kept])
+    gathered = F.collect_list(row if asked is None else F.when(asked, row)).alias("_asked")
+    solved = with_coefficients(marked.groupBy(*groups).agg(*moments(names, goal), gathered), names, goal)
+    every = solved.select(*[c for c in solved.columns if c != "_asked"], F.inline("_asked"))
+    return _renamed(every, rows, features)
 
 
 def fitted_so_far(rows, groups, order, features, target, use):

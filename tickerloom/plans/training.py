@@ -141,8 +141,8 @@ def fit_predict(rows, keys, model_type="linear", ask="score"):
     kept = ["week_opening_date", *FEATURES, TARGET]
     if model_type == "linear":
         scored = (
-            fitted(rows, keys, FEATURES, TARGET, F.col("part") == "train")
-            .filter(F.col("part") == ask).withColumn("predicted_price", predicted(FEATURES))
+            fitted(rows, keys, FEATURES, TARGET, F.col("part") == "train", F.col("part") == ask)
+            .withColumn("predicted_price", predicted(FEATURES))
         )
     else:
         scored = predict_with_trees(
