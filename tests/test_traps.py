@@ -1,5 +1,6 @@
 """Hand tables for the semantic traps; expected values worked out by hand."""
 
+import re
 from datetime import date, timedelta
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tickerloom import schemas
 from tickerloom.functions import scalars as S
-from tickerloom.functions.text import html_to_text, last_heading, main_document
+from tickerloom.functions.text import between_items, heading_pieces, html_to_text, main_document, piece_items
 from tickerloom.operators import filters, joins, ranking, setops, windows
 from tickerloom.plans import backtest, correlation, fundamentals, keywords, pairs, recommend, weekly
 
@@ -240,9 +241,31 @@ def test_sections_take_the_last_heading_and_document(spark):
     df = spark.createDataFrame([(text,)], "t string").select(main_document("t", "10-K").alias("d"))
     d = df.first()["d"]
     assert "old" not in d
-    from tickerloom.functions.text import hide_longer_heading
-    got = df.select(last_heading(hide_longer_heading("d", "7A"), "7"), last_heading("d", "7A"), last_heading("d", "1A")).first()
-    assert tuple(got) == (d.rindex(">Item 7. real"), d.rindex(">Item 7A"), None)
+    cut = df.select("d", heading_pieces("d").alias("p")).withColumn("i", piece_items("p"))
+    got = cut.select(F.array_join("p", ""), between_items("p", "i", "7", "7A"), between_items("p", "i", "1A", "7"), between_items("p", "i", "7A", "7")).first()
+    assert tuple(got) == (d, d[d.rindex(">Item 7. real"):d.rindex(">Item 7A")], None, "")
+
+
+def plain_section(document, first, until):
+    """Text between the last headings of two items by searching for each spelling; 7 must not go on with A."""
+    def last(item):
+        places = [m.start() for h in (">Item {}", ">Item&#160;{}", ">Item&nbsp;{}", "ITEM {}")
+                  for m in re.finditer(re.escape(h.format(item)) + ("(?!A)" if item == "7" else ""), document)]
+        return max(places, default=None)
+
+    a, z = last(first), last(until)
+    return None if a is None or z is None else document[a:max(a, z)]
+
+
+def test_segmentation_matches_a_search_for_each_heading(spark):
+    import random
+    rnd = random.Random(11)
+    bits = [">Item 1A", ">Item&#160;1B.", ">Item&nbsp;2", "ITEM 7", "ITEM 7A", ">Item 7B", ">Item 20", ">Item 1", "Item 7", "ITEM 1A", " text ", "é", ">", "ITEM ", "\n"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 25))) for _ in range(150)]
+    cut = spark.createDataFrame([(t,) for t in texts], "d string").select("d", heading_pieces("d").alias("p")).withColumn("i", piece_items("p"))
+    pairs = [("1A", "1B"), ("1A", "2"), ("7", "7A")]
+    for r in cut.select("d", *[between_items("p", "i", *x) for x in pairs]).collect():
+        assert list(r[1:]) == [plain_section(r["d"], *x) for x in pairs], r["d"]
 
 
 def test_html_text(spark):
@@ -268,3 +291,60 @@ def test_many_keywords_in_one_pass_match_one_search_each(spark):
             assert got[kind, w] == (hit, len(mine)), w
     counts = {r["keyword"]: r["keyword_count"] for r in keyword_occurrences(df, words).collect()}
     assert counts == {w: n for w in set(words) if w and (n := sum((r[3] or "").count(w) for r in rows))}
+
+
+@pytest.mark.parametrize("direction, strict", [("forward", True), ("forward", False), ("backward", True), ("backward", False)])
+@pytest.mark.parametrize("bucket", ["week", "year"])
+def test_asof_merge_matches_a_search_a_fact(spark, direction, strict, bucket):
+    import random
+    rnd = random.Random(hash((direction, strict)) % 1000)
+    start = date(2001, 1, 1)
+    days = [start + timedelta(days=i) for i in range(0, 500)]
+    # one key holds most facts; dates tie, repeat and are missing
+    facts = [(rnd.choice(["a", "a", "a", "b", "c", None]), rnd.choice([*days, None]), i) for i in range(300)]
+    reports = [(rnd.choice(["a", "b", None]), rnd.choice([*days, None]), rnd.choice([None, 1, 2, 3])) for _ in range(60)] + [("d", days[0], 1)]
+    got = joins.asof_merge(
+        spark.createDataFrame(facts, "k string, day date, i int").repartition(5), spark.createDataFrame(reports, "k string, rd date, v int"),
+        "k", "day", "rd", ["v"], direction, strict, bucket)
+    tag = "next_" if direction == "forward" else "last_"
+    found = {r["i"]: (r["k"], r["day"], r[tag + "rd"], r[tag + "v"]) for r in got.collect()}
+    assert len(found) == len(facts)
+    for k, day, i in facts:
+        mine = [(rd, v) for rk, rd, v in reports if k is not None and rk == k and rd is not None and day is not None
+                and (rd == day and not strict or (rd > day if direction == "forward" else rd < day))]
+        near = (min if direction == "forward" else max)((rd for rd, _ in mine), default=None)
+        values = [v for rd, v in mine if rd == near]
+        assert found[i] == (k, day, near, max((v for v in values if v is not None), default=None)), (k, day)
+
+
+def test_range_correlations_match_one_series_a_range(spark):
+    import random
+
+    import numpy as np
+    rnd = random.Random(4)
+    rows = []
+    for symbol in "AB":
+        for w in range(90):
+            if rnd.random() < 0.8:  # weeks are missing
+                rows.append((symbol, "k", "10-K", 1, date(2000, 1, 3) + timedelta(weeks=w), 5.0 if symbol == "B" and w < 60 else rnd.uniform(1, 9), rnd.choice([0.0, 0.25, 0.5])))
+    df = spark.createDataFrame(rows, "stock_symbol string, keyword string, filing_type string, time_delay int, week_opening_date date, week_close_price double, mention_rate double")
+    got = {(r["stock_symbol"], r["start_date"], r["end_date"]): r["correlation"] for r in correlation.correlations_by_range(
+        df, "2000-01-01", "2001-09-30", "2000-07-01", 180, 365).collect()}
+    seen = 0
+    for symbol in "AB":
+        mine = [r for r in rows if r[0] == symbol]
+        for month in range(21):
+            s = date(2000 + month // 12, month % 12 + 1, 1)
+            for w in range(93):
+                e = date(2000, 1, 3) + timedelta(weeks=w)
+                part = [r for r in mine if s <= r[4] <= e]
+                if not (180 <= (e - s).days <= 365 and e >= date(2000, 7, 1) and part and e >= mine[0][4]):
+                    continue
+                x = np.array([r[5] for r in part])
+                y = np.array([np.mean([q[6] for q in part[max(0, i - 12):i + 1]]) for i in range(len(part))])
+                if e <= date(2001, 9, 30) and (symbol, s, e) in got:
+                    want = None if x.std() <= 1e-12 * abs(x.mean()) or y.std() <= 1e-12 else np.corrcoef(x, y)[0, 1]
+                    assert (got[symbol, s, e] is None) == (want is None)
+                    assert want is None or got[symbol, s, e] == pytest.approx(want, abs=1e-9)
+                    seen += 1
+    assert seen == len(got) and seen > 300 and any(v is None for v in got.values())

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..constants import ARCHIVE_URL
 from .scalars import col
 
-#: Reference names that are decoded without a semicolon as well, longest first.
-BARE_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+#: Reference names that are decoded without a semicolon as well.
+BARE_NAMES = sorted(n for n in html5 if not n.endswith(";"))
 
 #: Stands in for a run of markup between two pieces of text.
 _MARK = "\u0001"
@@ -131,13 +131,18 @@ def html_to_text(html) -> Column:
     return decode_references(text)
 
 
+def _let(value, use):
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _named(name):
-    """Text of a named reference (with its semicolon, if it has one), by way of its first letter; else NULL."""
+    """Text of a named reference (with its semicolon, if it has one), by way of its first two letters; else NULL."""
     table = {}
     for n, text in html5.items():
-        table.setdefault(n[0], {})[n] = text
+        table.setdefault(n[:2], {})[n] = text
     names = F.from_json(F.lit(json.dumps(table)), "map<string,map<string,string>>")
-    return F.try_element_at(F.try_element_at(names, F.left(name, F.lit(1))), name)
+    return F.try_element_at(F.try_element_at(names, F.left(name, F.lit(2))), name)
 
 
 def _numbered(number):
@@ -161,20 +166,28 @@ def decode_references(text) -> Column:
     text = col(text)
     pieces = F.split(text, "(?=&(?:#[0-9]|#[xX][0-9a-fA-F]|[A-Za-z]))")
 
-    def decoded(piece):
-        reference = F.regexp_extract(piece, "^&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)", 1)
-        known = _named(reference)
-        bare = F.regexp_extract(piece, "^&(" + "|".join(BARE_NAMES) + ")", 1)
+    def rest(piece, reference):
+        return F.substring(piece, F.length(reference) + 2, F.length(piece))
+
+    def numeric(piece, reference):
         digits = F.regexp_extract(reference, "^#[xX]?0*([0-9a-fA-F]*)", 1)
         base = F.lower(F.substring(reference, 2, 1)) == "x"
+
         # more than seven digits are beyond all code points
-        number = F.when(digits == "", 0).when(F.length(digits) > 7, 0x110000).otherwise(
-            F.when(base, F.conv(digits, 16, 10)).otherwise(digits).cast("bigint"))
-        return (
-            F.when(F.startswith(reference, F.lit("#")), F.concat(_numbered(number.cast("bigint")), F.substring(piece, F.length(reference) + 2, F.length(piece))))
-            .when((reference != "") & known.isNotNull(), F.concat(known, F.substring(piece, F.length(reference) + 2, F.length(piece))))
-            .when(bare != "", F.concat(_named(bare), F.substring(piece, F.length(bare) + 2, F.length(piece))))
-            .otherwise(piece))
+        def number(d):
+            return F.when(d == "", 0).when(F.length(d) > 7, 0x110000).otherwise(F.when(base, F.conv(d, 16, 10)).otherwise(d).cast("bigint")).cast("bigint")
+
+        return F.concat(_let(_let(digits, number), _numbered), rest(piece, reference))
+
+    def bare(piece):
+        found = F.regexp_extract(piece, "^&(" + _trie_pattern(_trie(BARE_NAMES)) + ")", 1)
+        return _let(found, lambda name: F.when(name != "", F.concat(_named(name), rest(piece, name))).otherwise(piece))
+
+    def decoded(piece):
+        reference = F.regexp_extract(piece, "^&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)", 1)
+        return _let(reference, lambda r: (
+            F.when(F.startswith(r, F.lit("#")), numeric(piece, r))
+            .otherwise(_let(F.when(r != "", _named(r)), lambda known: F.when(known.isNotNull(), F.concat(known, rest(piece, r))).otherwise(bare(piece))))))
 
     # texts without one are left alone
     whole = F.array_join(F.transform(pieces, lambda p: F.when(F.startswith(p, F.lit("&")), decoded(p)).otherwise(p)), "")
@@ -195,32 +208,32 @@ def main_document(content, filing_type) -> Column:
     return F.substring_index(chosen, "<DOCUMENT>", -1)
 
 
-def _headings(item):
-    return [f">Item {item}", f">Item&#160;{item}", f">Item&nbsp;{item}", f"ITEM {item}"]
+#: Item headings in their four spellings, up to the items that begin or end a section.
+_HEADING = r"(?:>Item(?: |&#160;|&nbsp;)|ITEM )"
+_ITEMS = "1A|1B|2|7A|7"
 
 
-def hide_longer_heading(document, item):
-    """Document of equal length in which headings of ``item`` no longer match its prefix (7 in 7A)."""
-    document = col(document)
-    for heading in _headings(item):
-        document = F.replace(document, F.lit(heading), F.lit(_MARK * len(heading)))
-    return document
+def heading_pieces(document) -> Column:
+    """The document cut before every heading of an item, in one pass; joined again, the pieces are the document."""
+    return F.split(col(document), f"(?={_HEADING}(?:{_ITEMS}))")
 
 
-def last_heading(document, item) -> Column:
-    """Zero-based offset of the item's last heading; NULL when it has none."""
-    document = col(document)
-    # without the heading, what follows "it" is the whole document and the offset is negative
-    offsets = [
-        F.length(document) - F.length(F.substring_index(document, heading, -1)) - len(heading)
-        for heading in _headings(item)
-    ]
-    return F.nullif(F.greatest(*offsets, F.lit(-1)), F.lit(-1))
+def piece_items(pieces) -> Column:
+    """The item whose heading begins each piece, '' for none; 7A is no 7, while 2 is any heading that goes on from there."""
+    return F.transform(col(pieces), lambda p: F.regexp_extract(p, f"^{_HEADING}({_ITEMS})", 1))
 
 
-def between_offsets(document, start, end) -> Column:
-    """Text from start up to end; empty when they are out of order, NULL when either is missing."""
-    return F.when(
-        start.isNotNull() & end.isNotNull(),
-        F.substring(col(document), start + 1, F.greatest(end - start, F.lit(0))),
-    )
+def between_items(pieces, items, first, until) -> Column:
+    """Text from the last heading of one item up to the last one of another; empty when they are out of order, NULL when one is missing."""
+    pieces, items = col(pieces), col(items)
+
+    def last(item):
+        return F.size(items) - F.array_position(F.reverse(items), item) + 1
+
+    def cut(at):
+        start, end = at["start"], at["end"]
+        return F.when(
+            (start <= F.size(items)) & (end <= F.size(items)),
+            F.array_join(F.slice(pieces, start, F.greatest(end - start, F.lit(0))), ""))
+
+    return _let(F.struct(last(first).cast("int").alias("start"), last(until).cast("int").alias("end")), cut)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..constants import UNKNOWN_COMPANY
 from ..functions.text import (
-    accession_of, between_offsets, cik_of, filing_index_url, filing_type_of, hide_longer_heading,
-    html_to_text, last_heading, main_document,
+    accession_of, between_items, cik_of, filing_index_url, filing_type_of, heading_pieces, html_to_text, main_document,
+    piece_items,
 )
 from ..operators.joins import lookup_with_default
 
@@ -23,15 +23,10 @@ def filing_sections(submissions, all_or_nothing=False):
     rows = submissions.withColumn("filing_type", filing_type_of("path")).filter(
         F.col("filing_type").isin("10-K", "10-Q"))
     rows = rows.withColumn("_doc", main_document("content", "filing_type")).drop("content")
-    rows = rows.withColumn("_doc7", hide_longer_heading("_doc", "7A"))
-    rows = rows.withColumns({
-        "_i1a": last_heading("_doc", "1A"), "_i1b": last_heading("_doc", "1B"), "_i2": last_heading("_doc", "2"),
-        "_i7": last_heading("_doc7", "7"), "_i7a": last_heading("_doc", "7A"),
-    })
+    rows = rows.withColumn("_pieces", heading_pieces("_doc")).drop("_doc").withColumn("_items", piece_items("_pieces"))
     annual = F.col("filing_type") == "10-K"
-    factors_end = F.when(annual, F.col("_i1b")).otherwise(F.col("_i2"))
-    factors = between_offsets("_doc", F.col("_i1a"), factors_end)
-    disclosures = F.when(annual, between_offsets("_doc", F.col("_i7"), F.col("_i7a")))
+    factors = F.when(annual, between_items("_pieces", "_items", "1A", "1B")).otherwise(between_items("_pieces", "_items", "1A", "2"))
+    disclosures = F.when(annual, between_items("_pieces", "_items", "7", "7A"))
     if all_or_nothing:
         both = ~annual | (factors.isNotNull() & disclosures.isNotNull())
         factors, disclosures = F.when(both, factors), F.when(both, disclosures)
