@@ -123,3 +123,20 @@ def test_the_cache_may_overflow():
             assert count(t) == len(library.encode(t, add_special_tokens=False).ids)
     finally:
         token_counts.CACHE = kept
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("licensed under the GNU General Public License, version 3 or later", "gpl-3"),
+    ("the GNU General Public License, Version 2.", "gpl-2"),
+    ("the GNU General Public License version 1 of 1989", ""),
+    ("GNU General Public License version 2 and GNU General Public License version 3", "gpl-2,gpl-3"),
+    ("the GNU Lesser General Public License, version 3", "lgpl"),
+    ("the GNU Affero General Public License, version 3", ""),
+    ("Mozilla Public License Version 2.0", "mpl-2"), ("Mozilla Public License Version 1.1", ""),
+    ("Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in full compliance", "apache-2"),
+    ("Licensed under the Apache License, Version 1.1 (the License); you may not use this file except in compliance", ""),
+    ("under the MIT license", "mit"), ("Creative Commons Attribution License", "cc-by"), ("Creative Commons Attribution ShareAlike License", ""),
+])
+def test_telling_words_of_a_license_must_match(spark, text, labels):
+    df = H.docs(spark, [(1, f"{H.sentence(1, 20)} {text} {H.sentence(2, 20)}", "en", "s"), (None, text, None, None)])
+    assert {r.labels for r in licenses.license_scan(df).collect()} == {labels}

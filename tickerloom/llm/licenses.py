@@ -4,7 +4,8 @@ All rolling word k-grams of every text meet the k-grams of the templates in one
 (hash and gram, so a hit is exact). A hit votes for the diagonal ``place in text - place in
 template``. Votes are added by diagonal, diagonals not more than ``band`` apart are merged
 into spans (words added or left out move a license to the next diagonals), and a span counts
-when its exact hits cover enough of its template. Text never leaves the scan: only hits and
+when its exact hits cover enough of its template and all of its telling words: a version, or the word
+that sets a license apart from one of nearly the same name. Text never leaves the scan: only hits and
 one header row per document are shuffled.
 
 The templates are a parameter, never learnt, so the broadcast side is as large as the list.
@@ -26,11 +27,18 @@ class Template:
     label: str
     phrase: str
     base: bool = False
+    #: Words of the phrase that tell it from its kin: a span without one of them is none.
+    telling: tuple = ()
 
     @property
     def words(self):
         return self.phrase.split()
 
+    @property
+    def told_by(self):
+        """Places of the telling words."""
+        return [i for i, w in enumerate(self.words) if w in self.telling]
+
 
 # Fixed phrases and labels.
 BASE = (
@@ -39,14 +47,15 @@ BASE = (
     Template("cc-by-nc", "cc by nc", True),
 )
 FURTHER = (
-    Template("gpl-3", "gnu general public license version 3"),
-    Template("gpl-2", "gnu general public license version 2"),
-    Template("lgpl", "gnu lesser general public license"),
-    Template("mpl-2", "mozilla public license version 2 0"),
+    Template("gpl-3", "gnu general public license version 3", telling=("gnu", "3")),
+    Template("gpl-2", "gnu general public license version 2", telling=("gnu", "2")),
+    Template("lgpl", "gnu lesser general public license", telling=("lesser",)),
+    Template("mpl-2", "mozilla public license version 2 0", telling=("mozilla", "2")),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    Template("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance"),
-    Template("cc-by", "creative commons attribution license"),
+    Template("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance",
+             telling=("apache", "2")),
+    Template("cc-by", "creative commons attribution license", telling=("commons", "license")),
     Template("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 TEMPLATES = BASE + FURTHER
@@ -61,8 +70,8 @@ def template_grams(spark, templates, k=K):
         w = t.words
         if len(w) < k:
             raise ValueError(f"template {t.phrase!r} has fewer than {k} words")
-        rows += [(i, p, " ".join(w[p:p + k]), t.label, t.base, len(w)) for p in range(len(w) - k + 1)]
-    df = spark.createDataFrame(rows, "tid int, tpos int, tgram string, label string, base boolean, t_words int")
+        rows += [(i, p, " ".join(w[p:p + k]), t.label, t.base, len(w), t.told_by) for p in range(len(w) - k + 1)]
+    df = spark.createDataFrame(rows, "tid int, tpos int, tgram string, label string, base boolean, t_words int, told_by array<int>")
     return df.withColumn("tkey", F.xxhash64("tgram"))
 
 
@@ -80,7 +89,7 @@ def hits(docs, templates=TEMPLATES, k=K, text="text", key="doc_id"):
         F.broadcast(template_grams(docs.sparkSession, templates, k)),
         (F.col("gkey") == F.col("tkey")) & (F.col("gram") == F.col("tgram")), "left")
     return found.filter((F.col("at") == 0) | F.col("tid").isNotNull()).select(
-        key, "text_key", "n_words", (F.col("at") - 1).cast("bigint").alias("pos"), "tid", "tpos", "label", "base", "t_words")
+        key, "text_key", "n_words", (F.col("at") - 1).cast("bigint").alias("pos"), "tid", "tpos", "label", "base", "t_words", "told_by")
 
 
 def diagonals(found, k=K, key="doc_id"):
@@ -89,7 +98,8 @@ def diagonals(found, k=K, key="doc_id"):
         found.filter("tid IS NOT NULL").withColumn("diag", F.col("pos") - F.col("tpos"))
         .groupBy(key, "text_key", "tid", "diag")
         .agg(F.collect_set("tpos").alias("places"), F.min("pos").alias("first"), F.max("pos").alias("last"),
-             F.first("label").alias("label"), F.first("base").alias("base"), F.first("t_words").alias("t_words"))
+             F.first("label").alias("label"), F.first("base").alias("base"), F.first("t_words").alias("t_words"),
+             F.first("told_by").alias("told_by"))
         .withColumn("exact", F.size("places") == F.col("t_words") - k + 1))
 
 
@@ -101,14 +111,15 @@ def spans(diags, k=K, band=BAND, coverage=COVERAGE, key="doc_id"):
     new = F.coalesce(F.col("diag") - F.lag("diag").over(by) > band, F.lit(True)).cast("int")
     merged = diags.withColumn("new", new).withColumn("span", F.sum("new").over(by)).groupBy(key, "text_key", "tid", "span").agg(
         F.min("first").alias("first_word"), (F.max("last") + k).alias("end_word"),
-        F.first("label").alias("label"), F.first("base").alias("base"), F.first("t_words").alias("t_words"),
+        F.first("label").alias("label"), F.first("base").alias("base"), F.first("t_words").alias("t_words"), F.first("told_by").alias("told_by"),
         F.max("exact").alias("exact"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
     words = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (k - 1)))))
-    out = merged.withColumn("covered", F.size(words).cast("bigint")).drop("places", "span")
+    out = merged.withColumns({
+        "covered": F.size(words).cast("bigint"), "told": F.size(F.array_except("told_by", words)) == 0}).drop("places", "span", "told_by")
     share = F.col("covered") / F.greatest(F.col("t_words").cast("bigint"), F.when(F.col("exact"), F.col("covered")).otherwise(
         F.col("end_word") - F.col("first_word")))
     return out.withColumn("share", F.least(F.lit(1.0), share)).withColumn(
-        "verified", F.col("exact") | (F.col("covered") >= coverage * F.col("t_words")))
+        "verified", F.col("exact") | (F.col("told") & (F.col("covered") >= coverage * F.col("t_words"))))
 
 
 def _joined(labels):

@@ -86,23 +86,23 @@ FROM o WHERE upto <= rest
 def _license_sql():
     from .licenses import BAND, COVERAGE, K, TEMPLATES
 
-    rows = [(i, p, " ".join(t.words[p:p + K]), t.label, t.base, len(t.words))
+    rows = [(i, p, " ".join(t.words[p:p + K]), t.label, t.base, len(t.words), t.told_by)
             for i, t in enumerate(TEMPLATES) for p in range(len(t.words) - K + 1)]
-    values = ", ".join(f"({i}, {p}, '{g}', '{label}', {base}, {n})" for i, p, g, label, base, n in rows)
+    values = ", ".join(f"({i}, {p}, '{g}', '{label}', {base}, {n}, {told}::INTEGER[])" for i, p, g, label, base, n, told in rows)
     return rf"""
-WITH t(tid, tpos, gram, label, base, tw) AS (VALUES {values}),
+WITH t(tid, tpos, gram, label, base, tw, told) AS (VALUES {values}),
 d AS (
   SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM documents),
 e AS (SELECT k, w, unnest(range(0, len(w) - {K} + 1)) AS pos FROM d),
 h AS (
-  SELECT k, tid, pos - tpos AS diag, tpos, pos, label, base, tw
+  SELECT k, tid, pos - tpos AS diag, tpos, pos, label, base, tw, told
   FROM (SELECT k, pos, array_to_string(w[pos + 1 : pos + {K}], ' ') AS gram FROM e) JOIN t USING (gram)),
 g AS (
-  SELECT k, tid, diag, label, base, tw, list(tpos) AS places, min(pos) AS lo, max(pos) AS hi,
+  SELECT k, tid, diag, label, base, tw, told, list(tpos) AS places, min(pos) AS lo, max(pos) AS hi,
          count(DISTINCT tpos) = tw - {K - 1} AS exact
-  FROM h GROUP BY k, tid, diag, label, base, tw),
+  FROM h GROUP BY k, tid, diag, label, base, tw, told),
 b AS (
   SELECT k, count(*) AS n_base, min(diag) AS first_word, max(diag) AS last_word,
          array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels
@@ -112,10 +112,10 @@ s AS (
     SELECT *, CASE WHEN diag - lag(diag) OVER (PARTITION BY k, tid ORDER BY diag) <= {BAND} THEN 0 ELSE 1 END AS new FROM g)),
 m AS (
   SELECT k, tid, span, label, tw, min(lo) AS lo, max(hi) + {K} AS hi, bool_or(exact) AS exact,
-         len(list_distinct(flatten(list_transform(flatten(list(places)), lambda p: range(p, p + {K}))))) AS covered
-  FROM s GROUP BY k, tid, span, label, tw),
+         list_distinct(flatten(list_transform(flatten(list(places)), lambda p: range(p, p + {K})))) AS words, len(words) AS covered, told
+  FROM s GROUP BY k, tid, span, label, tw, told),
 o AS (
-  SELECT k, coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (exact OR covered >= {COVERAGE} * tw))), ','), '') AS labels,
+  SELECT k, coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (exact OR (covered >= {COVERAGE} * tw AND list_has_all(words, told))))), ','), '') AS labels,
          max(least(1.0::DOUBLE, covered::DOUBLE / greatest(tw, CASE WHEN exact THEN covered ELSE hi - lo END))) AS score
   FROM m GROUP BY k)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
