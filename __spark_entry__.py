@@ -273,6 +273,17 @@ def q_latest_features(spark, sf):
     return rounded(df, 6, "mention_rolling_avg")
 
 
+def _late_pairs(spark, sf):
+    """The pairs with end dates on any weekday, on most of which a symbol did not trade."""
+    late = F.date_add("end_date", (F.substring("stock_symbol", 2, 6).cast("int") % 7))
+    return _pairs(spark, sf).withColumn("end_date", late)
+
+
+def q_latest_features_asof(spark, sf):
+    df = training.latest_features(_weekly(spark, sf), _counts(spark, sf), D.prices(spark, sf), _late_pairs(spark, sf), asof_close=True)
+    return rounded(df, 6, "mention_rolling_avg")
+
+
 def _fit(spark, sf, model, digits=2):
     df = training.fit_predict(_model_rows(spark, sf), _keys(), model)
     return rounded(df, digits, "predicted_price").drop("mention_rolling_avg")

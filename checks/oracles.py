@@ -272,7 +272,7 @@ def _solved(moments, keys):
 _PRED = "intercept + " + " + ".join(f"b_{f} * {f}" for f in _F)
 
 
-def _latest(pairs):
+def _latest(pairs, close="JOIN prices x ON x.stock_symbol = q.stock_symbol AND x.created_at = q.end_date"):
     return f"""
 SELECT * FROM (
   SELECT q.*, {_PACKED} AS current_week, x.close_price AS current_close_price,
@@ -284,7 +284,7 @@ SELECT * FROM (
         JOIN counts c ON w.week_opening_date = c.filing_week + 7 * p.time_delay
              AND c.keyword = p.keyword AND c.filing_type = p.filing_type
         WHERE w.week_opening_date BETWEEN p.start_date AND p.end_date) q
-  JOIN prices x ON x.stock_symbol = q.stock_symbol AND x.created_at = q.end_date) WHERE n = 1"""
+  {close}) WHERE n = 1"""
 
 
 def _trained(pairs):
@@ -568,6 +568,12 @@ for _pairs, _cut in (("fixed_pairs", "filing"), ("long_pairs", "filing"), ("top_
         BLOCKS[f"{_pairs}_latest"], NEEDS[f"{_pairs}_latest"] = _latest(_pairs), [_pairs, "weekly", "counts", "prices"]
 
 
+BLOCKS["late_pairs"] = "SELECT * REPLACE (CAST(end_date + CAST(CAST(substr(stock_symbol, 2, 6) AS INTEGER) % 7 AS INTEGER) AS DATE) AS end_date) FROM fixed_pairs"
+NEEDS["late_pairs"] = ["fixed_pairs"]
+BLOCKS["late_pairs_latest"] = _latest("late_pairs", "ASOF JOIN prices x ON x.stock_symbol = q.stock_symbol AND q.end_date >= x.created_at")
+NEEDS["late_pairs_latest"] = ["late_pairs", "weekly", "counts", "prices"]
+
+
 def _order(names, seen=None):
     seen = [] if seen is None else seen
     for n in names:
@@ -669,6 +675,7 @@ O["training_set"] = twin(["fixed_pairs_train"], f"SELECT {_pair_out()}, {_dates(
 O["training_set_lag_26"] = twin(["long_pairs_train"], f"SELECT {_pair_out()}, {_dates('week_opening_date')}, {_ROWF}, target_close_price, part FROM long_pairs_train")
 O["scoring_set"] = twin(["fixed_pairs_score"], f"SELECT {_pair_out()}, {_dates('week_opening_date', 'prediction_date')}, {_ROWF}, target_close_price FROM fixed_pairs_score")
 O["latest_features"] = twin(["fixed_pairs_latest"], f"SELECT {_pair_out()}, {_dates('week_opening_date')}, {_ROWF} FROM fixed_pairs_latest")
+O["latest_features_asof"] = twin(["late_pairs_latest"], f"SELECT {_pair_out()}, {_dates('week_opening_date')}, {_ROWF} FROM late_pairs_latest")
 O["fit_predict_linear"] = twin(["fixed_pairs_models", "fixed_pairs_score"], f"""
 SELECT {_pair_out()}, {_dates('week_opening_date', 'prediction_date')}, target_close_price,
        CAST(current_week AS BIGINT) AS current_week, current_close_price, round({_PRED}, 2) AS predicted_price, 'ok' AS status

@@ -8,16 +8,17 @@ from ..operators.filters import all_of, none_of, within_last_days
 from .training import PAIR, TARGET, fit_predict, latest_features, model_rows
 
 
-def buy_recommendations(weekly, counts, prices, pairs, model_type="linear", opposite_type=False):
+def buy_recommendations(weekly, counts, prices, pairs, model_type="linear", opposite_type=False,
+                        asof_close=False):
     """For each pair: train up to its last usable filing week, predict from the latest features.
 
     A pair without a model or without latest features keeps its row with a NULL prediction and a
-    ``status``: too_few_rows, collinear, no_filing_week, or no_latest_close.
+    ``status``: too_few_rows, no_filing_week, or no_latest_close.
     """
     keys = [*PAIR, "end_date"]
     pairs = pairs.select(*keys)
     rows = model_rows(weekly, counts, pairs)
-    latest = latest_features(weekly, counts, prices, pairs, opposite_type)
+    latest = latest_features(weekly, counts, prices, pairs, opposite_type, asof_close)
     asked = latest.withColumn(TARGET, F.lit(None).cast("double")).withColumn("part", F.lit("latest"))
     both = rows.unionByName(asked)
     scored = fit_predict(both, keys, model_type, ask="latest")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import SPLIT_SEED, TRAINING_WARMUP
 from ..functions.scalars import mean_absolute_error, packed_date, weeks_after
+from ..operators.joins import asof_merge
 from ..operators.regression import fitted, fitted_so_far, predicted
 from ..operators.trees import predict_with_trees
 from ..operators.windows import interpolate_linear, trailing_mean, value_weeks_ahead
@@ -100,10 +101,11 @@ def scoring_set(weekly, counts, pairs, cutoff=None):
     return rows.withColumn("prediction_date", weeks_after("week_opening_date", "time_delay")).drop("part")
 
 
-def latest_features(weekly, counts, prices, pairs, opposite_type=False):
+def latest_features(weekly, counts, prices, pairs, opposite_type=False, asof_close=False):
     """Last lagged rolling rate up to the pair's end date, with the close of that very day.
 
-    ``opposite_type`` uses the other filing type's counts for the rate.
+    ``opposite_type`` uses the other filing type's counts for the rate. With ``asof_close`` the close is the
+    last one up to the end date, so that a pair whose symbol did not trade on that day keeps its row.
     """
     keys = [*PAIR, "end_date"]
     rates = mention_rates(counts).withColumnsRenamed({"filing_type": "_type"})
@@ -119,8 +121,13 @@ def latest_features(weekly, counts, prices, pairs, opposite_type=False):
     last = rolled.groupBy(*keys).agg(
         F.max(F.struct("week_opening_date", "mention_rolling_avg")).alias("_last")
     )
-    closes = prices.select("stock_symbol", F.col("created_at").alias("end_date"), "close_price")
-    return last.join(closes, ["stock_symbol", "end_date"]).select(
+    if asof_close:
+        dated = asof_merge(last, prices.select("stock_symbol", "created_at", "close_price"), "stock_symbol", "end_date", "created_at",
+                           ["close_price"], direction="backward", strict=False)
+        dated = dated.withColumnRenamed("last_close_price", "close_price").filter(F.col("close_price").isNotNull())
+    else:
+        dated = last.join(prices.select("stock_symbol", F.col("created_at").alias("end_date"), "close_price"), ["stock_symbol", "end_date"])
+    return dated.select(
         *keys, F.col("_last.week_opening_date").alias("week_opening_date"),
         packed_date("_last.week_opening_date").alias("current_week"),
         F.col("_last.mention_rolling_avg").alias("mention_rolling_avg"),
