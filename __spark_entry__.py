@@ -22,7 +22,7 @@ from tickerloom.functions.text import html_to_text
 from tickerloom.operators import joins, ranking, setops, windows
 from tickerloom.plans import (
     backtest, correlation, filings as filing_plans, fundamentals, keywords, pairs as pair_plans, recommend,
-    reference_data, training, weekly,
+    reference_data, refresh, training, weekly,
 )
 from tickerloom.sources import derived as D
 from tickerloom.sources import landing, tables
@@ -564,6 +564,30 @@ def q_replace_table(spark, sf):
     return spark.read.parquet(path)
 
 
+def _nights(df, day):
+    """The rows as they land: history, then two batches with rows that are late by a month, then the second batch again."""
+    at = F.col(day)
+    late = (at >= "2000-12-01") & (at < "2001-01-01") & (F.dayofmonth(at) % 5 == 0)
+    second = late | ((at >= "2001-01-01") & (at < "2001-07-01"))
+    return [df.filter((at < "2001-01-01") & ~late), df.filter(second), df.filter(at >= "2001-07-01"), df.filter(second)]
+
+
+def q_refresh_weekly_prices(spark, sf):
+    prices = D.prices(spark, sf)
+    store, weeks = landing.place(spark, "prices"), landing.place(spark, "weekly-prices")
+    for night in _nights(prices, "created_at"):
+        refresh.refresh_weekly_prices(night, store, weeks)
+    return spark.read.schema(weekly.weekly_prices(prices).schema).parquet(weeks)
+
+
+def q_refresh_keyword_counts(spark, sf):
+    filed = D.filings(spark, sf)
+    store, counts = landing.place(spark, "filings"), landing.place(spark, "keyword-counts")
+    for night in _nights(filed, "filing_date"):
+        refresh.refresh_keyword_counts(night, store, counts, KEYWORDS)
+    return spark.read.schema(_counts(spark, sf).schema).parquet(counts)
+
+
 # ---- primitives with semantics of their own --------------------------------------
 
 def q_lag_join(spark, sf):

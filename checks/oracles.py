@@ -1019,5 +1019,6 @@ O["landed_symbol_ciks_rejects"] = """
 SELECT reason, count(*) AS records FROM (
   SELECT 'unreadable' AS reason FROM (SELECT DISTINCT s_nationkey FROM supplier) WHERE s_nationkey % 5 = 3
   UNION ALL SELECT 'no usable value: cik' FROM supplier WHERE s_nationkey % 5 <> 3 AND s_suppkey % 9 = 4) GROUP BY reason"""
-O["append_twice"] = O["weekly_prices"]
+O["append_twice"] = O["refresh_weekly_prices"] = O["weekly_prices"]
+O["refresh_keyword_counts"] = O["keyword_weekly_counts"]
 O["replace_table"] = "SELECT printf('S%06d', s_suppkey) AS stock_symbol, s_name AS company_name FROM supplier"

@@ -6,7 +6,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from tickerloom import schemas
-from tickerloom.plans import filings, reference_data, weekly
+from tickerloom.plans import filings, reference_data, refresh, weekly
 from tickerloom.sources import tables
 from tickerloom.streaming import ingest
 
@@ -72,7 +72,45 @@ def test_streaming_ingest_takes_each_file_once(spark, tmp_path):
     for day in (1, 2):
         (tmp_path / "in" / f"{day}.csv").write_text(head + f"2001-01-0{day},1,2,0.5,1.5,10,A\n")
         ingest.ingest_daily_prices(spark, landed, schemas.LANDED_PRICES, out, mark).awaitTermination(60)
-    assert spark.read.parquet(out).count() == 2
+    # a file that repeats a day, and corrects another one
+    (tmp_path / "in" / "3.csv").write_text(head + "2001-01-02,1,2,0.5,1.5,10,A\n2001-01-01,1,2,0.5,7.5,10,A\n")
+    ingest.ingest_daily_prices(spark, landed, schemas.LANDED_PRICES, out, mark).awaitTermination(60)
+    assert sorted((r["created_at"].day, r["close_price"]) for r in spark.read.parquet(out).collect()) == [(1, 7.5), (2, 1.5)]
+
+
+def test_refresh_replaces_only_the_weeks_it_touches(spark, tmp_path):
+    store, weeks = str(tmp_path / "store"), str(tmp_path / "weeks")
+
+    def night(*rows):
+        df = spark.createDataFrame([("A", date(2001, 1, d), float(o), float(c)) for d, o, c in rows],
+                                   "stock_symbol string, created_at date, open_price double, close_price double")
+        refresh.refresh_weekly_prices(df, store, weeks)
+        return {r["week_opening_date"]: (r["week_open_price"], r["week_close_price"]) for r in spark.read.parquet(weeks).collect()}
+
+    first = night((2, 10, 11), (3, 12, 13), (9, 20, 21))
+    assert first == {date(2001, 1, 1): (10.0, 13.0), date(2001, 1, 8): (20.0, 21.0)}
+    untouched = sorted((tmp_path / "weeks" / "week_opening_date=2001-01-01").iterdir())
+    assert night((8, 18, 19), (16, 30, 31)) == first | {date(2001, 1, 8): (18.0, 21.0), date(2001, 1, 15): (30.0, 31.0)}
+    assert sorted((tmp_path / "weeks" / "week_opening_date=2001-01-01").iterdir()) == untouched
+    again = night((8, 18, 19), (16, 30, 31))
+    assert again == night((8, 18, 19), (16, 30, 31), (8, 18, 19)) and spark.read.parquet(store).count() == 5
+    # a late row and a corrected one
+    assert night((1, 5, 6), (3, 12, 14))[date(2001, 1, 1)] == (5.0, 14.0)
+
+
+def test_checked_readers_split_rows_and_rejects(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("Date,Open,High,Low,Close,Volume,Symbol\n2001-01-01,1,2,0.5,1.5,10,A\n2001-01-02,1,2,0.5,x,10,A\n2001-01-03,1\n")
+    rows, rejects = tables.read_csv_checked(spark, str(tmp_path / "p.csv"), schemas.LANDED_PRICES)
+    assert [r["Close"] for r in rows.collect()] == [1.5]
+    got = sorted((r["file"], r["record"], r["reason"]) for r in rejects.collect())
+    assert got == [("p.csv", "2001-01-02,1,2,0.5,x,10,A", "no usable value: Close"), ("p.csv", "2001-01-03,1", "no usable value: High,Low,Close,Volume,Symbol")]
+    tree = tmp_path / "tree"
+    for cik, text in (("0000012345", submission("10-K")), ("0000012346", "nothing"), ("x", submission("10-K"))):
+        (tree / cik / "10-K" / "0000012345-01-000001").mkdir(parents=True)
+        (tree / cik / "10-K" / "0000012345-01-000001" / "full-submission.txt").write_text(text)
+    whole, odd = tables.read_submissions_checked(spark, str(tree))
+    assert [r["content"] for r in whole.collect()] == [submission("10-K")]
+    assert sorted(r["reason"] for r in odd.collect()) == ["no usable value: document", "no usable value: number"]
 
 
 def test_weekly_stream_equals_batch(spark, tmp_path):

@@ -2,18 +2,21 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import week_of
+from ..plans.refresh import merge_weeks
 from ..plans.weekly import daily_prices_ingest
 
 
 def ingest_daily_prices(spark, landed_path, schema, out_path, checkpoint_path):
     """Take in the landed files not seen before, then stop.
 
-    Each batch owns one partition folder, so a retried batch replaces its own rows only.
+    A batch is merged into the weeks it touches, so a retried batch, or a row that lands in two files, stands once.
     """
     landed = spark.readStream.schema(schema).option("header", True).csv(landed_path)
 
     def write(batch, batch_id):
-        daily_prices_ingest(batch).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        rows = daily_prices_ingest(batch).withColumn("week_opening_date", week_of("created_at"))
+        merge_weeks(rows, out_path, ["stock_symbol", "created_at"], "week_opening_date")
 
     return (
         landed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_path)
