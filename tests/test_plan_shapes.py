@@ -19,7 +19,8 @@ BOUNDED = {"week_lead", "backtest_trades", "backtest_curve", "curve_with_index",
            "top_pairs_today", "buy_recommendations", "keyword_occurrences", "last_week_returns", "buy_date",
            "index_returns", "recent_closes", "topk_keyword_correlations", "discount_screen_page",
            "topk_keyword_correlations_across", "mention_chart", "mention_chart_return", "backtest_predictions",
-           "pair_correlation", "backtest_chain_trades", "backtest_chain_curve"}
+           "pair_correlation", "backtest_chain_trades", "backtest_chain_curve",
+           "backtest_chain_returns_vs_index", "allocation_chain_returns", "backtest_trades_display"}
 
 # these run jobs while they are built and end in a scan of what those wrote; their steps have tests below and of their own
 STEPWISE = ("decision_tree", "random_forest", "landed_", "refresh_", "append_twice", "replace_table")
