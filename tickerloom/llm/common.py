@@ -54,9 +54,13 @@ def landed(df, name):
 BROADCAST_ROWS = 500_000
 
 
-def broadcast_checked(df, most=BROADCAST_ROWS):
-    """Mark a landed table for broadcast after counting it; one with more rows is left to the optimizer."""
-    return F.broadcast(df) if df.count() <= most else df
+def broadcast_checked(df, most=BROADCAST_ROWS, cells=None):
+    """Mark a landed table for broadcast after counting it; one with more rows is left to the optimizer.
+
+    ``cells`` names an array column whose entries count as rows as well.
+    """
+    size = F.lit(1) if cells is None else 1 + F.greatest(F.size(cells), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df
 
 
 def give_back():
