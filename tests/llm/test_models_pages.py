@@ -155,3 +155,40 @@ def test_equivalence_classes_and_their_validity(spark):
     swapped = pages.unionByName(spark.createDataFrame([(9, "http://a.example/", "<div class=b>9</div><div class=a><p>x</p></div>")], pages.schema))
     again = html_text.equivalence_classes(swapped)
     assert 0 not in {r["class"] for r in html_text.valid_classes(swapped, again).collect()}
+
+
+@pytest.mark.parametrize("text", ["", None, "A bc", "ÄÖ 終わり  x\ty", "aXa" * 40, "\U0001f600 é" * 9])
+def test_toxicity_features_are_n_grams_of_characters(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in f" {' '.join((text or '').split())} ")
+    want = set()
+    for n in toxicity.GRAMS:
+        for i in range(len(low) - n + 1):
+            h = 0
+            for c in low[i:i + n]:
+                h = (h * 0x01000193 + ord(c)) & 0xFFFFFFFF
+            k = ((h ^ n) * 0x85EBCA6B) & 0xFFFFFFFF
+            k ^= k >> 13
+            want.add(((k * 0xC2B2AE35) & 0xFFFFFFFF) >> (32 - toxicity.BITS))
+    assert toxicity.features(text).tolist() == sorted(want)
+
+
+def test_toxicity_weights_beside_plain_gradients():
+    rnd = np.random.default_rng(3)
+    rows = [np.flatnonzero(np.r_[rnd.random(40) < 0.3, y, not y]).astype(np.uint32) for y in [0, 1] * 60]
+    y = np.array([0, 1] * 60)
+    weights, bias = toxicity.fit(rows, y)
+    x = np.zeros((len(y), 42))
+    for i, r in enumerate(rows):
+        x[i, r] = 1
+    size = 1 << toxicity.BITS
+    ratio = (np.log((x[y == 1].sum(0) + 1) / (x[y == 1].sum() + size)) - np.log((x[y == 0].sum(0) + 1) / (x[y == 0].sum() + size)))
+    share, gap = x.mean(0), np.abs(x[y == 1].mean(0) - x[y == 0].mean(0))
+    ratio[gap < toxicity.LEAST_Z * (np.sqrt(share * (1 - share) * (1 / 60 + 1 / 60)) + 1e-12)] = 0
+    w, b, m, v = np.zeros(42), 0.0, np.zeros(43), np.zeros(43)
+    for step in range(1, toxicity.STEPS + 1):
+        d = (1 / (1 + np.exp(-(x * ratio @ w + b))) - y) / len(y)
+        g = np.append((x * ratio).T @ d + toxicity.PENALTY * w, d.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        move = toxicity.RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w, b = w - move[:-1], b - move[-1]
+    assert np.allclose(weights[:42], w * ratio, atol=1e-6) and abs(bias - b) < 1e-9 and np.count_nonzero(weights) == 2

@@ -1,7 +1,7 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the presence of hashed n-grams of 3 to 6 bytes of the A-Z lowered text with white space as
-one blank. Each is scaled by the log ratio of its smoothed share among toxic and other labelled
+Features are the presence of hashed n-grams of 3 to 6 characters (code points) of the A-Z lowered text with
+white space as one blank. Each is scaled by the log ratio of its smoothed share among toxic and other labelled
 texts, and a logistic regression with an L2 penalty is fitted on the scaled features. Features
 whose shares of texts differ by less than ``LEAST_Z`` standard errors are noise that adds up in
 long texts; they get weight 0.
@@ -26,9 +26,9 @@ from .quality import training_rows
 
 TRAIN_DOCS = 2000
 GRAMS = (3, 4, 5, 6)
-BITS = 18
-STEPS, RATE, PENALTY = 120, 0.05, 1e-4
-LEAST_Z = 4.5
+BITS = 20
+STEPS, RATE, PENALTY = 120, 0.05, 1e-2
+LEAST_Z = 4.0
 
 _P = np.uint32(0x01000193)
 _SEEN = np.zeros(1 << BITS, np.bool_)
@@ -36,8 +36,8 @@ _SEEN = np.zeros(1 << BITS, np.bool_)
 
 def features(text):
     """Sorted distinct features of a whole text."""
-    raw = b" " + b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()) + b" "
-    b = np.frombuffer(raw, np.uint8).astype(np.uint32)
+    b = np.frombuffer(f" {' '.join((text or '').split())} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    b = np.where((b >= 65) & (b <= 90), b + np.uint32(32), b)
     n_most = max(GRAMS)
     h = np.zeros(len(b), np.uint32)
     for n in range(1, min(n_most, len(b)) + 1):
