@@ -140,3 +140,16 @@ def test_the_cache_may_overflow():
 def test_telling_words_of_a_license_must_match(spark, text, labels):
     df = H.docs(spark, [(1, f"{H.sentence(1, 20)} {text} {H.sentence(2, 20)}", "en", "s"), (None, text, None, None)])
     assert {r.labels for r in licenses.license_scan(df).collect()} == {labels}
+
+
+def test_the_frequent_table_is_bounded_and_unshuffled(spark, monkeypatch):
+    rows = [(i, f"common {H.sentence(i, 40)} common", "en", "s") for i in range(60)] + [(None, None, None, None)]
+    df = H.docs(spark, rows)
+    found = token_counts.frequent_lengths(df, entries=50, sample_docs=1000)
+    library = token_counts.tokenizer()
+    assert len(found) == 50 and "common" in found
+    assert all(n == len(library.encode(w, add_special_tokens=False).ids) for w, n in found.items())
+    # what the table holds changes no count
+    want = sorted(map(tuple, token_counts.count_tokens(df.filter("doc_id IS NOT NULL")).collect()))
+    monkeypatch.setattr(token_counts, "frequent_lengths", lambda *a, **k: {})
+    assert sorted(map(tuple, token_counts.count_tokens(df.filter("doc_id IS NOT NULL")).collect())) == want

@@ -1,18 +1,19 @@
 """Exact token counts by a two-tier lookup on the map side; no pre-token is ever shuffled.
 
 Tier one is a broadcast table of frequent pre-tokens and their lengths in tokens, at most
-``FREQUENT`` entries. It is filled from a bounded sample of documents and serves speed only:
-it can change no count. Tier two is a cache in each worker; a pre-token in neither is
+``FREQUENT`` entries. It is filled from a bounded sample of documents, of which each task sends its own most
+frequent pre-tokens to the driver, by the number of its documents; it serves speed only and can change no count, ties included. Tier two is a cache in each worker; a pre-token in neither is
 encoded by the tokenizer library. Pre-tokens here are the runs between white space, which
 this tokenizer never joins. Texts with a special token's string, or with characters outside
 the range in which white space and normal forms are beyond doubt, are encoded whole.
 
-Null texts count as empty (0 tokens, 0 bytes). Repeated documents get a row each; further
+Null texts count as empty (0 tokens, 0 bytes), null ids stay null; very long texts are counted whole. Repeated documents get a row each; further
 columns are ignored; an empty table gives an empty result.
 """
 
 import os
 import re
+from collections import Counter as Tally
 
 import pandas as pd
 import pyarrow as pa
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Entries of the broadcast table, and documents its sample is expected to hold.
 FREQUENT, SAMPLE_DOCS = 50_000, 5_000
+#: Entries a task with sampled documents may send, besides 4 * FREQUENT / SAMPLE_DOCS for each of them.
+LEAST_A_TASK = 64
 #: Entries after which a worker's cache starts anew.
 CACHE = 500_000
 #: Characters outside this range are left to the library: controls, rare spaces, all beyond Latin.
@@ -87,22 +90,25 @@ def frequent_lengths(docs, path=None, text="text", entries=FREQUENT, sample_docs
     rows = docs.count()
     if not rows:
         return {}
-    some = docs.select(text).sample(fraction=min(1.0, sample_docs / rows), seed=8)
+    some = docs.select(F.col(text).alias("text")).sample(fraction=min(1.0, sample_docs / rows), seed=8)
+    each = max(1, 4 * entries // sample_docs)
 
     def parts(batches):
-        from collections import Counter as Tally
-
-        tally = Tally()
+        tally, seen = Tally(), 0
         for b in batches:
-            for t in b[text]:
+            seen += len(b)
+            for t in b["text"]:
                 if t and PLAIN.fullmatch(t):
                     tally.update(t.split())
-        yield pd.DataFrame(tally.most_common(entries), columns=["part", "n"])
-
-    # at most `entries` rows a task of the bounded sample
-    top = (some.mapInPandas(parts, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "part").limit(entries).select("part").collect())
-    words = [r.part for r in top]
+        if tally:
+            found = tally.most_common(LEAST_A_TASK + each * seen)
+            yield pd.DataFrame({"parts": [[p for p, _ in found]], "n": [[n for _, n in found]]})
+
+    tally = Tally()
+    for r in some.mapInPandas(parts, "parts array<string>, n array<long>").collect():
+        for part, n in zip(r.parts, r.n):
+            tally[part] += n
+    words = sorted(tally, key=lambda w: (-tally[w], w))[:entries]
     return {w: len(e.ids) for w, e in zip(words, tokenizer(path).encode_batch_fast(words, add_special_tokens=False))}
 
 
