@@ -188,6 +188,12 @@ def q_topk_correlations_inverse(spark, sf):
     return correlation.top_scores(_grid(spark, sf), "asc")
 
 
+def q_topk_correlations_across(spark, sf):
+    found = correlation.range_correlations(
+        _weekly(spark, sf), _counts(spark, sf), LAGS, KEYWORDS, SINCE, AS_OF, TYPES, across_symbols=True)
+    return correlation.top_scores(found, "both")
+
+
 def q_topk_correlations_backfill(spark, sf):
     return correlation.top_scores(_backfill(spark, sf), "desc")
 

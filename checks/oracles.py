@@ -122,6 +122,13 @@ SELECT *, row_number() OVER (PARTITION BY {combo} ORDER BY correlation DESC, sto
 FROM {source}"""
 
 
+BLOCKS["across"] = f"""
+SELECT stock_symbol, keyword, filing_type, time_delay, DATE '{SINCE}' AS start_date, DATE '{AS_OF}' AS end_date,
+       round({corr('week_close_price', 'rolling')}, 12) AS correlation
+FROM (SELECT *, avg(mention_rate) OVER (PARTITION BY keyword, filing_type, time_delay
+             ORDER BY stock_symbol, week_opening_date ROWS 12 PRECEDING) AS rolling FROM lagged)
+GROUP BY 1, 2, 3, 4 HAVING correlation IS NOT NULL"""
+BLOCKS["across_ranked"] = _ranked("across")
 BLOCKS["grid_ranked"] = _ranked("grid")
 BLOCKS["backfill_ranked"] = _ranked("backfill")
 _SCORE = "stock_symbol, keyword, filing_type, time_delay, start_date, end_date, round_even(correlation, 4) AS correlation"
@@ -541,7 +548,7 @@ BLOCKS["chain_allocation"] = BLOCKS["allocation"].replace("FROM recs)", "FROM ch
 NEEDS = {
     "index_prices": ["prices"], "weekly": ["prices"], "counts": ["filings", "kw"],
     "lagged": ["weekly", "lags", "counts"], "starts": ["prices"], "rolled": ["lagged", "starts"], "grid": ["rolled"],
-    "ends": ["weekly"], "backfill": ["rolled", "ends"], "grid_ranked": ["grid"], "backfill_ranked": ["backfill"],
+    "across": ["lagged"], "across_ranked": ["across"], "ends": ["weekly"], "backfill": ["rolled", "ends"], "grid_ranked": ["grid"], "backfill_ranked": ["backfill"],
     "grid_scores": ["grid_ranked"], "backfill_scores": ["backfill_ranked"], "eligible": ["grid_scores"],
     "top_pairs": ["eligible"], "dated_eligible": ["backfill_scores"], "dated_pool": ["dated_eligible"],
     "dated_pairs": ["dated_pool"], "shifted_pairs": ["dated_pairs"], "peaks": ["prices"], "screen_peaks": ["prices"],
@@ -621,6 +628,9 @@ _SC = f"{_pair_out()}, round_even(correlation, 4) AS correlation"
 O["topk_correlations"] = twin(["grid_ranked"], f"SELECT {_SC}, 'direct' AS direction FROM grid_ranked WHERE d <= 10")
 O["topk_correlations_inverse"] = twin(["grid_ranked"], f"SELECT {_SC}, 'inverse' AS direction FROM grid_ranked WHERE i <= 10")
 O["topk_correlations_backfill"] = twin(["backfill_ranked"], f"SELECT {_SC}, 'direct' AS direction FROM backfill_ranked WHERE d <= 10")
+O["topk_correlations_across"] = twin(["across_ranked"], f"""
+SELECT {_SC}, 'direct' AS direction FROM across_ranked WHERE d <= 10
+UNION ALL SELECT {_SC}, 'inverse' FROM across_ranked WHERE i <= 10""")
 O["month_starts"] = twin(["starts"], f"SELECT {_dates('start_date')} FROM starts")
 O["week_calendar"] = twin(["weekly"], f"SELECT DISTINCT {_dates('week_opening_date')} FROM weekly WHERE week_opening_date BETWEEN DATE '1998-01-01' AND DATE '{AS_OF}'")
 

@@ -157,3 +157,23 @@ def test_walk_forward_uses_earlier_weeks_only(spark):
         assert r["predicted_price"] == pytest.approx(got[w]["predicted_price"])
     with pytest.raises(ValueError):
         training.walk_forward(wk, cn, pair, weeks[30], "random_forest")
+
+
+def test_one_range_equals_the_grid_at_its_first_start(spark):
+    from tickerloom.plans import correlation
+    start, end = "2020-01-01", "2020-12-28"
+    mondays = [date(2020, 1, 6) + timedelta(weeks=k) for k in range(51)]
+    wk = spark.createDataFrame([(s, w, float((k * 7 + ord(s)) % 13 + k)) for s in "ABC" for k, w in enumerate(mondays)],
+                               "stock_symbol string, week_opening_date date, week_close_price double")
+    cn = spark.createDataFrame([(w, t, kw, (k * 5 + len(kw)) % 9 + 1, 10) for k, w in enumerate(mondays) for t in ("10-K", "10-Q") for kw in ("war", "peace")],
+                               "filing_week date, filing_type string, keyword string, keyword_mentions long, total_filings long")
+    starts = spark.createDataFrame([(date(2020, 1, 1),)], "start_date date")
+    grid = correlation.correlation_grid(wk, cn, starts, start, end, [1, 2], ["war", "peace"], ["10-K", "10-Q"])
+    own = correlation.range_correlations(wk, cn, [1, 2], ["war", "peace"], start, end, ["10-K", "10-Q"])
+    across = correlation.range_correlations(wk, cn, [1, 2], ["war", "peace"], start, end, ["10-K", "10-Q"], across_symbols=True)
+    value = lambda df: {tuple(r[c] for c in correlation.SERIES): r.correlation for r in df.collect()}
+    a, b, c = value(grid), value(own), value(across)
+    assert len(a) == 24 and a.keys() == b.keys() == c.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    # only the first symbol of a combination has nothing carried into it
+    assert all((abs(b[k] - c[k]) < 1e-9) == (k[0] == "A") for k in a)
+    assert correlation.range_correlations(wk.limit(0), cn, [1], ["war"], start, end, across_symbols=True).count() == 0

@@ -143,6 +143,23 @@ def correlation_grid(weekly, counts, starts, since, as_of, lags, keywords, filin
     )
 
 
+def range_correlations(weekly, counts, lags, keywords, start, end, filing_types=FILING_TYPES, across_symbols=False):
+    """Correlation per symbol, keyword, type and lag over one range of weeks, in the form of the grid.
+
+    ``across_symbols`` lets the rolling mean of a combination run on from symbol to symbol.
+    """
+    rows = lagged_mentions(weekly, counts, lags, keywords, filing_types, start, end)
+    order = ["week_opening_date"]
+    if across_symbols:
+        rolled = trailing_mean_across_series(
+            rows, ["keyword", "filing_type", "time_delay"], ["stock_symbol"], order, "mention_rate", "rolling")
+    else:
+        rolled = trailing_mean(rows, SERIES, order, "mention_rate", "rolling")
+    found = rolled.groupBy(*SERIES).agg(safe_corr("week_close_price", "rolling").alias("correlation"))
+    return found.filter(F.col("correlation").isNotNull()).select(
+        *SERIES, F.to_date(F.lit(str(start))).alias("start_date"), F.to_date(F.lit(str(end))).alias("end_date"), "correlation")
+
+
 #: Terms of a correlation that add up over rows.
 MOMENTS = ("n", "x", "y", "xx", "yy", "xy")
 
