@@ -348,3 +348,63 @@ def test_range_correlations_match_one_series_a_range(spark):
                     assert want is None or got[symbol, s, e] == pytest.approx(want, abs=1e-9)
                     seen += 1
     assert seen == len(got) and seen > 300 and any(v is None for v in got.values())
+
+
+def test_grids_in_tasks_match_the_joined_rows(spark, monkeypatch):
+    import random
+
+    from tickerloom.operators import correlate
+    rnd, words, kinds, lags = random.Random(5), ["ion", "war"], ["10-K", "10-Q"], [1, 4]
+    closes = [(s, w, 1.0, None if s == "B" and rnd.random() < 0.1 else 5.0 if s == "C" else rnd.uniform(1, 9))
+              for s in ["A", "B", "C", "D", None] for w in weeks(80) if rnd.random() < 0.8]
+    # one keyword has rows in weeks where the other has none
+    counted = [(w, t, k, rnd.randint(0, 3), 4) for w in weeks(80) for t in kinds for k in words if rnd.random() < (0.9 if k == "ion" else 0.7)]
+    wk, cn = spark.createDataFrame(closes, schemas.WEEKLY_PRICES), spark.createDataFrame(counted, schemas.KEYWORD_WEEKLY_COUNTS)
+    starts = spark.createDataFrame([(date(2001, m, 1),) for m in range(1, 13)], "start_date date")
+    since, as_of, key = "2001-01-01", "2002-06-30", [*correlation.SERIES, "start_date", "end_date"]
+    series = correlation.lagged_mentions(wk, cn, lags, words, kinds, since, as_of)
+
+    def same(grid, plain):
+        got, want = ({tuple(r[c] for c in key): r["correlation"] for r in df.collect()} for df in (grid, plain))
+        assert got.keys() == want.keys() and len(want) > 50
+        assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+        return want
+
+    for chunk in (1, 100_000):  # symbols of a task one by one, or together
+        monkeypatch.setattr(correlate, "CHUNK_ROWS", chunk)
+        plain = correlation.correlations_by_start(series, since).filter("correlation IS NOT NULL").join(starts, "start_date", "left_semi")
+        plain = plain.filter("start_date <= date'2002-01-01'").withColumn("end_date", F.to_date(F.lit(as_of)))
+        same(correlation.correlation_grid(wk, cn, starts, since, as_of, lags, words, kinds), plain)
+        plain = correlation.correlations_by_range(series, since, as_of, "2001-06-01").filter("correlation IS NOT NULL")
+        plain = plain.join(wk.select(F.col("week_opening_date").alias("end_date")).distinct(), "end_date", "left_semi").join(starts, "start_date", "left_semi")
+        same(correlation.backfill_grid(wk, cn, starts, since, as_of, "2001-06-01", lags, words, kinds), plain)
+
+
+def test_rows_left_out_by_tasks_change_no_ranking(spark):
+    rows = [(f"S{i:02d}", w, 1.0, float((i * i * 7 + k * (i % 5 + 3)) % 13)) for i in range(40) for k, w in enumerate(weeks(60))]
+    rows += [(f"T{r[0]}", *r[1:]) for r in rows]  # equal scores under other symbols
+    wk = spark.createDataFrame(rows, schemas.WEEKLY_PRICES)
+    cn = spark.createDataFrame([(w, "10-K", "ion", k * 5 % 7, 7) for k, w in enumerate(weeks(60))], schemas.KEYWORD_WEEKLY_COUNTS)
+    starts = spark.createDataFrame([(date(2001, m, 1),) for m in range(1, 7)], "start_date date")
+
+    def grid(best):
+        return correlation.correlation_grid(wk, cn, starts, "2001-01-01", "2002-03-01", [1, 2], ["ion"], ["10-K"], best=best)
+
+    for direction in ("desc", "asc", "both"):
+        every, kept = grid(None), grid((2, direction))
+        order = [*correlation.COMBINATION, "stock_symbol", "correlation"]
+        best = [sorted(values(correlation.top_scores(df, direction, 2), *order)) for df in (every, kept)]
+        assert best[0] == best[1] and len(best[0]) == 24 * (2 if direction == "both" else 1)
+        assert kept.count() < every.count()
+
+
+def test_closes_are_shuffled_before_they_meet_keywords_and_lags(spark):
+    wk = spark.createDataFrame([("A", MONDAY, 1.0, 2.0)], schemas.WEEKLY_PRICES)
+    cn = spark.createDataFrame([(MONDAY, "10-K", "ion", 1, 2)], schemas.KEYWORD_WEEKLY_COUNTS)
+    starts = spark.createDataFrame([(MONDAY,)], "start_date date")
+    text = correlation.correlation_grid(wk, cn, starts, "2001-01-01", "2002-03-01", [1, 2], ["ion"])._jdf.queryExecution().executedPlan().toString()
+    assert text.count("REPARTITION_BY_NUM") == 1 and "Window" not in text
+    scores = spark.range(3).selectExpr("'A' stock_symbol", "'k' keyword", "'10-K' filing_type", "1 time_delay", "date'2001-01-01' start_date",
+                                       "date'2001-10-01' end_date", "0.5D correlation", "if(id = 0, 'direct', 'inverse') direction")
+    for best in (pairs.top_pairs(scores, "2002-03-01"), pairs.top_pairs_by_end_date(scores, "2002-03-01")):
+        assert best._jdf.queryExecution().executedPlan().toString().count("Range") == 1
