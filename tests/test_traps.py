@@ -408,3 +408,29 @@ def test_closes_are_shuffled_before_they_meet_keywords_and_lags(spark):
                                        "date'2001-10-01' end_date", "0.5D correlation", "if(id = 0, 'direct', 'inverse') direction")
     for best in (pairs.top_pairs(scores, "2002-03-01"), pairs.top_pairs_by_end_date(scores, "2002-03-01")):
         assert best._jdf.queryExecution().executedPlan().toString().count("Range") == 1
+
+
+def test_rolling_mentions_in_tasks_match_the_joined_rows(spark, monkeypatch):
+    import random
+
+    from tickerloom.operators import correlate
+    rnd = random.Random(6)
+    closes = [(s, w, 1.0, None if rnd.random() < 0.1 else rnd.uniform(1, 9)) for s in ["A", "B", None] for w in weeks(40) if rnd.random() < 0.8]
+    counted = [(w, t, k, rnd.randint(0, 3), rnd.choice([0, 4])) for w in weeks(40) for t in ("10-K", "10-Q") for k in ("ion", "war") if rnd.random() < 0.8]
+    wk, cn = spark.createDataFrame(closes, schemas.WEEKLY_PRICES), spark.createDataFrame(counted, schemas.KEYWORD_WEEKLY_COUNTS)
+    rows = correlation.lagged_mentions(wk, cn, [1, 3])
+    want = windows.trailing_mean(rows, correlation.SERIES, ["week_opening_date"], "mention_rate", "mention_rolling_avg")
+    for chunk in (1, 100_000):  # symbols of a task one by one, or together
+        monkeypatch.setattr(correlate, "CHUNK_ROWS", chunk)
+        got = correlation.rolling_mentions(wk, cn, [1, 3])
+        assert got.columns == want.columns and got.count() == want.count() > 100
+        assert got.exceptAll(want).count() == 0 and got.exceptAll(want).count() == 0
+        assert got._jdf.queryExecution().executedPlan().toString().count("Window") == 0
+
+
+def test_chosen_pairs_are_computed_once(spark):
+    import __spark_entry__ as entry
+    sf = "/root/testdata/sf0.001"
+    for name in ("buy_recommendations", "backtest_chain_returns_vs_index"):
+        text = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "Scan ExistingRDD" in text and "MapInArrow" not in text
