@@ -434,3 +434,22 @@ def test_chosen_pairs_are_computed_once(spark):
     for name in ("buy_recommendations", "backtest_chain_returns_vs_index"):
         text = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Scan ExistingRDD" in text and "MapInArrow" not in text
+
+
+def test_shares_of_a_small_table_are_joined_and_leave_out_more(spark, monkeypatch):
+    from tickerloom.operators import correlate
+    rows = [(f"S{i:02d}", w, 1.0, float((i * i * 7 + k * (i % 5 + 3)) % 13 + i / 100)) for i in range(40) for k, w in enumerate(weeks(60))]
+    wk = spark.createDataFrame(rows, schemas.WEEKLY_PRICES)
+    cn = spark.createDataFrame([(w, "10-K", "ion", k * 5 % 7, 7) for k, w in enumerate(weeks(60))], schemas.KEYWORD_WEEKLY_COUNTS)
+    starts = spark.createDataFrame([(date(2001, 1, 1),)], "start_date date")
+
+    def grid(best):
+        return correlation.correlation_grid(wk, cn, starts, "2001-01-01", "2002-03-01", [1], ["ion"], ["10-K"], best=best)
+
+    order = [*correlation.COMBINATION, "stock_symbol", "correlation"]
+    want = values(correlation.top_scores(grid(None), "both", 3), *order)
+    assert sorted(values(correlation.top_scores(grid((3, "both")), "both", 3), *order)) == sorted(want)
+    assert grid((3, "both")).count() == 6  # four shares apart left out none but their own, 24 rows
+    monkeypatch.setattr(correlate, "CHUNK_ROWS", 300)  # what earlier chunks found leaves out rows of later ones
+    assert grid((3, "both")).count() < 30
+    assert sorted(values(correlation.top_scores(grid((3, "both")), "both", 3), *order)) == sorted(want)
