@@ -453,3 +453,39 @@ def test_shares_of_a_small_table_are_joined_and_leave_out_more(spark, monkeypatc
     monkeypatch.setattr(correlate, "CHUNK_ROWS", 300)  # what earlier chunks found leaves out rows of later ones
     assert grid((3, "both")).count() < 30
     assert sorted(values(correlation.top_scores(grid((3, "both")), "both", 3), *order)) == sorted(want)
+
+
+def test_means_across_symbols_in_tasks_match_the_joined_rows(spark, monkeypatch):
+    import random
+
+    from tickerloom.operators import correlate
+    rnd = random.Random(8)
+    # symbols of one or two weeks between long ones, a flat one, weeks without prices, rates or filings
+    lengths = {"A": 40, "B": 1, "C": 2, "D": 1, "E": 30, "F": 1, "G": 40, "H": 3}
+    closes = [(s, w, 1.0, None if rnd.random() < 0.1 else 5.0 if s == "E" else rnd.uniform(1, 9)) for s, n in lengths.items() for w in weeks(n) if n < 4 or rnd.random() < 0.8]
+    counted = [(w - timedelta(weeks=2), t, k, rnd.randint(0, 3), rnd.choice([0, 4])) for w in weeks(42) for t in ("10-K", "10-Q") for k in ("ion", "war")
+               if rnd.random() < (0.9 if k == "ion" else 0.5)]
+    wk, cn = spark.createDataFrame(closes, schemas.WEEKLY_PRICES), spark.createDataFrame(counted, schemas.KEYWORD_WEEKLY_COUNTS)
+    since, as_of, words, kinds = "2001-01-01", "2001-12-31", ["ion", "war"], ["10-K", "10-Q"]
+    rows = correlation.lagged_mentions(wk, cn, [1, 3], words, kinds, since, as_of)
+    means = windows.trailing_mean_across_series(
+        rows, ["keyword", "filing_type", "time_delay"], ["stock_symbol"], ["week_opening_date"], "mention_rate", "mention_rolling_avg")
+    key = [*correlation.SERIES, "week_opening_date"]
+    want = {tuple(r[c] for c in key): r for r in means.collect()}
+    scores = {tuple(r[c] for c in correlation.SERIES): r["c"] for r in means.groupBy(*correlation.SERIES).agg(
+        S.safe_corr("week_close_price", "mention_rolling_avg").alias("c")).filter("c IS NOT NULL").collect()}
+    for chunk in (1, 100_000):  # symbols of a task one by one, or together
+        monkeypatch.setattr(correlate, "CHUNK_ROWS", chunk)
+        df = correlation.rolling_mentions(wk, cn, [1, 3], words, kinds, since, as_of, across_symbols=True)
+        got = {tuple(r[c] for c in key): r for r in df.collect()}
+        assert set(df.columns) == set(means.columns) and got.keys() == want.keys() and len(want) > 300
+        for k, r in want.items():
+            assert got[k]["mention_rate"] == r["mention_rate"] and got[k]["week_close_price"] == r["week_close_price"]
+            assert got[k]["mention_rolling_avg"] == pytest.approx(r["mention_rolling_avg"], abs=1e-12)
+        found = correlation.range_correlations(wk, cn, [1, 3], words, since, as_of, kinds, across_symbols=True)
+        across = {tuple(r[c] for c in correlation.SERIES): r["correlation"] for r in found.collect()}
+        assert across.keys() == scores.keys() and len(scores) >= 12
+        assert all(across[k] == pytest.approx(c, abs=1e-9) for k, c in scores.items())
+        # no joined row is shuffled or sorted by a window: the one window has a row per symbol and class
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "mention_rate" not in "".join(line for line in text.splitlines() if "Window" in line) and "SortMergeJoin" not in text
