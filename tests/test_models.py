@@ -177,3 +177,57 @@ def test_one_range_equals_the_grid_at_its_first_start(spark):
     # only the first symbol of a combination has nothing carried into it
     assert all((abs(b[k] - c[k]) < 1e-9) == (k[0] == "A") for k in a)
     assert correlation.range_correlations(wk.limit(0), cn, [1], ["war"], start, end, across_symbols=True).count() == 0
+
+
+def test_rows_of_pairs_are_made_where_the_closes_are(spark):
+    """Pairs that come twice, gaps, symbols without closes and lags, against the plain windows over the joined rows."""
+    import random
+    from pyspark.sql import Window
+    from tickerloom import schemas
+    from tickerloom.operators import windows
+    from tickerloom.plans import keywords
+
+    rnd = random.Random(9)
+    monday = [date(2001, 1, 1) + timedelta(weeks=i) for i in range(50)]
+    closes = [(s, w, 1.0, None if rnd.random() < 0.1 else rnd.uniform(1, 9)) for s in "ABC" for w in monday if rnd.random() < 0.85]
+    counted = [(w, t, k, rnd.randint(0, 3), rnd.choice([0, 4, 4])) for w in monday for t in ("10-K", "10-Q") for k in ("ion", "war") if rnd.random() < 0.85]
+    asked = [(s, k, t, n, date(2001, 1, 20), e) for s in "ABD" for k in ("ion", "none") for t in ("10-K", "10-Q") for n in (1, 3) for e in (monday[40], monday[45])]
+    wk, cn = spark.createDataFrame(closes, schemas.WEEKLY_PRICES), spark.createDataFrame(counted, schemas.KEYWORD_WEEKLY_COUNTS)
+    pairs = spark.createDataFrame(asked + asked[:3], "stock_symbol string, keyword string, filing_type string, time_delay int, start_date date, end_date date")
+    keys, week = [*training.PAIR, "end_date"], "week_opening_date"
+
+    rates = keywords.mention_rates(cn).withColumnRenamed("filing_week", week)
+    joined = pairs.join(wk.drop("week_open_price"), "stock_symbol").filter("week_opening_date >= start_date").join(rates, [week, "keyword", "filing_type"])
+    means = windows.trailing_mean(joined, keys, [week], "mention_rate", "mention_rolling_avg")
+    ahead = windows.value_weeks_ahead(means, keys, week, "time_delay", {"week_close_price": training.TARGET})
+
+    def same(got, want, *columns):
+        columns = [*keys, week, *columns]
+        a, b = ({tuple(r[c] for c in columns if not isinstance(r[c], float)): [r[c] for c in columns if isinstance(r[c], float)] for r in df.collect()}
+                for df in (got, want))
+        assert a.keys() == b.keys() and len(a) == got.count() >= 8
+        assert all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
+
+    plain = ahead.withColumnRenamed("week_close_price", "current_close_price")
+    got = training.pair_weeks(wk, cn, pairs)
+    same(got, plain, "mention_rolling_avg", "current_close_price", training.TARGET)
+    text = training.pair_weeks(wk, cn, pairs)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in text and "SortAggregate" not in text and text.count("Sort ") == 1
+
+    whole = Window.partitionBy(*keys)
+    for cutoff in (None, "end_date"):
+        rows = plain.filter(f"{training.TARGET} IS NOT NULL").withColumns({
+            "cut": F.col(cutoff) if cutoff else F.max(week).over(whole), "pos": F.row_number().over(whole.orderBy(week))})
+        rows = rows.withColumn("fit", F.expr(f"{week} < cut AND pos > 3")).filter(f"fit OR {week} = cut")
+        filled = windows.interpolate_linear(rows, [*keys, "fit"], [week], [*training.FEATURES[1:]])
+        group = Window.partitionBy(*keys, "fit")
+        held = F.row_number().over(group.orderBy(training.split_hash(training.PAIR))) <= F.ceil(F.count(F.lit(1)).over(group) * 0.1)
+        want = filled.withColumn("part", F.when(~F.col("fit"), "score").when(held, "test").otherwise("train"))
+        same(training.model_rows(wk, cn, pairs, cutoff), want, "part", "mention_rolling_avg", "current_close_price", training.TARGET)
+
+    day = wk.select("stock_symbol", F.col(week).alias("created_at"), F.lit(1.0).alias("close_price"))
+    lagged = pairs.join(wk.select("stock_symbol", week), "stock_symbol").filter("week_opening_date BETWEEN start_date AND end_date").withColumn(
+        "filing_week", F.expr("date_sub(week_opening_date, 7 * time_delay)")).join(rates.withColumnRenamed(week, "filing_week"), ["filing_week", "keyword", "filing_type"])
+    last = windows.trailing_mean(lagged, keys, [week], "mention_rate", "mention_rolling_avg").groupBy(*keys).agg(
+        F.max(F.struct(week, "mention_rolling_avg")).alias("m")).select(*keys, "m.*")
+    same(training.latest_features(wk, cn, day, pairs, asof_close=True), last, "mention_rolling_avg")
