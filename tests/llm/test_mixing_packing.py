@@ -125,3 +125,18 @@ def test_ids_of_random_texts():
     for _ in range(3000):
         t = "".join(rnd.choice("ab'sd \n\t  12é#\x1c\x85\xa0　終") for _ in range(rnd.randint(0, 40)))
         assert list(np.frombuffer(e.encode(t), packing.ID_TYPE)) == library.encode_ordinary(t)
+
+
+def test_a_text_is_one_call_to_the_library_and_nothing_is_kept():
+    """Each pre-token that was not in a cache took a call of its own."""
+    e, calls = packing.Encoder(), []
+
+    class Library:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return packing.encoder().encode_ordinary(text)
+
+    e.library = Library()
+    texts = [" ".join(f"w{i}x{j}" for i in range(500)) for j in range(3)] + ["", None]
+    assert [list(np.frombuffer(e.encode(t), packing.ID_TYPE)) for t in texts[:3]] == [packing.encoder().encode_ordinary(t) for t in texts[:3]]
+    assert calls == texts[:3] and e.encode("") == e.encode(None) == b"" and len(calls) == 3

@@ -16,7 +16,6 @@ occur. Ties keep the order of the input. Further columns are ignored; an empty t
 """
 
 import base64
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +26,10 @@ from .common import then_give_back
 LENGTH = 2048
 #: Tokens a task holds before it packs them (2 MB of ids); rows come out more than 99 % full.
 BUFFER = 1_000_000
-#: Entries of a worker's cache of encoded pre-tokens, and letters of the longest one kept there (16 MB in all).
-CACHE, CACHED_LETTERS = 100_000, 32
 #: Packed rows of an output batch (1 MB of ids and positions).
 OUTPUT_ROWS = 128
 ID_TYPE = np.dtype("<u2")
 PAD = 50256
-PLAIN = re.compile(r"[\t\n\x0b\f\r\x20-\x7e\xa1-ɏ]*")
-#: Parts that the tokenizer's own pattern never joins: a run without white space takes one space before it.
-PARTS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 _ENCODERS = {}
 
@@ -59,27 +53,18 @@ def encoder(path=None):
     return _ENCODERS[path]
 
 
-class Encoder(dict):
-    """Whole texts to packed ids; keeps what pre-tokens encode to."""
+class Encoder:
+    """Whole texts to packed ids."""
 
     def __init__(self, path=None):
-        super().__init__()
         self.library = encoder(path)
 
-    def __missing__(self, part):
-        ids = np.array(self.library.encode_ordinary(part), ID_TYPE).tobytes()
-        if len(part) <= CACHED_LETTERS:
-            self[part] = ids
-        return ids
-
     def encode(self, text):
         if not text:
             return b""
-        if not PLAIN.fullmatch(text):
-            return np.array(self.library.encode_ordinary(text), ID_TYPE).tobytes()
-        if len(self) > CACHE:
-            self.clear()
-        return b"".join(map(self.__getitem__, PARTS.findall(text)))
+        # one call a text: most distinct pre-tokens occur once, so a cache of them costs more than it saves
+        ids = self.library.encode_ordinary(text)
+        return np.fromiter(ids, ID_TYPE, len(ids)).tobytes()
 
 
 class CapacityTree:
@@ -159,8 +144,7 @@ def pack(docs, length=LENGTH, path=None, buffer=BUFFER, text="text", key="doc_id
     def run(batches):
         from pyspark import TaskContext
 
-        coder = Encoder(path)
-        encode, next_id = coder.encode, TaskContext.get().partitionId() << 40
+        encode, next_id = Encoder(path).encode, TaskContext.get().partitionId() << 40
         pieces, held = [], 0
         kinds = None
 
@@ -193,7 +177,6 @@ def pack(docs, length=LENGTH, path=None, buffer=BUFFER, text="text", key="doc_id
                     yield from flush()
             del b
         yield from flush()
-        coder.clear()
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(lambda batches: then_give_back(run(batches)), schema)
 
