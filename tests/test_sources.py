@@ -1,13 +1,13 @@
 """Landed files, sinks and the streaming forms."""
 
 import json
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
 from tickerloom import schemas
 from tickerloom.plans import filings, reference_data, refresh, weekly
-from tickerloom.sources import tables
+from tickerloom.sources import derived, tables
 from tickerloom.streaming import ingest
 
 
@@ -125,3 +125,21 @@ def test_weekly_stream_equals_batch(spark, tmp_path):
     q.stop()
     want = ingest.weekly_first_last(batch, "user_id", "ts", "value")
     assert sorted(map(tuple, spark.table("weekly_out").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_days_are_grouped_in_a_given_number_of_shares(spark, tmp_path):
+    """Neither a map of a split's groups before the shuffle nor shares that the optimizer joins."""
+    day = date(2020, 1, 6)
+    rows = [(1, day, 5.0, 2.0), (1, day, 7.0, 3.0), (1, day, None, 1.0), (2, day, None, 4.0), (2, None, 9.0, 1.0), (None, day, 8.0, 1.0)]
+    rows += [(3, day + timedelta(i), float(i), 1.0) for i in range(50)]
+    spark.createDataFrame(rows, "l_suppkey long, l_shipdate date, l_extendedprice double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = derived.prices(spark, str(tmp_path))
+    got = {(r.stock_symbol, r.created_at): (r.open_price, r.close_price, r.volume) for r in df.collect()}
+    assert len(got) == 54 and got["S000001", day] == (5.0, 7.0, 6.0) and got["S000002", day] == (None, None, 4.0)
+    assert got["S000002", None] == (9.0, 9.0, 1.0) and got["S000003", day] == (0.0, 0.0, 1.0)
+    text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    above, below = text.split("REPARTITION_BY_NUM")
+    assert "Aggregate" in above and "Aggregate" not in below
+    shares = min(int(spark.conf.get("spark.sql.shuffle.partitions")), derived.SHARES_A_SPLIT * spark.read.parquet(f"{tmp_path}/lineitem.parquet").rdd.getNumPartitions())
+    assert f", {shares})" in above.rsplit("Exchange", 1)[-1]
+    assert derived.prices(spark, str(tmp_path)).filter("stock_symbol = 'S000009'").count() == 0
