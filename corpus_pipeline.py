@@ -1,17 +1,19 @@
 """Documents to packed training rows: five stages, each one operator over all that the one before kept."""
 
 from tickerloom.llm import decontaminate, jaccard_join, mixing, packing, quality
-from tickerloom.llm.common import landed, table
+from tickerloom.llm.common import landed, small_batches, table
 from tickerloom.llm.registry import MIX_TREE, MIX_WEIGHTS, mix_nodes
 
 
 def quality_stage(spark, docs, sf_dir):
     """Documents that the classifier scores 0.5 or more."""
+    small_batches(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark, docs, sf_dir):
     """One document of each component of texts whose 5-word shingles are 0.75 alike or more."""
+    small_batches(spark)
     return jaccard_join.one_of_each(docs)
 
 
@@ -27,6 +29,7 @@ def mixing_stage(spark, docs, sf_dir):
 
 def packing_stage(spark, docs, sf_dir):
     """Rows of 2,048 token ids."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

@@ -144,3 +144,33 @@ def test_decontamination_goes_by_row_not_by_id(spark):
         [(0, clean), (5, clean), (5, clean), (6, ""), (7, "")])
     assert decontaminate.decontaminated(H.docs(spark, rows), bench.limit(0)).count() == len(rows)
     assert decontaminate.decontaminated(H.docs(spark, []), bench).count() == 0
+
+
+def test_incidence_packs_by_cells(spark, monkeypatch):
+    """Documents are packed together up to a number of cells as well, across batches, and copies and null keys keep their rows."""
+    monkeypatch.setattr(jaccard_join, "BATCH_CELLS", 300)
+    rows = [(i, H.sentence(i, 104)) for i in range(12)] + [(None, H.sentence(0, 104)), (50, None)]  # 100 shingles each
+    docs = H.docs(spark, [(i, t, "en", "s") for i, t in rows]).coalesce(1)
+    found = jaccard_join._incidence(docs, "doc_id", "bigint", "text", 3, 5).collect()
+    cells = {}
+    for r in found:
+        if r.idx < 0:
+            cells[r.uid] = cells.get(r.uid, 0) + len(r.cells) // 7
+    assert sum(cells.values()) == 1300 and len(cells) == 5 and max(cells.values()) == 300
+    heads = sorted((r.no_key, r.key, r.n) for r in found if r.idx >= 0)
+    assert heads == sorted([(False, i, 100) for i in range(12)] + [(False, 50, 0), (True, 0, 100)])
+
+
+def test_pipeline_texts_cross_in_small_batches(spark):
+    import corpus_pipeline
+    from tickerloom.llm import common
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for known, then in (("10000", common.TEXTS_A_BATCH), ("0", common.TEXTS_A_BATCH), ("7", 7)):
+            spark.conf.set(name, known)
+            corpus_pipeline.packing_stage(spark, H.docs(spark, [(1, "a b", "en", "s")]), None)
+            assert int(spark.conf.get(name)) == then
+    finally:
+        spark.conf.set(name, before)

@@ -78,5 +78,16 @@ def then_give_back(batches):
     give_back()
 
 
+#: Texts that cross between Spark and Python at once; 10,000, the default, are tens of MB, several times in either process.
+TEXTS_A_BATCH = 1000
+
+
+def small_batches(spark):
+    """Lower the session's rows of an Arrow batch to ``TEXTS_A_BATCH`` from here on; a lower setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXTS_A_BATCH:
+        spark.conf.set(name, str(TEXTS_A_BATCH))
+
+
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

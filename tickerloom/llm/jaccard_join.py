@@ -24,17 +24,18 @@ least id in its component, if any.
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import broadcast_checked, landed, then_give_back
+from .common import broadcast_checked, give_back, landed, then_give_back
 
 SHINGLE, SIMILARITY = 5, 75
 #: Documents whose shingles a column block is meant for on average, and least blocks.
 DOCS_A_BLOCK, LEAST_BLOCKS = 1000, 128
 #: Rounds of stars with other pivots before cross pairs are formed.
 STARS = 3
-#: Documents whose cells are packed together; at most 65,536.
-BATCH = 2_000
+#: Documents whose cells are packed together; at most 65,536. Fewer once they have so many cells (16 MB of hashes).
+BATCH, BATCH_CELLS = 2_000, 2_000_000
 #: Word hashes a worker keeps.
 CACHE = 200_000
 
@@ -80,50 +81,79 @@ def shingle_set(text, words, size=SHINGLE):
 def _incidence(docs, key, kind, text, bits, size):
     """Packed cells by column block, and a header row for each document."""
     schema = f"part int, uid long, idx int, key {kind}, no_key boolean, n long, cls long, cells binary"
-    columns = ["part", "uid", "idx", "key", "no_key", "n", "cls", "cells"]
 
     def run(batches):
         from pyspark import TaskContext
 
         task, words = TaskContext.get().partitionId(), WordHashes()
-        step = 0
-        for b in batches:
-            for low in range(0, len(b), BATCH):
-                piece = b.iloc[low:low + BATCH]
-                uid = task << 32 | step
-                step += 1
-                sets, seen, heads = [], set(), []
-                for i, t in enumerate(piece["text"]):
-                    s = shingle_set(t, words, size)
-                    cls = int(_mix(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0
-                    heads.append((len(s), cls))
-                    fresh = len(s) and (len(s), cls) not in seen
-                    seen.add((len(s), cls))
-                    sets.append(s if fresh else s[:0])  # copies within the batch send no cells
-                    if len(words) > CACHE:
-                        words.clear()
-                yield pd.DataFrame({
-                    "part": -1 - (np.arange(len(piece)) % (1 << bits)), "uid": uid, "idx": np.arange(len(piece)),
-                    "key": piece["key"].values, "no_key": piece["no_key"].values, "n": [x[0] for x in heads], "cls": [x[1] for x in heads], "cells": None})[columns]
-                h = np.concatenate(sets)
-                if not len(h):
-                    continue
-                idx = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+        step, cells = 0, 0
+        keys, marks, sets, heads, seen = [], [], [], [], set()
+
+        def rows(part, idx, key, no_key, n, cls, packed):
+            uid = task << 32 | step
+            columns = [pa.array(part, pa.int32()), _same(uid, len(part), pa.int64()), pa.array(idx, pa.int32()), key, no_key,
+                       pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(packed, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["part", "uid", "idx", "key", "no_key", "n", "cls", "cells"])
+
+        def flush():
+            """Header rows of the documents held, and their cells by block; then nothing is held."""
+            nonlocal step, cells
+            key, n = pa.concat_arrays(keys), len(heads)
+            yield rows(-1 - (np.arange(n) % (1 << bits)), np.arange(n), key, pa.concat_arrays(marks), [x[0] for x in heads], [x[1] for x in heads], [None] * n)
+            h = np.concatenate(sets)
+            idx = np.repeat(np.arange(n, dtype=np.uint16), [len(s) for s in sets])
+            one = key.slice(0, 1)
+            for held in (keys, marks, sets, heads, seen):
+                held.clear()
+            cells = 0
+            if len(h):
                 at = np.argsort(h)
                 h, idx = h[at], idx[at]
-                part = (h >> np.uint64(64 - bits)).astype(np.int64)
-                edges = np.searchsorted(part, np.arange((1 << bits) + 1))
-                rest = (h << np.uint64(bits)) >> np.uint64(24)  # the next 40 bits
-                rows = [
-                    (p, (rest[a:z] >> np.uint64(8)).astype("<u4").tobytes() + rest[a:z].astype("u1").tobytes() + idx[a:z].astype("<u2").tobytes())
-                    for p, (a, z) in enumerate(zip(edges[:-1], edges[1:])) if z > a]
-                yield pd.DataFrame({
-                    "part": [r[0] for r in rows], "uid": uid, "idx": -1, "key": piece["key"].iloc[0], "no_key": True, "n": 0, "cls": 0, "cells": [r[1] for r in rows]})[columns]
+                del at
+                edges = np.r_[0, np.searchsorted(h, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(h)]
+                full = np.flatnonzero(edges[1:] > edges[:-1])
+                packed = []
+                for a, z in zip(edges[full], edges[full + 1]):
+                    rest = (h[a:z] << np.uint64(bits)) >> np.uint64(24)  # the next 40 bits
+                    packed.append((rest >> np.uint64(8)).astype("<u4").tobytes() + rest.astype("u1").tobytes() + idx[a:z].astype("<u2").tobytes())
+                del h, idx
+                none = np.zeros(len(full), np.int64)
+                yield rows(full, none - 1, _same(one, len(full)), _same(True, len(full), pa.bool_()), none, none, packed)
+            step += 1
+
+        for b in batches:
+            low = 0
+            for i, t in enumerate(b.column(2)):  # text by text, so that no second copy of the batch stands beside it
+                s = shingle_set(t.as_py(), words, size)
+                cls = int(_mix(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0
+                heads.append((len(s), cls))
+                fresh = len(s) and (len(s), cls) not in seen
+                seen.add((len(s), cls))
+                sets.append(s if fresh else s[:0].copy())  # copies within what is held send no cells
+                cells += len(sets[-1])
+                if len(words) > CACHE:
+                    words.clear()
+                if len(heads) == BATCH or cells >= BATCH_CELLS or i + 1 == b.num_rows:
+                    own = pa.array(np.arange(low, i + 1))  # taken, as a slice would hold the batch's texts
+                    keys.append(b.column(0).take(own))
+                    marks.append(b.column(1).take(own))
+                    low = i + 1
+                if len(heads) == BATCH or cells >= BATCH_CELLS:
+                    yield from flush()
+            del b
+        if heads:
+            yield from flush()
 
     # null keys travel as another value with a mark, so whole numbers stay whole
     some = F.coalesce(F.col(key), F.lit("0").cast(kind))
     texts = docs.select(some.alias("key"), F.col(key).isNull().alias("no_key"), F.col(text).alias("text"))
-    return texts.mapInPandas(lambda batches: then_give_back(run(batches)), schema)
+    return texts.mapInArrow(lambda batches: then_give_back(run(batches)), schema)
+
+
+def _same(value, n, kind=None):
+    """Array of one value n times; the value may be an array of length one."""
+    one = value if kind is None else pa.array([value], kind)
+    return one.take(pa.array(np.zeros(n, np.int64)))
 
 
 def _unpack(cells):
@@ -135,6 +165,7 @@ def _unpack(cells):
 def _shared_columns(incidence):
     """Headers as they are; of each block's cells those whose column has two documents or more, with that number."""
     def run(rows):
+        give_back()  # of the group before
         part = int(rows["part"].iloc[0])
         if part < 0:
             return rows.assign(cells=None)
@@ -160,6 +191,7 @@ def _shared_columns(incidence):
 def _live_sets(shared, similarity):
     """Of each batch of documents, those with enough shared columns: their shared columns, rarest first."""
     def run(rows):
+        give_back()  # of the group before
         cells = [c for c in rows["cells"] if c is not None]
         heads = rows[rows["idx"] >= 0]
         if not cells:

@@ -168,7 +168,8 @@ def keep_good(docs, labels, label="quality", threshold=0.5, most=TRAIN_DOCS, tex
     def run(batches):
         m = shared.value
         for b in batches:
-            texts = b.column(at).to_pylist()
-            yield b.filter(pa.array([(m.score(passages(t)) if m else share) >= threshold for t in texts], pa.bool_()))
+            # text by text, so that no second copy of the batch stands beside it
+            good = ((m.score(passages(t.as_py())) if m else share) >= threshold for t in b.column(at))
+            yield b.filter(pa.array(list(good), pa.bool_()))
 
     return docs.mapInArrow(lambda batches: then_give_back(run(batches)), docs.schema)
