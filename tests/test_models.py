@@ -1,5 +1,6 @@
 """Regression against a numerical solver, trees on exact data, invariance to partitioning."""
 
+import hashlib
 from datetime import date, timedelta
 
 import numpy as np
@@ -120,6 +121,71 @@ def test_forest_matches_plain_trees_on_the_same_samples(spark):
             assert got[g, d[6]] == pytest.approx(sum(means) / 6)
 
 
+def grown(groups, depth, trees, seed=5):
+    """Means over the trees for one row a group, of groups of (features, target, row to be predicted)."""
+    from tickerloom.operators import trees as t
+    groups = [(x[o], y[o], a) for x, y, a in groups for o in [np.lexsort([y, *x.T[::-1]])]]
+    x, y = np.concatenate([g[0] for g in groups]), np.concatenate([g[1] for g in groups])
+    n = np.array([len(g[1]) for g in groups])
+    low, found = np.cumsum(n) - n, {}
+    for step in t._steps(range(len(groups)), n, trees, seed):
+        for (i, _), means in zip(step, t._path_means(x, y, [(low[i], groups[i][2], s) for i, s in step], depth)):
+            found.setdefault(i, []).append(means)
+    return [np.concatenate(found[i]).mean() for i in range(len(groups))], groups
+
+
+@pytest.mark.parametrize("cells", [1, 60, 1 << 18])
+def test_groups_of_any_scale_and_size_are_grown_together(monkeypatch, cells):
+    from tickerloom.operators import trees as t
+    monkeypatch.setattr(t, "STEP_CELLS", cells)
+    monkeypatch.setattr(t, "GAIN_CELLS", cells)
+    rng = np.random.default_rng(4)
+    groups = []
+    for n, scale, far in ((1, 1.0, 0.0), (40, 1e-6, 0.0), (3, 1e9, 0.0), (33, 1.0, 1e4), (2, 0.02, 29367.76), (27, 1e9, 0.0), (9, 0.0, 0.1), (38, 1.0, 0.0)):
+        x = rng.integers(0, [12, 4, 3], size=(n + 1, 3)).astype(float)
+        groups.append((x[:-1], far + scale * rng.integers(0, 9, n), x[-1]))
+    got, groups = grown(groups, 4, 6)
+    for mean, (x, y, a) in zip(got, groups):
+        means = []
+        for tree in range(6):
+            places = [int(hashlib.md5(f"{tree}|{i}|5".encode()).hexdigest()[:7], 16) % len(y) for i in range(len(y))]
+            means.append(plain_tree([(tuple(x[p]), y[p], places.count(p)) for p in sorted(set(places))], tuple(a), 4))
+        assert mean == pytest.approx(sum(means) / 6, rel=1e-9)
+
+
+def test_forest_work_goes_with_the_rows_on_the_way(monkeypatch):
+    from tickerloom.operators import trees as t
+    rng = np.random.default_rng(2)
+    groups = [(rng.uniform(size=(110, 3)), rng.uniform(size=110), rng.uniform(size=3)) for _ in range(4)]
+    entries = 3 * sum(len(t._sample(50, 110, 5).rows) for _ in groups)
+    t._kept_sample(50, 110, 5)
+    summed, sums = [], np.cumsum
+    monkeypatch.setattr(np, "cumsum", lambda a, *rest, **more: summed.append(np.size(a)) or sums(a, *rest, **more))
+    grown(groups, 20, 50)
+    # every level of all groups in a few calls, over ever fewer rows; all rows at each of a dozen levels were 40 times as many
+    assert sum(summed) < 4 * entries and len(summed) < 200
+
+
+def test_no_cut_lies_before_an_infinite_value():
+    x = np.array([[1.0, 0, 0], [2.0, 0, 0], [np.inf, 0, 0], [np.inf, 0, 0]])
+    assert grown([(x, np.array([1.0, 1.0, 5.0, 6.0]), np.array([2.0, 0, 0]))], None, 1, None)[0] == [4.0]
+
+
+def test_groups_are_dealt_to_all_shares_and_may_span_arrow_batches(spark):
+    data = tree_rows(3, groups=6, n=30)
+    df = spark.createDataFrame(data, "g string, part string, f1 double, f2 double, f3 double, y double, id int")
+    key = lambda r: (str(r["g"]), r["id"])
+    whole = predict_with_trees(df, ["g"], FEATURES, "y", "random_forest", ["id"], trees=5)
+    assert whole.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = sorted(whole.collect(), key=key)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = sorted(predict_with_trees(df.repartition(3), ["g"], FEATURES, "y", "random_forest", ["id"], trees=5).collect(), key=key)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and len(got) == 18
+
+
 def test_trees_with_missing_values_and_groups_without_training_rows(spark):
     rows = [("a", "train", 1.0, 0.0, 0.0, 5.0, 1), ("a", "train", None, 0.0, 0.0, 9.0, 2), ("a", "train", 2.0, 0.0, 0.0, None, 3),
             ("a", "ask", 7.0, 0.0, 0.0, None, 4), ("a", "ask", None, 0.0, 0.0, None, 5), ("b", "ask", 1.0, 0.0, 0.0, 1.0, 6), ("c", "train", 1.0, 0.0, 0.0, 1.0, 7)]
